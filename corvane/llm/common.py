@@ -57,3 +57,11 @@ def dropped(df: DataFrame) -> None:
 def no_text(column) -> F.Column:
     """A text column with null as the empty string."""
     return F.coalesce(column, F.lit(""))
+
+
+def if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written frame of narrow rows, marked for broadcast if it has `most` rows or fewer.
+
+    Its rows are counted first; a larger one is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= most else df

@@ -44,6 +44,27 @@ FROM b
 """
 
 
+OP4 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id, d.doc_id = min(b) AS kept
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def _crc_table() -> str:
     """The byte table of the reflected polynomial 0xEDB88320, from its rule."""
     table = []
@@ -114,4 +135,4 @@ SELECT page_id, host, path, rule,
 FROM p JOIN ruled ON ruled.node = coalesce(p.node, '') LEFT JOIN said ON said.node = p.node
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op9_sharding": OP9, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_near_duplicates": OP4, "op9_sharding": OP9, "op10_url_filter": OP10}

@@ -126,4 +126,4 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out *= _BASE
         out += hashes[j : j + n]
-    return mix(out + np.uint64(k) * _ODD)
+    return mix(out + np.uint64(k * int(_ODD) % (1 << 64)))
