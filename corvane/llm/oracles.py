@@ -65,6 +65,28 @@ FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 """
 
 
+ALNUM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
+item AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+  FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(i) WHERE len(w) > 0
+), occ AS (
+  SELECT doc_id, i, k, item_id
+  FROM (SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS g FROM d, (SELECT DISTINCT k FROM item) ks, unnest(range(1, greatest(len(w) - k + 2, 1))) AS u(i)) JOIN item USING (k, g)
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT DISTINCT doc_id, i, k FROM occ), unnest(range(i, i + k)) AS u(j) GROUP BY doc_id
+), of AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n, list_sort(list(DISTINCT item_id)) AS ids, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM occ GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(of.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated, coalesce(ids, []::BIGINT[]) AS item_ids
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN of USING (doc_id)
+"""
+
+
 def _crc_table() -> str:
     """The byte table of the reflected polynomial 0xEDB88320, from its rule."""
     table = []
@@ -135,4 +157,4 @@ SELECT page_id, host, path, rule,
 FROM p JOIN ruled ON ruled.node = coalesce(p.node, '') LEFT JOIN said ON said.node = p.node
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_near_duplicates": OP4, "op9_sharding": OP9, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_near_duplicates": OP4, "op8_decontamination": OP8, "op9_sharding": OP9, "op10_url_filter": OP10}
