@@ -24,11 +24,13 @@ _BLANKED = np.where(SPACE_PARTED, 0x20, np.arange(256)).astype(np.uint8)
 class Settings:
     """reach: a chunk ends at a word whose gear hash is least among `reach` words to
     both sides, so chunks have reach + 1 words at least and 2 * reach + 1 on
-    average. A repeated run is removed if it has two chunks and `least_words`
-    words at least.
+    average. A chunk of more than `most_words` (text that repeats one word has no
+    least hash) is cut every `most_words` from its start. A repeated run is
+    removed if it has `least_chunks` chunks and `least_words` words at least.
     """
 
     reach: int = 3
+    most_words: int = 16
     least_words: int = 20
     least_chunks: int = 2
 
@@ -52,7 +54,7 @@ def gear(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(words: Words, offsets: np.ndarray, reach: int) -> np.ndarray:
+def chunk_ends(words: Words, offsets: np.ndarray, reach: int, most: int = 16) -> np.ndarray:
     """Word numbers after which a chunk ends, ascending; every document's last word is one.
 
     A word ends a chunk if the (mixed) gear hash at its last byte is less than
@@ -74,7 +76,11 @@ def chunk_ends(words: Words, offsets: np.ndarray, reach: int) -> np.ndarray:
         low[:-j] &= ~same | (h[:-j] <= h[j:])
     last = words.first[1:] - 1
     low[last[last >= words.first[:-1]]] = True
-    return np.flatnonzero(low) + 1
+    ends = np.flatnonzero(low) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    forced = (ends - starts - 1) // most
+    nth = np.arange(forced.sum()) - np.repeat(np.cumsum(forced) - forced, forced)
+    return np.sort(np.concatenate([ends, np.repeat(starts, forced) + (nth + 1) * most]))
 
 
 def _chunked(settings: Settings):
@@ -83,7 +89,7 @@ def _chunked(settings: Settings):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for k, part, at in pieces(*utf8(batch.column(1))):
                 words = Words(part, at, SPACE_PARTED, lower=False)
-                ends = chunk_ends(words, at, settings.reach)
+                ends = chunk_ends(words, at, settings.reach, settings.most_words)
                 if not len(ends):
                     continue
                 starts = np.concatenate([[0], ends[:-1]])
@@ -214,6 +220,6 @@ def chunks_of(text: str, settings: Settings = Settings()) -> list[tuple[bytes, .
     """The chunks of one text, as words."""
     data, offsets = utf8(pa.array([text], pa.large_string()))
     words = Words(data, offsets, SPACE_PARTED, lower=False)
-    ends = chunk_ends(words, offsets, settings.reach)
+    ends = chunk_ends(words, offsets, settings.reach, settings.most_words)
     return [tuple(words.list(a, b)) for a, b in pairwise([0, *ends.tolist()])]
 
