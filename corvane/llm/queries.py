@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, near_dup, rules, sharding, substrings, url_filter
+from corvane.llm import decontaminate, near_dup, quality, rules, sharding, substrings, url_filter
 from corvane.llm.common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.ledger(rules.measured(read_table(spark, sf_dir, "documents")))
     out = rules.judged(ledger, rules.WEB_V1)
@@ -39,6 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality,
         op2_quality_rules,
         op4_near_duplicates,
         op6_substring_dedup,
