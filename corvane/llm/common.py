@@ -65,3 +65,10 @@ def if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
     Its rows are counted first; a larger one is joined by a shuffle.
     """
     return F.broadcast(df) if df.count() <= most else df
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a file of the installed public tokenizers is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, near_dup, quality, rules, sharding, substrings, url_filter
-from corvane.llm.common import read_table
+from corvane.llm import bpe, decontaminate, near_dup, quality, rules, sharding, substrings, url_filter
+from corvane.llm.common import read_table, tokenizer_path
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op4_near_duplicates,
         op6_substring_dedup,
+        op7_bpe,
         op8_decontamination,
         op9_sharding,
         op10_url_filter,
