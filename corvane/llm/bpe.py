@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 #: Splits text before the merges, as byte-level vocabularies of this kind expect it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NO_PAIR = 1 << 60
+NO_PAIR = 2**31 - 1
 #: Words with more bytes than this are merged with a heap: scanning is quadratic.
 SHORT = 64
+#: Words in each of the two generations of the cache.
 MOST_CACHED = 150_000
 
 
@@ -44,7 +45,7 @@ class Codec(dict):
             raise ValueError("only byte-level BPE without normalisation or a prefix space is read")
         letters = byte_letters()
         vocab = model["vocab"]
-        self.single = [0] * 256
+        self.single = np.zeros(256, np.int32)
         for letter, b in letters.items():
             self.single[b] = vocab[letter]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
@@ -52,35 +53,66 @@ class Codec(dict):
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+        self.keys = np.array(sorted(self.pairs))
+        self.rank_of = np.array([self.pairs[k][0] for k in self.keys.tolist()], np.int32)
+        self.made = np.array([i for _, i in self.pairs.values()], np.int32)  # by rank
+        self.older: dict[str, bytes] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile(PATTERN).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
-    def merged(self, word: bytes) -> list[int]:
-        """Ids of one word.
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NO_PAIR where they do not merge or one is missing (-1)."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0), self.rank_of[at], NO_PAIR)
 
-        ids holds the parts between boundaries, ranks the rank of each part with
-        the next one, side by side. The least rank (the first of equals) marks the
-        boundary to delete; only the ranks on its two sides change.
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as bytes, of words of SHORT bytes at most.
+
+        Each word is a row: ids holds the parts between its boundaries, ranks the
+        rank of each part with the next one, both contiguous. Again and again the
+        least rank of a row (the first of equals) marks the boundary to delete; what
+        is right of it moves up, and only the ranks on its two sides are looked up
+        anew. All rows take a step at a time; a row without a rank is done.
         """
-        ids = [self.single[b] for b in word]
-        if len(ids) > SHORT:
-            return self._merged_long(ids)
-        pairs, none = self.pairs, (NO_PAIR, 0)
-        ranks = [pairs.get(a << 32 | b, none)[0] for a, b in zip(ids, ids[1:])]  # noqa: B905
-        while ranks:
-            least = min(ranks)
-            if least == NO_PAIR:
-                break
-            k = ranks.index(least)
-            ids[k] = pairs[ids[k] << 32 | ids[k + 1]][1]
-            del ids[k + 1], ranks[k]
-            if k < len(ranks):
-                ranks[k] = pairs.get(ids[k] << 32 | ids[k + 1], none)[0]
-            if k:
-                ranks[k - 1] = pairs.get(ids[k - 1] << 32 | ids[k], none)[0]
-        return ids
+        out = [b""] * len(words)
+        length = np.array([*map(len, words)])
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, SHORT)):
+            row = np.flatnonzero((length > low) & (length <= high))
+            if not len(row):
+                continue
+            n = length[row]
+            inside = np.arange(high) < n[:, None]
+            ids = np.full((len(row), high + 1), -1, np.int32)
+            ids[:, :-1][inside] = self.single[np.frombuffer(b"".join([words[k] for k in row.tolist()]), np.uint8)]
+            ranks = np.full((len(row), high), NO_PAIR, np.int32)
+            ranks[inside] = self._rank(ids[:, :-1][inside], ids[:, 1:][inside])
+            while len(row):
+                k = ranks.argmin(axis=1)
+                at = np.arange(len(row))
+                least = ranks[at, k]
+                done = least == NO_PAIR
+                if done.any():
+                    for r, w, m in zip(row[done].tolist(), ids[done], (ids[done] >= 0).sum(axis=1).tolist(), strict=True):
+                        out[r] = w[:m].tobytes()
+                    go = ~done
+                    row, ids, ranks, k, least = row[go], ids[go], ranks[go], k[go], least[go]
+                    at = at[: len(row)]
+                    if not len(row):
+                        break
+                right = np.arange(high) > k[:, None]
+                ids[at, k] = self.made[least]
+                ids[:, :-1] = np.where(right, ids[:, 1:], ids[:, :-1])
+                ids[:, -1] = -1
+                right[at, k] = True
+                ranks[:, :-1] = np.where(right[:, :-1], ranks[:, 1:], ranks[:, :-1])
+                ranks[:, -1] = NO_PAIR
+                ranks[at, k] = self._rank(ids[at, k], ids[at, k + 1])
+                left = np.flatnonzero(k)
+                ranks[left, k[left] - 1] = self._rank(ids[left, k[left] - 1], ids[left, k[left]])
+        return out
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of (rank, place): n log n for words without an end."""
@@ -108,24 +140,37 @@ class Codec(dict):
         return [i for i in ids if i >= 0]
 
     def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        return self.merged([raw])[0] if len(raw) <= SHORT else np.array(self._merged_long(self.single[np.frombuffer(raw, np.uint8)].tolist()), "<i4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Look up words that are not cached, all at once; words not met for a generation are forgotten."""
         if len(self) > MOST_CACHED:
+            self.older = dict(self)
             self.clear()
-        out = np.array(self.merged(word.encode()), "<i4").tobytes()
-        if len(word) <= SHORT:
-            self[word] = out
+        words = [w for w in words if w not in self]
+        self.update((w, x) for w in words if (x := self.older.get(w)) is not None)
+        words = [w for w in words if w not in self]
+        raw = [w.encode() for w in words]
+        short = [k for k, w in enumerate(raw) if len(w) <= SHORT]
+        self.update(zip([words[k] for k in short], self.merged([raw[k] for k in short]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, special tokens in it as their own ids."""
+        split = []
+        for text in texts:
+            parts = self.parts(text) if self.parts and any(s in text for s in self.special) else [text]
+            split.append([self.split(p) if p not in self.special else [p] for p in parts])
+        self._learn({w for parts in split for words in parts for w in words} - self.special.keys())
+        own = {t: np.array([i], "<i4").tobytes() for t, i in self.special.items()}
+        out = []
+        for parts in split:
+            # A special token's text cannot be a word: the split would have parted it off.
+            out.append(np.frombuffer(b"".join([own[w[0]] if len(w) == 1 and w[0] in own else b"".join(map(self.__getitem__, w)) for w in parts]), "<i4"))
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, special tokens in it as their own ids."""
-        if self.parts is None:
-            return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<i4")
-        out = []
-        for part in self.parts(text) if any(s in text for s in self.special) else (text,):
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<i4").tobytes())
-            else:
-                out += map(self.__getitem__, self.split(part))
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
@@ -143,7 +188,7 @@ def _encoded(spec: str, decoded: bool):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [coder.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = coder.encode_all([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
                 if decoded:
