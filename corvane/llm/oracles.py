@@ -44,6 +44,15 @@ FROM b
 """
 
 
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, i // 4 * 5 + 1, 5))::INT >> (15 - i % 4 * 5)) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM q
+"""
+
 OP4 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -157,4 +166,4 @@ SELECT page_id, host, path, rule,
 FROM p JOIN ruled ON ruled.node = coalesce(p.node, '') LEFT JOIN said ON said.node = p.node
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_near_duplicates": OP4, "op8_decontamination": OP8, "op9_sharding": OP9, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op3_warc": OP3, "op4_near_duplicates": OP4, "op8_decontamination": OP8, "op9_sharding": OP9, "op10_url_filter": OP10}
