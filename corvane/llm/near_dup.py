@@ -219,3 +219,13 @@ def near_duplicates(documents: DataFrame, settings: Settings = AT_85) -> DataFra
     found = classes(documents, settings)
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(documents: DataFrame, settings: Settings = AT_80) -> DataFrame:
+    """The documents, with all their columns, of which one of each component stays.
+
+    The one with the smallest id stays; so do rows with a null id. Rows that
+    repeat an id are one document and stay or go together.
+    """
+    gone = written(classes(documents, settings).where("id <> component").select(F.col("id").alias("_gone")).distinct(), "gone")
+    return documents.join(if_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, near_dup, quality, rules, sharding, substrings, url_filter, warc
+from corvane.llm import bpe, decontaminate, html_extract, near_dup, quality, rules, sharding, substrings, url_filter, warc
 from corvane.llm.common import read_table, tokenizer_path
 
 
@@ -28,6 +28,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), near_dup.AT_85)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_warc,
         op4_near_duplicates,
+        op5_html_text,
         op6_substring_dedup,
         op7_bpe,
         op8_decontamination,
