@@ -1,0 +1 @@
+"""Analytics of topic research corpora on Spark DataFrames."""
