@@ -1 +1,178 @@
-ORACLES = {}
+"""DuckDB SQL for the queries of `queries`, written independently of them."""
+
+from __future__ import annotations
+
+from corvane.constants import STOPWORDS
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
+
+WORD_COUNT = "(len(regexp_extract_all(text, '[一-鿿]')) + len(regexp_extract_all(text, '[a-zA-Z]+')))::BIGINT"
+
+DOCS = f"""
+docs AS (
+  SELECT d.doc_id, text, split_part(text, chr(10), 1) AS title, source AS site, {WORD_COUNT} AS word_count,
+         CASE WHEN d.doc_id % 7 <> 0 THEN make_date(2010 + d.doc_id % 15, 1 + d.doc_id % 12, 1 + d.doc_id % 28) END AS published,
+         CASE WHEN d.doc_id % 10 = 9 THEN 'raw' ELSE 'readability' END AS method,
+         CASE WHEN d.doc_id % 23 = 5 THEN 'HTTP ' || (400 + d.doc_id % 4) END AS error,
+         CASE quality WHEN 1 THEN 'likely' WHEN 0 THEN 'unlikely' END AS verdict, CASE quality WHEN 1 THEN 'high' WHEN 0 THEN 'low' END AS value
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+)"""
+
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)', 1)), '^www\.', '')"
+_PATH = r"regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/+$', '')"
+_TRACK = r"^(utm_.*|fbclid|gclid|yclid|msclkid|ref|ref_?src|source|spm|share_?.*|from|_?from|vd_source|buvid|wfr|s_r|scene|clicktime|weibo_id|sr_share|utm)$"
+_PARAMS = rf"list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '{_TRACK}')))"
+
+RESULTS = f"""
+results AS (
+  SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substr({_PLAIN}, 1, 300) AS snippet, 'p' || (page_id % 4) AS provider, (page_id // 4)::INT AS rank,
+         CASE WHEN page_id % 5 <> 0 THEN make_date(2015 + page_id % 10, 1 + page_id % 12, 1) END AS published,
+         'https://' || {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string({_PARAMS}, '&') ELSE '' END AS norm_url
+  FROM pages
+)"""
+
+FUSED = f"""{RESULTS},
+folded AS (
+  SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(norm_url, '\\d(/)', '0\\1', 'g'), '\\d(\\.html)', '0\\1', 'g'), '\\d(\\?)', '0\\1', 'g'), '\\d$', '0') AS norm_url) FROM results
+), fused AS (
+  SELECT norm_url, arg_min(url, (provider, rank, page_id)) AS url, arg_min(title, (provider, rank, page_id)) AS title, arg_min(snippet, (provider, rank, page_id)) AS snippet,
+         arg_min(rank, (provider, rank, page_id)) AS rank, arg_min(published, (provider, rank, page_id)) FILTER (published IS NOT NULL) AS published,
+         list_sort(list(DISTINCT provider)) AS sources, len(list(DISTINCT provider))::INT AS hit_count
+  FROM folded GROUP BY norm_url
+)"""
+
+VERDICT = """
+said AS (
+  SELECT *, contains(lower(title || ' ' || snippet), 'theheon') AS head, contains(lower(title || ' ' || snippet), 'thre')::INT + contains(lower(title || ' ' || snippet), 'ention')::INT AS hits,
+         contains(lower(title || ' ' || snippet), 'ouheen') AS neg FROM {of}
+), judged AS (
+  SELECT *, CASE WHEN NOT head AND hits = 0 THEN 'unlikely' WHEN neg THEN 'uncertain' ELSE 'likely' END AS verdict,
+         CASE WHEN NOT head AND hits = 0 THEN 0.05 WHEN neg THEN 0.35 WHEN NOT head THEN least(0.85, 0.55::DOUBLE + 0.1::DOUBLE * hits) ELSE 0.9 END::DOUBLE AS score,
+         CASE WHEN (NOT head AND hits = 0) OR neg THEN NULL WHEN NOT head THEN 'related' ELSE 'direct' END AS match
+  FROM said
+)"""
+
+TOKENS = rf"""
+raw_tokens AS (
+  SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))) AS word, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), 1) AS nth
+  FROM documents
+), toks AS (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS pos FROM raw_tokens
+  WHERE length(word) BETWEEN 3 AND 20 AND NOT regexp_matches(word, '^[\d.]+$') AND word NOT IN ({_STOP})
+)"""
+
+TFIDF = f"""{TOKENS},
+counts AS (SELECT doc_id, word, count(*) AS n FROM toks GROUP BY ALL),
+total AS (SELECT doc_id, sum(n) AS words FROM counts GROUP BY ALL),
+dfs AS (SELECT word, count(*) AS df FROM counts GROUP BY ALL),
+scored AS (
+  SELECT doc_id, word, df, (1 + ln(n) / ln(words + 1)) * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS score
+  FROM counts JOIN total USING (doc_id) JOIN dfs USING (word)
+), kw AS (
+  SELECT word, any_value(df) AS df, round(sum(score::DECIMAL(38, 12)), 4)::DOUBLE AS weight FROM scored
+  WHERE df >= 2 GROUP BY word ORDER BY weight DESC, word LIMIT 60
+)"""
+
+_GRADE = """graded AS (
+  SELECT *, CASE WHEN error IS NOT NULL OR method = 'raw' THEN 'snippet' WHEN length(trim(text, ' ')) >= 300 THEN 'full' WHEN length(trim(text, ' ')) >= 120 THEN 'thin' ELSE 'snippet' END AS grade FROM docs
+), worth AS (
+  SELECT *, grade = 'full' AND verdict IS DISTINCT FROM 'unlikely' AS worthy,
+         CASE WHEN error IS NOT NULL THEN 'error: ' || error WHEN verdict IS NOT DISTINCT FROM 'unlikely' THEN 'not relevant' WHEN method = 'raw' THEN 'search snippet only'
+              WHEN grade <> 'full' THEN 'short: ' || length(trim(text, ' ')) || ' characters' END AS reason FROM graded
+)"""
+
+GRADED = f"{DOCS}, {_GRADE}"
+
+
+def _rank(order: str) -> str:
+    of = VERDICT.format(of="fused")
+    return f"""WITH {FUSED}, {of}, r AS (
+  SELECT *, CASE WHEN length(url) % 3 > 0 THEN round(log10(1 + length(snippet)) + log10(1 + length(title) % 7), 9) ELSE 0 END AS magnitude,
+         round(2 * hit_count + CASE WHEN published IS NULL THEN 0.25::DOUBLE ELSE 3 * pow(0.5::DOUBLE, greatest(date_diff('day', published, DATE '2026-01-01'), 0) / 30) END, 9) AS mixed
+  FROM judged
+) SELECT norm_url, row_number() OVER (ORDER BY {order} hit_count DESC, score DESC, rank, norm_url) AS place FROM r"""
+
+
+_TASKS = "tasks AS (SELECT user_id AS job_id, event_id, ['queued', 'running', 'done', 'done', 'failed'][1 + event_id % 5] AS status, event_id AS bytes FROM events)"
+
+ORACLES: dict[str, str] = {
+    "tfidf_keywords": f"WITH {TFIDF} SELECT * FROM kw",
+    "token_counts": f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT word) AS n_words, max(pos) AS last_pos FROM toks GROUP BY doc_id",
+    "keyword_cooccurrence": f"""WITH {TFIDF}, hits AS (SELECT doc_id, pos, word FROM toks SEMI JOIN kw USING (word)), p AS (
+  SELECT least(a.word, b.word) AS word_a, greatest(a.word, b.word) AS word_b, b.pos - a.pos AS d, count(*) AS n
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 15 AND a.word <> b.word GROUP BY ALL)
+SELECT word_a, word_b, round(sum((3 * n / (3 + d))::DECIMAL(38, 12)), 3)::DOUBLE AS weight FROM p GROUP BY ALL""",
+    "contains_edges": f"WITH {TFIDF} SELECT doc_id, word, floor((1 + round(score, 9)) * 1000 + 0.5) / 1000 AS weight FROM scored SEMI JOIN kw USING (word)",
+    "document_nodes": f"""WITH {DOCS}, {TFIDF}, n AS (SELECT doc_id, count(*) AS degree FROM scored SEMI JOIN kw USING (word) GROUP BY doc_id)
+SELECT doc_id, floor(round(ln(1 + word_count) + coalesce(degree, 0) / 4, 9) * 1000 + 0.5) / 1000 AS weight, coalesce(degree, 0) AS degree FROM docs LEFT JOIN n USING (doc_id)""",
+    "keyword_trend": f"""WITH {DOCS}, {TFIDF}, heads AS (SELECT word FROM kw ORDER BY weight DESC, word LIMIT 8), y AS (SELECT DISTINCT year(published) AS year FROM docs WHERE published IS NOT NULL),
+c AS (SELECT word, year(published) AS year, count(*) AS n FROM scored SEMI JOIN heads USING (word) JOIN docs USING (doc_id) WHERE published IS NOT NULL GROUP BY ALL)
+SELECT word, year, coalesce(n, 0) AS n FROM heads CROSS JOIN y LEFT JOIN c USING (word, year)""",
+    "year_layers": f"""WITH {DOCS}, c AS (SELECT year(published) AS y, count(*) AS n FROM docs WHERE published IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY y DESC) AS k FROM c)
+SELECT CASE WHEN k <= 10 THEN y END AS year, sum(n)::BIGINT AS n FROM r GROUP BY 1""",
+    "url_normal_form": f"WITH {RESULTS} SELECT page_id, norm_url, substr(sha1(norm_url), 1, 16) AS result_id, {_HOST} AS domain FROM results",
+    "url_facts": r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT page_id, host = 'example.net' OR ends_with(host, '.example.net') AS in_net, 'web' AS site, 'article' AS kind,
+       lower(nullif(regexp_extract(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '\.([A-Za-z0-9]{1,5})$', 1), '')) AS ext, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS origin, true AS proxied FROM h""",
+    "fused_results": f"WITH {FUSED} SELECT norm_url, url, title, rank, array_to_string(sources, ',') AS sources, hit_count, published FROM fused",
+    "rank_relevant": _rank(""),
+    "rank_quality": _rank("magnitude > 0 DESC, magnitude DESC,"),
+    "rank_recent": _rank("published DESC NULLS LAST,"),
+    "rank_mixed": _rank("mixed DESC,"),
+    "lexical_relevance": f"WITH {RESULTS}, {VERDICT.format(of='results')} SELECT page_id, verdict, score, match FROM judged",
+    "merged_relevance": f"""WITH {RESULTS}, {VERDICT.format(of='results')} SELECT page_id,
+  CASE WHEN page_id % 4 > 1 OR verdict = 'unlikely' THEN verdict WHEN page_id % 4 = 0 THEN 'unlikely' WHEN verdict = 'likely' THEN 'likely' ELSE 'uncertain' END AS verdict,
+  CASE WHEN page_id % 4 > 1 OR verdict = 'unlikely' THEN score WHEN page_id % 4 = 0 THEN 0.2::DOUBLE ELSE greatest(score, 0.7::DOUBLE) END AS score FROM judged""",
+    "time_filtered": f"WITH {RESULTS} SELECT page_id, published FROM results WHERE published IS NULL OR published >= DATE '2024-06-15' - 365",
+    "candidate_tiers": rf"""WITH {RESULTS}, c AS (SELECT page_id, trim(title) AS t, trim(snippet) AS s FROM results), r AS (SELECT *, list_filter([
+  CASE WHEN regexp_matches(s, '(?i)not found') THEN 'junk snippet' END], lambda x: x IS NOT NULL) AS bad, list_filter([CASE WHEN length(t) < 4 AND length(s) < 30 THEN 'short' END, CASE WHEN length(s) < 60 THEN 'short snippet' END], lambda x: x IS NOT NULL) AS low FROM c)
+SELECT page_id, CASE WHEN len(bad) > 0 THEN 'reject' WHEN len(low) > 0 THEN 'low' WHEN length(t) >= 8 AND length(s) >= 80 THEN 'high' ELSE 'usable' END AS tier, array_to_string(CASE WHEN len(bad) > 0 THEN bad ELSE low END, ',') AS reasons FROM r""",
+    "avoided_results": f"""WITH {RESULTS}, v AS (SELECT *, CASE page_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS value, lower(title || ' ' || snippet) AS t FROM results),
+a AS (SELECT *, CASE WHEN value IS NOT DISTINCT FROM 'high' THEN NULL WHEN contains(t, 'whhe') THEN 'whhe' WHEN contains(t, 'eaux') THEN 'eaux' END AS avoid FROM v)
+SELECT page_id, avoid, CASE WHEN avoid IS NOT NULL THEN 'low' ELSE value END AS value FROM a""",
+    "interleaved_sites": "SELECT doc_id, source AS site, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents",
+    "upserted_results": f"""WITH {RESULTS}, new AS (SELECT norm_url, max_by(page_id, page_id) AS page_id, max_by('new ' || title, page_id) AS title FROM results WHERE page_id % 3 = 0 GROUP BY norm_url)
+SELECT page_id, norm_url, title FROM new UNION ALL SELECT page_id, norm_url, title FROM results ANTI JOIN new USING (norm_url)""",
+    "batches": f"WITH {DOCS}, t AS (SELECT doc_id FROM docs ORDER BY word_count DESC, doc_id LIMIT 120) SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 40 AS batch FROM t",
+    "browser_budget": f"WITH {DOCS} SELECT doc_id, word_count FROM docs WHERE word_count < 60 ORDER BY doc_id LIMIT 8",
+    "graded_documents": f"WITH {GRADED} SELECT doc_id, grade, worthy, reason FROM worth",
+    "graph_admission": f"""WITH {DOCS}, u AS (SELECT error IS NULL AND method <> 'raw' AND word_count >= 30 AS useful, verdict IS NOT DISTINCT FROM 'unlikely' AS off FROM docs)
+SELECT count(*) FILTER (useful AND NOT off) AS admitted, count(*) FILTER (NOT useful) AS useless, count(*) FILTER (useful AND off) AS off_topic FROM u""",
+    "quality_summary": f"""WITH {GRADED} SELECT count(*) AS total, count(*) FILTER (grade = 'full') AS "full", count(*) FILTER (grade = 'thin') AS thin, count(*) FILTER (grade = 'snippet') AS snippet,
+  count(*) FILTER (grade = 'full') / count(*) AS body_ratio, count(*) FILTER (worthy) AS packable, count(*) FILTER (grade = 'full' AND verdict = 'unlikely') AS irrelevant FROM worth""",
+    "relevance_summary": f"WITH {DOCS} SELECT count(verdict) AS judged, count(*) FILTER (verdict = 'unlikely') AS unlikely FROM docs",
+    "date_coverage": f"WITH {DOCS} SELECT count(published) AS known, count(*) AS total, count(published) / count(*) AS ratio, min(published) AS first, max(published) AS last FROM docs",
+    "method_tally": f"WITH {DOCS} SELECT 0::BIGINT AS subtitle, 0::BIGINT AS api, count(*) FILTER (method = 'readability') AS readability, 0::BIGINT AS browser, count(*) FILTER (method = 'raw') AS raw FROM docs",
+    "site_distribution": f"WITH {DOCS} SELECT site, count(*) AS n, count(*) FILTER (length(trim(text, ' ')) > 0) AS with_text, count(error) AS errors, count(error) > 0 OR count(*) FILTER (length(trim(text, ' ')) > 0) < count(*) AS note FROM docs GROUP BY site",
+    "kind_breakdown": "SELECT 'article' AS kind, count(*) AS n FROM pages",
+    "excluded_reasons": rf"WITH {GRADED} SELECT regexp_replace(coalesce(reason, 'other'), ':? ?\d+.*$', '') AS reason, count(*) AS n FROM worth WHERE NOT worthy GROUP BY 1",
+    "failure_reasons": f"WITH {DOCS} SELECT substr(error, 1, 40) AS error, count(*) AS n FROM docs WHERE error IS NOT NULL GROUP BY 1",
+    "value_groups": f"WITH {DOCS}, g AS (SELECT coalesce(value, '未分类') AS name, count(*) AS n FROM docs GROUP BY 1) SELECT *, row_number() OVER (ORDER BY name = '未分类', n DESC, name) AS place FROM g",
+    "provider_coverage": f"WITH {RESULTS} SELECT provider, count(*) AS total, count(published) AS known, min(rank) AS best_rank FROM results GROUP BY provider",
+    "package_manifest": f"WITH {GRADED} SELECT doc_id, 'articles/' || doc_id || '.md' AS path FROM worth WHERE worthy",
+    "text_facts": rf"""SELECT doc_id, {WORD_COUNT} AS words, CASE WHEN trim(substr(text, 1, 1000)) = '' THEN 'unknown' WHEN len(regexp_extract_all(substr(text, 1, 1000), '[一-鿿]')) / length(substr(text, 1, 1000)) > 0.15 THEN 'zh' ELSE 'en' END AS lang_found,
+  substr(text, 1, 200) AS excerpt,
+  CASE WHEN length(substr(text, 1, 3000)) < 40 THEN false WHEN len(regexp_extract_all(substr(text, 1, 3000), '[\p{{L}}\p{{N}}\s]')) / length(substr(text, 1, 3000)) > 0.75 THEN false
+       WHEN len(regexp_extract_all(substr(text, 1, 3000), '[{{}};=<>]|=>|::')) / length(substr(text, 1, 3000)) > 0.05 THEN true ELSE regexp_matches(substr(text, 1, 3000), 'function\s*\(|\bvar\s+\w+\s*=') END AS code,
+  NULL::VARCHAR AS boilerplate FROM documents""",
+    "html_facts": f"WITH p AS (SELECT page_id, html, {_PLAIN} AS t FROM pages) SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS n_chars, length(t) < 200 AND len(list_reduce(list_prepend('', regexp_extract_all(html, '(?is)<script\\b.*?</script>')), lambda a, b: a || b)) / length(html) > 0.5 AS shell FROM p",
+    "formatted_numbers": r"""WITH n AS (SELECT doc_id, n_chars AS s, n_chars * 37 AS c FROM documents)
+SELECT doc_id, CASE WHEN c < 1000 THEN c::VARCHAR WHEN c < 10000 THEN regexp_replace(printf('%.1f', floor(c / 1000 * 10 + 0.5) / 10), '\.0$', '') || 'k' WHEN c < 100000000 THEN regexp_replace(printf('%.1f', floor(c / 10000 * 10 + 0.5) / 10), '\.0$', '') || '万' ELSE regexp_replace(printf('%.1f', floor(c / 100000000 * 10 + 0.5) / 10), '\.0$', '') || '亿' END AS count,
+  CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, s AS seconds FROM n""",
+    "industry_matches": "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'the') THEN 'the' END, CASE WHEN contains(lower(text), 'eaux') THEN 'eaux' END, CASE WHEN contains(lower(text), 'ción') THEN 'ción' END], lambda x: x IS NOT NULL), ',') AS matched, round((contains(lower(text), 'the')::INT + contains(lower(text), 'eaux')::INT + contains(lower(text), 'ción')::INT) / 3, 6) AS score FROM documents",
+    "term_matches": "SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the($|[^A-Za-z0-9])') AS the, contains(lower(text), 'ción') AS cion FROM documents",
+    "parsed_dates": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN epoch_ms(date_trunc('second', ts)) WHEN 1 THEN epoch_ms(date_trunc('day', ts)) WHEN 2 THEN epoch_ms(date_trunc('day', ts)) WHEN 3 THEN epoch_ms(date_trunc('minute', ts)) END AS ms FROM events""",
+    "planned_tasks": "SELECT doc_id, 'article' AS kind FROM documents WHERE trim(text, ' ') <> '' UNION ALL SELECT doc_id, unnest(['transcript', 'media']) FROM documents WHERE doc_id % 5 = 0",
+    "job_summary": f"""WITH {_TASKS}, s AS (SELECT job_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('queued', 'running', 'paused')) AS remaining, sum(bytes)::BIGINT AS bytes
+  FROM tasks WHERE event_id % 5 > 1 OR job_id % 3 = 0 GROUP BY job_id)
+SELECT *, CASE WHEN remaining > 0 THEN 'running' WHEN failed = 0 THEN 'done' WHEN done = 0 THEN 'failed' ELSE 'partial' END AS outcome FROM s""",
+    "latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id",
+    "resumed_tasks": f"WITH {_TASKS} SELECT CASE WHEN status IN ('running', 'paused', 'failed') THEN 'queued' ELSE status END AS status, count(*) AS n FROM tasks GROUP BY 1",
+    "stalled_minutes": "SELECT user_id, epoch(date_trunc('minute', ts))::BIGINT AS start_s, sum(event_id)::BIGINT AS moved FROM events GROUP BY ALL HAVING sum(event_id) < 8192",
+    "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n, sum(event_id)::BIGINT AS value FROM events GROUP BY ALL",
+    "visible_edges": """WITH n AS (SELECT doc_id AS id FROM documents WHERE source NOT IN ('src1', 'src2')), e AS (SELECT doc_id AS src, doc_id + 1 AS dst, CASE WHEN quality = 1 THEN 'cooccur' ELSE 'relation' END AS kind FROM labels)
+SELECT src, dst, kind FROM e WHERE kind <> 'relation' AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
+    "conversation_text": "SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
+}
