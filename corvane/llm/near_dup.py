@@ -16,6 +16,10 @@ from corvane.llm.components import components
 from corvane.llm.textkit import SPACE_PARTED, Words, mix, pieces, rolled, utf8
 
 
+#: Shingles found in more documents than this are common, in the search for the last links.
+FEW = 8
+
+
 @dataclass(frozen=True)
 class Settings:
     """Similarity as a percentage, words in a shingle, and how signatures are banded.
@@ -145,7 +149,77 @@ def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     at = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     at = written(at, "open")
     several = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low < high")
-    return at.join(several.select("bucket", "least"), "bucket")
+    return written(at.join(several.select("bucket", "least"), "bucket"), "open")
+
+
+def _reachable(settings: Settings, most: str) -> F.Column:
+    """Whether a member sharing at most `most` shingles can be similar to any of its bucket.
+
+    similar(x, y): 100 * both >= percent * (n_x + n_y - both), and both <= most.
+    """
+    some = F.col(most) * (100 + settings.percent) >= (F.col("n") + F.col("least")) * settings.percent
+    return some & (F.col(most) * 100 >= F.col("n") * settings.percent)
+
+
+def _frequencies(texts: DataFrame, ids: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Of the documents in ids: (id, lone, rare) counts of shingles, and (id, shingle) of the rare ones.
+
+    lone shingles are in no other of these documents, rare ones in 2 to FEW.
+    """
+    tokens = written(texts.join(ids, "id").mapInArrow(_shared(settings), "id long, shingle long"), "tokens")
+    df = written(tokens.groupBy("shingle").agg(F.count("*").alias("df"), F.min("id").alias("id")).where(f"df <= {FEW}"), "df")
+    rare = written(tokens.join(df.where("df > 1").select("shingle"), "shingle"), "rare")
+    lone = df.where("df = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    counts = ids.join(lone, "id", "left").join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    return written(counts.fillna(0, ["lone", "rare"]), "counts"), rare
+
+
+def _rest(members: DataFrame, found: DataFrame, tried: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links that the comparison with the first of each bucket has not shown.
+
+    What two documents share is at most the smaller number of their common
+    shingles (those in more than FEW documents) plus the rare shingles they share.
+    So a pair in one bucket and two components that can still be similar either
+    shares a rare shingle, which the join on those finds (FEW * FEW / 2 pairs for
+    a shingle at most), or has enough common shingles on both sides.
+    """
+    no_links = texts.sparkSession.createDataFrame([], "u long, v long")
+    left = _open_buckets(members, found)
+    if left.isEmpty():
+        return no_links
+    counts, rare = _frequencies(texts, left.select("id").distinct(), settings)
+    facts = F.col("n") - F.col("lone")
+    left = left.join(counts, "id").select("bucket", "id", "n", "least", "component", facts.alias("most"), (facts - F.col("rare")).alias("common"))
+    left = written(left.where(_reachable(settings, "most")), "left")
+
+    # Once more a star, now around the member with the largest share of common shingles.
+    hub = left.groupBy("bucket").agg(F.max(F.struct(F.col("common") / F.col("n"), -F.col("id"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("hub"))
+    star = left.join(hub, "bucket").where("component <> hub.component")
+    star = star.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v"), F.col("n").alias("nu"), F.col("hub.n").alias("nv"))
+    star = written(star.where(_near_size(settings, "nu", "nv")).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "star")
+    links = written(_links(star, texts, settings), "links")
+    if not links.isEmpty():
+        joined = components(links.select("u", "v").unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        left = _open_buckets(left.drop("component", "least"), joined)
+        left = written(left.where(_reachable(settings, "most")), "left")
+    tried = tried.unionByName(star)
+
+    info = written(left.select("id", "n", "common", "component").distinct(), "info")
+    of = lambda x: info.select(*[F.col(c).alias(f"{c}_{x}") for c in info.columns])
+    ours = rare.join(info.select("id"), "id")
+    shared = ours.select("shingle", F.col("id").alias("id_a")).join(ours.select("shingle", F.col("id").alias("id_b")), "shingle").where("id_a < id_b")
+    shared = shared.groupBy("id_a", "id_b").agg(F.count("*").alias("c")).join(of("a"), "id_a").join(of("b"), "id_b")
+    enough = left.where(_reachable(settings, "common")).select("bucket", "id", "n", "common", "component")
+    a, b = (enough.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "common", "component")]) for x in "ab")
+    alike = a.join(b, "bucket").where("id_a < id_b").withColumn("c", F.lit(0))
+    parts = []
+    for pairs in (shared, alike):
+        both = F.least("common_a", "common_b") + F.col("c")
+        pairs = pairs.where("component_a <> component_b").where(_near_size(settings, "n_a", "n_b"))
+        pairs = pairs.where(both * (100 + settings.percent) >= (F.col("n_a") + F.col("n_b")) * settings.percent)
+        parts.append(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    pairs = written(parts[0].unionByName(parts[1]).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    return links.unionByName(_links(pairs, texts, settings))
 
 
 def classes(documents: DataFrame, settings: Settings = AT_85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,11 +235,9 @@ def classes(documents: DataFrame, settings: Settings = AT_85, id_col: str = "doc
        row in what follows. 2. Nodes that share a band of the signature share a
        bucket. Each member is compared, on full sets, with the bucket's first one
        only: a bucket of g members makes g - 1 pairs. 3. What is left are buckets
-       whose members are not yet one component. For each of their members,
-       shingles found in no other member are counted; who has too many of them
-       cannot be similar to anyone in the bucket, by an exact bound, and leaves.
-       4. In the buckets that still hold several components, all pairs across
-       components that pass the bound are compared. No candidate is given up.
+       whose members are not yet one component; `_rest` compares, by exact bounds
+       on what two sets can share, every pair that can still be a link. No
+       candidate is given up.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(rows.mapInArrow(_signed(settings), "id long, n long, digest binary, bands array<long>"), "signed")
@@ -184,27 +256,9 @@ def classes(documents: DataFrame, settings: Settings = AT_85, id_col: str = "doc
     pairs = written(stars.where(_near_size(settings, "nu", "nv")).select("u", "v"), "pairs")
     links = written(_links(pairs, texts, settings), "links")
     found = components(links)
-    members = members.select("bucket", "id", "n")
-    left = written(_open_buckets(members, found), "left")
-    if not left.isEmpty():
-        ids = left.select("id").distinct()
-        tokens = texts.join(ids, "id").mapInArrow(_shared(settings), "id long, shingle long")
-        tokens = written(tokens, "tokens")
-        lone = tokens.groupBy("shingle").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("lone"))
-        left = left.join(lone, "id", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0)))
-        # similar(x, y): 100 * both >= percent * (n_x + n_y - both), and both <= most
-        bound = F.col("most") * (100 + settings.percent)
-        left = left.where(bound >= (F.col("n") + F.col("least")) * settings.percent).where(F.col("most") * 100 >= F.col("n") * settings.percent)
-        left = written(left.select("bucket", "id", "n", "component", "most"), "left")
-        several = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        left = left.join(several, "bucket")
-        a, b = (left.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "most")]) for x in "ab")
-        cross = a.join(b, "bucket").where("id_a < id_b AND component_a <> component_b").where(_near_size(settings, "n_a", "n_b"))
-        cross = cross.where(F.least("most_a", "most_b") * (100 + settings.percent) >= (F.col("n_a") + F.col("n_b")) * settings.percent)
-        cross = written(cross.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "cross")
-        more = written(_links(cross, texts, settings), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    more = written(_rest(members.select("bucket", "id", "n"), found, pairs, texts, settings), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     joined = nodes.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     of_set = joined.select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "digest").join(of_set, "digest", "left")
