@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvane.llm.dom import Page, parse
 from corvane.llm.page_samples import labelled_pages
 
-TAGS = ("html", "body", "head", "main article", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer address", "aside", "form fieldset select option", "button", "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption details summary")
+TAGS = ("html", "body", "head", "main", "article", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer address", "aside", "form fieldset select option", "button", "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption details summary")
 MARKS = (r"nav|menu|breadcrumb|topbar", r"\bads?\b|advert|banner|promo|sponsor", r"comment|repl(y|ies)|discussion|respon[sd]", r"cookie|consent|notice|popup|modal|gdpr|alert|overlay", r"side|widget|related|recommend", r"share|social|tags?\b", r"foot|copyright|bottom|legal", r"header|masthead|logo", r"content|article|post|story|entry|\bmain\b|\btext\b", r"login|search|subscribe|newsletter|signup|form")
 _TAG_OF = {t: k for k, names in enumerate(TAGS) for t in names.split()}
 _MARKS = [re.compile(m) for m in MARKS]
@@ -36,6 +36,7 @@ class Forest:
     depth: np.ndarray
     x: np.ndarray
     levels: list[np.ndarray]
+    trunk: np.ndarray  # 1 where the parent is the page's root or body, else 0
 
     @classmethod
     def of(cls, pages: list[Page]) -> Forest:
@@ -53,11 +54,11 @@ class Forest:
         for idx in levels[:0:-1]:
             np.add.at(below, parent[idx], below[idx])
         kind = np.zeros((n, len(TAGS)))
-        kind[np.arange(n), [_TAG_OF.get(t, 5) for p in pages for t in p.tag]] = 1
+        kind[np.arange(n), [_TAG_OF.get(t, 6) for p in pages for t in p.tag]] = 1
         marks = np.array([_mark_row(m) for p in pages for m in p.marks], float).reshape(n, len(MARKS))
         rate = lambda a, b: a / np.maximum(b, 1)
         numbers = [np.ones(n), np.log1p(np.minimum(sums[:, 0], 1000)) / 5, np.log1p(np.minimum(below[:, 0], 1000)) / 5, rate(sums[:, 1], sums[:, 0]), rate(below[:, 1], below[:, 0]), np.minimum(rate(20 * below[:, 2], below[:, 0]), 2), below[:, 0] == 0, np.minimum(below[:, 3], 20) / 20, rate(sums[:, 0], below[:, 0])]
-        return cls(parent, depth, np.concatenate([np.stack(numbers, axis=1).reshape(n, len(numbers)), kind, marks], axis=1), levels)
+        return cls(parent, depth, np.concatenate([np.stack(numbers, axis=1).reshape(n, len(numbers)), kind, marks], axis=1), levels, np.where(parent >= 0, kind[parent, :2].sum(axis=1), 1).astype(int))
 
 
 def _levels(depth: np.ndarray) -> list[np.ndarray]:
@@ -67,7 +68,11 @@ def _levels(depth: np.ndarray) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """weights: of a block's features, for content against not. pair[a][b]: log potential of parent a, child b."""
+    """weights: of a block's features, for content against not.
+
+    pair[t][a][b]: log potential of a parent with label a and a child with label
+    b; t is 1 for children of the root or the body, which hold all sorts of blocks.
+    """
 
     weights: np.ndarray
     pair: np.ndarray
@@ -77,7 +82,7 @@ class Model:
         return self.messages(forest)[0]
 
     def messages(self, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of blocks, and the expected number of edges by parent and child label.
+        """Marginals of blocks, and the expected number of edges by kind, parent's and child's label.
 
         Sum-product on each page's tree. Upward, level by level from the deepest:
         each child tells its parent how likely its subtree is under either label
@@ -91,18 +96,20 @@ class Model:
         levels = forest.levels
         inward, up = np.zeros((n, 2)), np.zeros((n, 2))
         for idx in levels[:0:-1]:
-            belief = unary[idx] + inward[idx]
-            up[idx] = np.logaddexp(self.pair[:, 0] + belief[:, :1], self.pair[:, 1] + belief[:, 1:])
+            belief, pair = unary[idx] + inward[idx], self.pair[forest.trunk[idx]]
+            up[idx] = np.logaddexp(pair[:, :, 0] + belief[:, :1], pair[:, :, 1] + belief[:, 1:])
             for k in (0, 1):
                 inward[:, k] += np.bincount(forest.parent[idx], up[idx, k], n)
-        down, edges = np.zeros((n, 2)), np.zeros((2, 2))
+        down, edges = np.zeros((n, 2)), np.zeros((2, 2, 2))
         for idx in levels[1:]:
-            mother = forest.parent[idx]
+            mother, pair = forest.parent[idx], self.pair[forest.trunk[idx]]
             rest = unary[mother] + inward[mother] - up[idx] + down[mother]
-            both = self.pair + rest[:, :, None] + (unary[idx] + inward[idx])[:, None, :]
+            both = pair + rest[:, :, None] + (unary[idx] + inward[idx])[:, None, :]
             both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
-            edges += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            down[idx] = np.logaddexp(self.pair[0] + rest[:, :1], self.pair[1] + rest[:, 1:])
+            both /= both.sum(axis=(1, 2), keepdims=True)
+            for t in (0, 1):
+                edges[t] += both[forest.trunk[idx] == t].sum(axis=0)
+            down[idx] = np.logaddexp(pair[:, 0] + rest[:, :1], pair[:, 1] + rest[:, 1:])
             down[idx] -= down[idx].max(axis=1, keepdims=True)
         belief = unary + inward + down
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -60, 60))), edges
@@ -118,17 +125,17 @@ def trained(pages: list[str], flag: str = "data-c", ridge: float = 1.0, steps: i
     parsed = [parse(p, flag) for p in pages]
     forest, y = Forest.of(parsed), np.array([f for p in parsed for f in p.flagged], float)
     child = np.flatnonzero(forest.parent >= 0)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[forest.parent[child]].astype(int), y[child].astype(int)), 1)
+    seen = np.zeros((2, 2, 2))
+    np.add.at(seen, (forest.trunk[child], y[forest.parent[child]].astype(int), y[child].astype(int)), 1)
     n = forest.x.shape[1]
-    w, mean, square = np.zeros(n + 4), np.zeros(n + 4), np.zeros(n + 4)
+    w, mean, square = np.zeros(n + 8), np.zeros(n + 8), np.zeros(n + 8)
     for k in range(1, steps + 1):
-        p, edges = Model(w[:n], w[n:].reshape(2, 2)).messages(forest)
+        p, edges = Model(w[:n], w[n:].reshape(2, 2, 2)).messages(forest)
         gradient = np.concatenate([forest.x.T @ (y - p), (seen - edges).ravel()]) - ridge * w
         mean += 0.1 * (gradient - mean)
         square += 0.01 * (gradient**2 - square)
         w += rate * (1 - k / (steps + 1)) * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
-    return Model(w[:n], w[n:].reshape(2, 2))
+    return Model(w[:n], w[n:].reshape(2, 2, 2))
 
 
 @lru_cache(maxsize=1)

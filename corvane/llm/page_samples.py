@@ -66,7 +66,7 @@ def labelled_page(r: random.Random) -> str:
             return f"<table{c}><tr{c}><td{c}>{_words(r, 1, 5)}</td><td{c}>{_words(r, 1, 5)}</td></tr></table>"
         return f"<div{c}>{_text(r, 6, 30)}</div>"
 
-    body = [f"<h1{c}>{_words(r, 2, 12)}</h1>"] + [paragraph() for _ in range(r.choice([r.randint(1, 12), r.randint(1, 12), r.randint(10, 60)]))]
+    body = [f"<h1{c}>{_words(r, 2, 12)}</h1>"] + [paragraph() for _ in range(r.choice([r.randint(1, 3), r.randint(1, 12), r.randint(1, 12), r.randint(10, 60)]))]
     for extra in (ad, share, form, notice, comments, side):
         if r.random() < 0.15:
             body.insert(r.randint(1, len(body)), close_p and extra() or "</p>" + extra())
@@ -78,8 +78,11 @@ def labelled_page(r: random.Random) -> str:
     after = [f() for f, p in ((comments, 0.4), (side, 0.5), (ad, 0.3), (share, 0.3), (notice, 0.15), (form, 0.2)) if r.random() < p]
     r.shuffle(before)
     r.shuffle(after)
-    tail = footer() + ("</body></html>" if r.random() < 0.9 else "")
-    return f'<!DOCTYPE html><html><head><title>{_words(r, 2, 8)}</title><style>p{{margin:0}}</style></head><body{c}>' + "".join(before) + article + "".join(after) + tail
+    whole = "".join(before) + article + "".join(after) + footer()
+    if r.random() < 0.3:
+        whole = f"<div{_attr(r, 'page wrapper root container site', 0.8)}{c}>{whole}</div>"
+    tail = "</body></html>" if r.random() < 0.9 else ""
+    return f'<!DOCTYPE html><html><head><title>{_words(r, 2, 8)}</title><style>p{{margin:0}}</style></head><body{c}>' + whole + tail
 
 
 def labelled_pages(n: int, seed: int = 5) -> list[str]:

@@ -93,12 +93,12 @@ def test_messages_are_exact():
     r = np.random.default_rng(0)
     page = dom.parse("<div><p>a</p><ul><li>b</li><li>c</li></ul></div><p>d</p>")
     forest = html_extract.Forest.of([page])
-    model = html_extract.Model(r.normal(size=forest.x.shape[1]), r.normal(size=(2, 2)))
+    model = html_extract.Model(r.normal(size=forest.x.shape[1]), r.normal(size=(2, 2, 2)))
     n, total = len(forest.parent), np.zeros(len(forest.parent))
     mass = 0.0
     for k in range(1 << n):
         y = [k >> j & 1 for j in range(n)]
-        e = np.exp(sum(y[j] * (forest.x[j] @ model.weights) for j in range(n)) + sum(model.pair[y[forest.parent[j]], y[j]] for j in range(1, n)))
+        e = np.exp(sum(y[j] * (forest.x[j] @ model.weights) for j in range(n)) + sum(model.pair[forest.trunk[j], y[forest.parent[j]], y[j]] for j in range(1, n)))
         mass += e
         total += e * np.array(y)
     assert np.allclose(model.marginals(forest), total / mass)
