@@ -14,26 +14,35 @@ from corvane.functions.text import keyword_type, round3
 DECIMAL = "decimal(38,12)"
 
 
-def segments(text: Column) -> Column:
-    """(word, tag) of a text: runs without CJK in lower case, tag eng; runs with CJK as their pairs of characters, tag n."""
-    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    pair = lambda w, t: F.struct(w.alias("word"), F.lit(t).alias("tag"))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: pair(F.substr(r, i, F.lit(2)), "n"))
-    each = lambda r: F.when(~r.rlike("[一-鿿]"), F.array(pair(F.lower(r), "eng"))).when(F.length(r) > 1, pairs(r)).otherwise(F.array().cast("array<struct<word:string,tag:string>>"))
-    return F.flatten(F.transform(runs, each))
+CJK = "[一-鿿]"
 
 
 def is_content(word: Column) -> Column:
     """No stop word, no number, long enough (two CJK characters or three others), 20 at most."""
-    cjk = word.rlike("[一-鿿]")
     n = F.length(word)
-    return ~F.lower(word).isin(*C.STOPWORDS) & ~word.rlike(r"^[\d.]+$") & (n <= 20) & F.when(cjk, n >= 2).otherwise(n >= 3)
+    return (n <= 20) & ((n >= 3) | (n == 2) & word.rlike(CJK)) & ~word.isin(*C.STOPWORDS) & ~word.rlike(r"^[\d.]+$")
+
+
+def content_words(text: Column) -> Column:
+    """Content words of a text in order, latin ones in lower case.
+
+    Runs of letters and digits are words; a run with CJK is its pairs of
+    characters. Only texts with CJK take the way that looks at every run.
+    """
+    runs = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
+    each = lambda r: F.when(~r.rlike(CJK), F.array(F.lower(r))).when(F.length(r) > 1, pairs(r)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.when(text.rlike(CJK), F.flatten(F.transform(runs(text), each))).otherwise(runs(F.lower(text))), is_content)
 
 
 def tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pos, word, tag of every content word; pos counts content words. Null texts have none."""
-    kept = F.filter(segments(F.col(text_col)), lambda t: is_content(t["word"]))
-    return documents.select(F.col(id_col).alias("doc_id"), F.posexplode(kept).alias("pos", "t")).select("doc_id", "pos", F.col("t.word").alias("word"), F.col("t.tag").alias("tag"))
+    """doc_id, pos, word, tag of every content word; pos counts content words. Null texts have none.
+
+    The tag is n for pairs of CJK characters, eng for other words: a pair with
+    fewer than three characters and no CJK in it is no content word.
+    """
+    words = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(content_words(F.col(text_col))).alias("pos", "word"))
+    return words.withColumn("tag", F.when(F.col("word").rlike(CJK), "n").otherwise("eng"))
 
 
 def tfidf(documents: DataFrame) -> DataFrame:

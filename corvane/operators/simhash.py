@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane import constants as C
-from corvane.operators.graph import is_content, segments
+from corvane.operators.graph import content_words
 
 # The 64-bit FNV-1a offset and prime.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -25,27 +25,35 @@ def fnv1a(word: str) -> int:
     return h
 
 
-def simhash(words: list[str], cache: dict[str, np.ndarray]) -> int:
-    """Per bit, words with it set against words without; set if there are more. Ties are 0."""
-    if len(cache) > 200_000:
-        cache.clear()
-    for w in set(words) - cache.keys():
-        cache[w] = np.unpackbits(np.array([fnv1a(w)], "<u8").view(np.uint8), bitorder="little").astype(np.int8) * 2 - 1
-    votes = np.sum([cache[w] for w in words], axis=0, dtype=np.int64)
-    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+def fnv1a_all(words: list[str]) -> np.ndarray:
+    """The same of many words at once, one code unit after the other."""
+    raw = [w.encode("utf-16-le") for w in words]
+    units = np.zeros((len(raw), max(map(len, raw), default=0) // 2), np.uint16)
+    size = np.array([len(x) // 2 for x in raw], np.int64)
+    units[np.arange(units.shape[1]) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint16)
+    h = np.full(len(raw), OFFSET, np.uint64)
+    for k in range(units.shape[1]):
+        on = size > k
+        h[on] = (h[on] ^ units[on, k]) * np.uint64(PRIME)
+    return h
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict[str, np.ndarray] = {}
+    """Per bit, words with it set against words without; set if there are more. Ties are 0."""
     for batch in batches:
-        out = [simhash(w, cache) for w in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "hash"])
+        lists = batch.column(1)
+        coded = lists.flatten().dictionary_encode()
+        bits = np.unpackbits(fnv1a_all(coded.dictionary.to_pylist()).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+        index, ends = coded.indices.to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        out = np.zeros((batch.num_rows, 8), np.uint8)
+        for k in range(batch.num_rows):
+            out[k] = np.packbits(bits[index[ends[k] : ends[k + 1]]].sum(axis=0, dtype=np.int64) > 0, bitorder="little")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view("<i8").ravel(), pa.int64())], ["doc_id", "hash"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and hash of documents without an error, with 80 words and 80 content words."""
-    words = F.transform(F.filter(segments(F.col("text")), lambda t: is_content(t["word"])), lambda t: t["word"])
-    rows = documents.where("error IS NULL AND word_count >= 80").select("doc_id", words.alias("words")).where(F.size("words") >= C.SIMHASH_WORDS)
+    rows = documents.where("error IS NULL AND word_count >= 80").select("doc_id", content_words(F.col("text")).alias("words")).where(F.size("words") >= C.SIMHASH_WORDS)
     return rows.mapInArrow(_fingerprints, "doc_id long, hash long")
 
 

@@ -117,7 +117,8 @@ def test_years():
 
 
 def test_simhash_earliest_copy(spark):
-    assert simhash.fnv1a("") == simhash.OFFSET
+    some = ["", "a", "ünï😀", "模型"]
+    assert simhash.fnv1a_all(some).tolist() == [simhash.fnv1a(w) for w in some] and simhash.fnv1a("") == simhash.OFFSET
     r = random.Random(3)
     hashes = []
     for k in range(300):
