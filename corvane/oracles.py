@@ -176,3 +176,27 @@ SELECT *, CASE WHEN remaining > 0 THEN 'running' WHEN failed = 0 THEN 'done' WHE
 SELECT src, dst, kind FROM e WHERE kind <> 'relation' AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
     "conversation_text": "SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
 }
+
+_GRAPH = f"""{DOCS}, {TFIDF}, con AS (SELECT doc_id, word, floor((1 + round(score, 9)) * 1000 + 0.5) / 1000 AS w FROM scored SEMI JOIN kw USING (word)),
+cl AS (SELECT word, 'c' || (ascii(word) % 4) AS cluster FROM kw), part AS (
+  SELECT doc_id, cluster, sum((kw.weight * con.w)::DECIMAL(38, 6)) AS part FROM con JOIN kw USING (word) JOIN cl USING (word) GROUP BY ALL
+), shares AS (SELECT doc_id, cluster, round(part::DOUBLE / sum(part) OVER (PARTITION BY doc_id)::DOUBLE, 6) AS share FROM part)"""
+
+ORACLES |= {
+    "cluster_summaries": f"WITH {_GRAPH}, l AS (SELECT cluster, list(word ORDER BY weight DESC, word) AS a FROM kw JOIN cl USING (word) GROUP BY cluster) SELECT cluster, len(a) AS size, array_to_string(a[1:3], ' · ') AS label, array_to_string(a[1:5], ',') AS top_terms FROM l",
+    "cluster_shares": f"WITH {_GRAPH} SELECT * FROM shares",
+    "cluster_documents": f"WITH {_GRAPH}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY share DESC, doc_id) AS nth, count(*) OVER (PARTITION BY cluster) AS n FROM shares WHERE share >= 0.2) SELECT cluster, doc_id, share, nth, n FROM r WHERE nth <= 10",
+    "document_clusters": f"WITH {_GRAPH} SELECT doc_id, cluster FROM shares QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, cluster) = 1",
+    "cluster_links": f"""WITH {_GRAPH}, hits AS (SELECT doc_id, pos, word FROM toks SEMI JOIN kw USING (word)), e AS (
+  SELECT DISTINCT least(a.word, b.word) AS wa, greatest(a.word, b.word) AS wb FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 15 AND a.word <> b.word)
+SELECT least(x.cluster, y.cluster) AS cluster_a, greatest(x.cluster, y.cluster) AS cluster_b, count(*) AS n FROM e JOIN cl x ON x.word = wa JOIN cl y ON y.word = wb WHERE x.cluster <> y.cluster GROUP BY ALL ORDER BY n DESC, cluster_a, cluster_b LIMIT 16""",
+    "top_concepts": f"WITH {_GRAPH}, c AS (SELECT year(published) AS year, word, count(*) AS n FROM con JOIN docs USING (doc_id) WHERE published IS NOT NULL GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, word) AS nth FROM c QUALIFY nth <= 3",
+    "word_years": f"WITH {_GRAPH} SELECT word, min(year(published)) AS year FROM con JOIN docs USING (doc_id) GROUP BY word",
+    "length_frame": f"WITH {DOCS}, q AS (SELECT quantile_cont(word_count, 0.25) AS q1, quantile_cont(word_count, 0.75) AS q3 FROM docs) SELECT min(word_count) AS low, max(word_count) AS high, count(*) AS n FROM docs, q WHERE word_count BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1)",
+    "formatted_sizes": """WITH n AS (SELECT doc_id, n_chars, n_chars * n_chars AS n FROM documents)
+SELECT doc_id, CASE WHEN n >= 1024 ** 3 THEN printf('%.1f GB', floor(n / 1024 ** 3 * 10 + 0.5) / 10) WHEN n >= 1024 ** 2 THEN printf('%.1f MB', floor(n / 1024 ** 2 * 10 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE n || ' B' END AS size,
+  ((doc_id % 9 + 0.5) * 1048576)::BIGINT AS bytes, round(14 + 46 * sqrt(n_chars / 40000), 6) AS node FROM n""",
+    "error_classes": f"WITH {DOCS} SELECT doc_id, false AS retry, CASE WHEN contains(error, 'HTTP 403') THEN '[known limitation] zhihu refuses readers without an account' END AS limitation, '失败:' || error AS status FROM docs WHERE error IS NOT NULL",
+    "refreshed_documents": f"WITH {RESULTS} SELECT page_id, CASE WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 3 = 0) THEN 'fresh' WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 2 = 0) THEN 'old' END AS document FROM results",
+    "source_list": f"WITH {DOCS}, f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM docs) SELECT f.doc_id, CASE WHEN first_id < f.doc_id THEN d.title END AS copy_of FROM f JOIN docs d ON d.doc_id = first_id",
+}

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import dates, html, text, urls
+from corvane.functions import dates, html, misc, text, urls
 from corvane.operators import graph, jobs, search, simhash
-from corvane.plans import report
+from corvane.plans import clusters, report
 from corvane.sources import tables
 from corvane.streaming import events as streams
 
@@ -366,3 +366,89 @@ def visible_edges(spark, d):
 def conversation_text(spark, d):
     rows = tables.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.md5(F.array_join(F.transform("turns", lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").cast("binary")).alias("text_md5"))
+
+
+def _graph(spark, d):
+    """Documents, keywords, contains edges, and clusters by a rule SQL can repeat."""
+    docs = tables.documents(spark, d)
+    words = graph.keywords(docs)
+    clusters = words.select("word", F.concat(F.lit("c"), (F.ascii("word") % 4).cast("string")).alias("cluster"))
+    return docs, words, graph.contains_edges(docs, words), clusters
+
+
+@_query
+def cluster_summaries(spark, d):
+    _, words, _, cl = _graph(spark, d)
+    return clusters.summaries(words, cl).withColumn("size", F.col("size").cast("long"))
+
+
+@_query
+def cluster_shares(spark, d):
+    _, words, contains, cl = _graph(spark, d)
+    return clusters.affinities(contains, words, cl)
+
+
+@_query
+def cluster_documents(spark, d):
+    _, words, contains, cl = _graph(spark, d)
+    return clusters.cluster_documents(clusters.affinities(contains, words, cl)).withColumn("nth", F.col("nth").cast("long"))
+
+
+@_query
+def document_clusters(spark, d):
+    _, words, contains, cl = _graph(spark, d)
+    return clusters.main_cluster(clusters.affinities(contains, words, cl))
+
+
+@_query
+def cluster_links(spark, d):
+    docs, words, _, cl = _graph(spark, d)
+    return clusters.cluster_links(graph.cooccurrence(docs, words), cl)
+
+
+@_query
+def top_concepts(spark, d):
+    docs, _, contains, _ = _graph(spark, d)
+    return clusters.top_concepts(contains, docs).withColumn("nth", F.col("nth").cast("long"))
+
+
+@_query
+def word_years(spark, d):
+    docs, _, contains, _ = _graph(spark, d)
+    return clusters.word_years(contains, docs)
+
+
+@_query
+def length_frame(spark, d):
+    return clusters.frame(tables.documents(spark, d), "word_count")
+
+
+@_query
+def formatted_sizes(spark, d):
+    n = F.col("n_chars") * F.col("n_chars")
+    return tables.table(spark, d, "documents").select("doc_id", misc.format_bytes(n).alias("size"), misc.to_bytes(F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".5MiB"))).alias("bytes"), F.round(misc.node_size(F.col("n_chars").cast("double"), F.lit(40000.0)), 6).alias("node"))
+
+
+@_query
+def error_classes(spark, d):
+    e = F.col("error")
+    return tables.documents(spark, d).where("error IS NOT NULL").select("doc_id", misc.is_retryable(e).alias("retry"), misc.known_limitation(F.lit("zhihu"), e).alias("limitation"), misc.provider_status(F.lit(False), F.lit(0), e).alias("status"))
+
+
+@_query
+def refreshed_documents(spark, d):
+    """Results with their fresh document, else the one they had; documents without a result go."""
+    rows = tables.results(spark, d).select("page_id", "norm_url")
+    fresh, old = rows.where("page_id % 3 = 0").select("norm_url", F.lit("fresh").alias("f")), rows.where("page_id % 2 = 0").select("norm_url", F.lit("old").alias("o"))
+    one = lambda x: x.dropDuplicates(["norm_url"])
+    return rows.join(one(fresh), "norm_url", "left").join(one(old), "norm_url", "left").select("page_id", F.coalesce("f", "o").alias("document"))
+
+
+@_query
+def source_list(spark, d):
+    """Documents with the title of the one they copy."""
+    docs = tables.documents(spark, d)
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    rep = docs.select(F.col("doc_id").alias("first_id"), F.col("title").alias("first_title"))
+    rows = docs.join(first, "text").join(rep, "first_id")
+    return rows.select("doc_id", F.when(F.col("first_id") < F.col("doc_id"), F.col("first_title")).alias("copy_of"))
