@@ -135,3 +135,22 @@ def vtt_text(vtt: Column) -> Column:
         return F.when(known, out).when(grown, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(line))).otherwise(F.concat(out, F.array(line)))
 
     return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), fold), " ")
+
+
+def compact_signals(signals: Column) -> Column:
+    """Signals with a finite value; null if none is left."""
+    kept = F.filter(signals, lambda s: s["value"].isNotNull() & ~F.isnan(s["value"]) & (F.abs(s["value"]) < float("inf")))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def signal_summary(signals: Column) -> Column:
+    """The three largest signals as label and short number."""
+    top = F.slice(F.array_sort(signals, lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).otherwise(0)), 1, 3)
+    return F.array_join(F.transform(top, lambda s: F.concat_ws(" ", s["label"], compact_count(s["value"]))), " · ")
+
+
+def description(text: Column, title: Column) -> Column:
+    """A description without leading numbers and its title; too short: empty."""
+    bare = F.trim(F.regexp_replace(text, r"^\d{6,}\s*-+\s*", ""))
+    bare = F.when((title != "") & bare.startswith(title), F.trim(F.substr(bare, F.length(title) + 1))).otherwise(bare)
+    return F.when(F.length(bare) < 10, "").otherwise(bare)

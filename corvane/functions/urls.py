@@ -103,3 +103,27 @@ def extension(url: Column) -> Column:
 
 def origin(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1), F.lit(""))
+
+
+def bilibili_id(url: Column) -> Column:
+    """BV or av id in the path, else in the query; none for articles."""
+    at = F.nullif(F.regexp_extract(path(url), r"/((?:BV[0-9A-Za-z]+)|(?:av\d+))", 1), F.lit(""))
+    asked = F.nullif(F.regexp_extract(query(url), r"(?:^|&)(?:bvid|oid)=([^&]+)", 1), F.lit(""))
+    return F.when(belongs_to(url, "bilibili.com") & ~path(url).rlike("^/(read|opus)/"), F.coalesce(at, asked))
+
+
+def canonical_bilibili(url: Column) -> Column:
+    """The plain address of a video, whatever else was in the url."""
+    return F.when(bilibili_id(url).isNotNull(), F.concat(F.lit("https://www.bilibili.com/video/"), bilibili_id(url))).otherwise(url)
+
+
+def absolute(url: Column) -> Column:
+    """A url without a scheme gets https."""
+    return F.regexp_replace(url, "^//", "https://")
+
+
+def cookie_header(cookies: Column, url: Column, now: Column) -> Column:
+    """Cookies (name, value, domain, expires in seconds) that go to a url: those of its host or above it, not expired."""
+    mine = lambda c: (host(url) == F.regexp_replace(c["domain"], r"^\.", "")) | host(url).endswith(F.concat(F.lit("."), F.regexp_replace(c["domain"], r"^\.", "")))
+    live = lambda c: c["expires"].isNull() | (c["expires"] <= 0) | (c["expires"] > now)
+    return F.array_join(F.transform(F.filter(cookies, lambda c: mine(c) & live(c)), lambda c: F.concat(c["name"], F.lit("="), c["value"])), "; ")

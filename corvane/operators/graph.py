@@ -231,3 +231,37 @@ def visible(nodes: DataFrame, edges: DataFrame, hidden_types: tuple[str, ...] =
     edges = edges.where(~F.col("kind").isin(*hidden_kinds)) if hidden_kinds else edges
     a, b = shown.select(F.col("id").alias("src")), shown.select(F.col("id").alias("dst"))
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi")
+
+
+def filled_years(nodes: DataFrame, clusters: DataFrame, fallback: int) -> DataFrame:
+    """Years of nodes without one: the median of their cluster's known years, else that of all, else the fallback.
+
+    nodes: word, year. Medians are taken once, before anything is filled; of an
+    even number the mean, halves up. inferred says which years were filled.
+    """
+    middle = lambda c: F.floor(F.percentile(c, 0.5) + 0.5).cast("int")
+    rows = nodes.join(clusters, "word", "left")
+    each = rows.where("year IS NOT NULL").groupBy("cluster").agg(middle("year").alias("c_year"))
+    whole = nodes.where("year IS NOT NULL").agg(middle("year").alias("a_year"))
+    rows = rows.join(each, rows["cluster"].eqNullSafe(each["cluster"]), "left").drop(each["cluster"]).join(F.broadcast(whole))
+    return rows.select("word", F.coalesce("year", "c_year", "a_year", F.lit(fallback)).alias("year"), F.col("year").isNull().alias("inferred"))
+
+
+def isolation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Share of nodes with one edge or none, and whether that is more than half."""
+    ends = edges.select(F.col("word_a").alias("word")).unionByName(edges.select(F.col("word_b").alias("word"))).groupBy("word").agg(F.count("*").alias("degree"))
+    share = F.avg((F.coalesce("degree", F.lit(0)) <= 1).cast("double"))
+    return nodes.select("word").join(ends, "word", "left").agg(share.alias("isolated")).withColumn("warn", F.col("isolated") > 0.5)
+
+
+def removed(nodes: DataFrame, edges: DataFrame, word: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without a keyword and without the documents that only it refers to.
+
+    nodes: id, doc_ids. edges: src, dst.
+    """
+    gone = nodes.where(F.col("id") == word).select(F.explode("doc_ids").alias("doc_id")).distinct()
+    held = nodes.where(F.col("id") != word).select(F.explode("doc_ids").alias("doc_id")).distinct()
+    lost = gone.join(held, "doc_id", "left_anti").select(F.col("doc_id").alias("id")).unionByName(nodes.where(F.col("id") == word).select("id"))
+    left = nodes.join(lost, "id", "left_anti")
+    ends = lambda c: lost.select(F.col("id").alias(c))
+    return left, edges.join(ends("src"), "src", "left_anti").join(ends("dst"), "dst", "left_anti").select(*edges.columns)

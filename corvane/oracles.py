@@ -200,3 +200,7 @@ SELECT doc_id, CASE WHEN n >= 1024 ** 3 THEN printf('%.1f GB', floor(n / 1024 **
     "refreshed_documents": f"WITH {RESULTS} SELECT page_id, CASE WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 3 = 0) THEN 'fresh' WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 2 = 0) THEN 'old' END AS document FROM results",
     "source_list": f"WITH {DOCS}, f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM docs) SELECT f.doc_id, CASE WHEN first_id < f.doc_id THEN d.title END AS copy_of FROM f JOIN docs d ON d.doc_id = first_id",
 }
+
+ORACLES["filled_years"] = f"""WITH {_GRAPH}, y AS (SELECT word, min(year(published)) AS year FROM con JOIN docs USING (doc_id) WHERE doc_id % 3 = 0 AND length(word) > 4 GROUP BY word),
+n AS (SELECT word, year, cluster FROM kw LEFT JOIN y USING (word) JOIN cl USING (word)), c AS (SELECT cluster, floor(quantile_cont(year, 0.5) + 0.5)::INT AS cy FROM n WHERE year IS NOT NULL GROUP BY cluster)
+SELECT word, coalesce(year, cy, (SELECT floor(quantile_cont(year, 0.5) + 0.5)::INT FROM n), 2026) AS year, year IS NULL AS inferred FROM n LEFT JOIN c USING (cluster)"""

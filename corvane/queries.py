@@ -452,3 +452,23 @@ def source_list(spark, d):
     rep = docs.select(F.col("doc_id").alias("first_id"), F.col("title").alias("first_title"))
     rows = docs.join(first, "text").join(rep, "first_id")
     return rows.select("doc_id", F.when(F.col("first_id") < F.col("doc_id"), F.col("first_title")).alias("copy_of"))
+
+
+@_query
+def filled_years(spark, d):
+    docs, words, contains, cl = _graph(spark, d)
+    some = contains.where(F.col("doc_id") % 3 == 0)
+    nodes = words.select("word").join(clusters.word_years(some.where(F.length("word") > 4), docs), "word", "left")
+    return graph.filled_years(nodes, cl, 2026)
+
+
+@_query
+def page_markdown(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", F.length(html.markdown(F.col("html"))).cast("long").alias("n_chars"), F.size(html.images(F.col("html"), urls.origin(F.col("url")))).cast("long").alias("n_images"))
+
+
+@_query
+def isolated_nodes(spark, d):
+    docs = tables.table(spark, d, "documents")
+    words = graph.keywords(docs)
+    return graph.isolation(graph.pruned(graph.cooccurrence(docs, words)), words)

@@ -65,3 +65,32 @@ def test_clusters(spark):
     shares = clusters.affinities(contains, words, cl)
     assert sorted((r.doc_id, r.cluster, r.share) for r in shares.collect()) == [(1, "c0", 0.5), (1, "c1", 0.5), (2, "c1", 1.0)]
     assert sorted((r.doc_id, r.cluster) for r in clusters.main_cluster(shares).collect()) == [(1, "c0"), (2, "c1")]
+
+
+def test_page_facts(spark):
+    from corvane.functions import html, urls
+
+    page = '<head><script>{"datePublished": "nonsense", "dateCreated": "2020-05-06"}</script><meta content="2021-01-01" property="article:published_time"></head><h2>A &amp; b</h2><p>See <a href="/x">this</a> <b>now</b><ul><li>one<li>two</ul><img src="/a.png"><img width=20 src="/b.png"><img data-src="//c/d.png" src="data:x"><img src="/a.png">'
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "k int, h string")
+    got = {r.k: r for r in df.select("k", html.first_date(F.col("h"), F.lit(1_900_000_000_000)).alias("ms"), html.images(F.col("h"), F.lit("https://o")).alias("i"), html.markdown(F.col("h")).alias("m")).collect()}
+    assert got[1].ms == 1588723200000 and got[1].i == ["https://o/a.png", "https://c/d.png"] and got[1].m == "## A & b\n\nSee [this](/x) **now**\n\n- one\n- two"
+    assert got[2].ms is None and got[2].m is None and got[3].m == "" and got[3].i == []
+    u = spark.createDataFrame([("https://www.bilibili.com/video/BV1x?p=2", "BV1x"), ("https://m.bilibili.com/festival?bvid=BV2", "BV2"), ("https://www.bilibili.com/read/cv1?oid=3", None), ("https://a.com/BV1", None), (None, None)], "u string, want string")
+    assert all(r.got == r.want for r in u.select("want", urls.bilibili_id(F.col("u")).alias("got")).collect())
+    c = spark.createDataFrame([([("a", "1", ".zhihu.com", 0.0), ("b", "2", "zhihu.com", 5.0), ("c", "3", "evil.com", 0.0)], "https://www.zhihu.com/")], "c array<struct<name:string,value:string,domain:string,expires:double>>, u string")
+    assert c.select(urls.cookie_header(F.col("c"), F.col("u"), F.lit(10)).alias("h")).first().h == "a=1"
+
+
+def test_years_and_removal(spark):
+    from corvane.operators import graph
+
+    nodes = spark.createDataFrame([("a", 2010), ("b", None), ("c", 2013), ("d", None), ("e", None)], "word string, year int")
+    cl = spark.createDataFrame([("a", "c0"), ("b", "c0"), ("c", "c0"), ("d", "c1")], "word string, cluster string")
+    assert sorted(tuple(r) for r in graph.filled_years(nodes, cl, 1).collect()) == [("a", 2010, False), ("b", 2012, True), ("c", 2013, False), ("d", 2012, True), ("e", 2012, True)]
+    assert {r.year for r in graph.filled_years(nodes.where("year IS NULL"), cl, 1999).collect()} == {1999}
+    g = spark.createDataFrame([("k1", ["d1", "d2"]), ("k2", ["d2"]), ("d1", []), ("d2", [])], "id string, doc_ids array<string>")
+    e = spark.createDataFrame([("k1", "d1"), ("k1", "d2"), ("k2", "d2")], "src string, dst string")
+    left, edges = graph.removed(g, e, "k1")
+    assert sorted(r.id for r in left.collect()) == ["d2", "k2"] and [tuple(r) for r in edges.collect()] == [("k2", "d2")]
+    pairs = spark.createDataFrame([("a", "b", 1.0)], "word_a string, word_b string, weight double")
+    assert graph.isolation(pairs, nodes).first().warn
