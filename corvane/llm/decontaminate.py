@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import if_small, written
 from corvane.llm.textkit import ALNUM, Words, pieces, rolled, utf8
 
 WINDOW, SHINGLE = 10, 3
@@ -245,4 +245,4 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     share an id go together if one of them is hit.
     """
     hit = written(contaminated(documents, benchmark).where("size(item_ids) > 0").select("key").distinct(), "hit")
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["key"]), "left_anti")
+    return documents.join(if_small(hit), documents["doc_id"].eqNullSafe(hit["key"]), "left_anti")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import if_small, written
 from corvane.llm.textkit import SPACE_PARTED, Words, pieces, rolled, utf8
 
 FEATURES = ("log_words", "short", "capitals", "symbols", "exclamations", "bars", "marks", "beyond_ascii", "word_length", "types", "fours", "stutter", "lines", "same_line", "blank")
@@ -148,8 +148,7 @@ def fitted(featured: DataFrame, labels: DataFrame, settings: Settings = Settings
     featured: key, x. labels: doc_id, quality; ids labelled twice count as 0 if any
     label is. The weights come from a bounded sample; the threshold is the quantile
     of the raw scores of all those rows at the level of their share of label 0,
-    taken halfway to the scores above it (between the last and first 2 % of the
-    rows that rank next to it).
+    halfway between the quantiles at 98 % and 102 % of that level.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"))
     known = featured.join(known, F.col("key") == F.col("doc_id")).where(~is_held_out("key")).select("key", "x", "y")
@@ -160,9 +159,8 @@ def fitted(featured: DataFrame, labels: DataFrame, settings: Settings = Settings
     x = np.stack(sample["x"].to_numpy()).astype(float)
     weights = bradley_terry(x, sample["y"].to_numpy() > 0, settings)
     share = known.agg(F.avg(F.when(F.col("y") > 0, 0.0).otherwise(1.0))).first()[0]
-    near = [min(1.0, max(0.0, share * k)) for k in (0.98, 1.0, 1.02)]
-    low, mid, high = known.agg(F.percentile_approx(Model(weights).raw(F.col("x")), near, 100_000)).first()[0]
-    del mid
+    near = [min(1.0, max(0.0, share * k)) for k in (0.98, 1.02)]
+    low, high = known.agg(F.percentile_approx(Model(weights).raw(F.col("x")), near, 100_000)).first()[0]
     return Model(weights, (low + high) / 2)
 
 
@@ -186,4 +184,4 @@ def accepted(documents: DataFrame, labels: DataFrame, settings: Settings = Setti
     """The documents, with all their columns, that are not rejected; rows with a null id stay."""
     rejected = written(scored(documents, labels, settings).where("predicted = 0").select("doc_id").distinct(), "rejected")
     rejected = rejected.select(F.col("doc_id").alias("_rejected"))
-    return documents.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    return documents.join(if_small(rejected), F.col("doc_id") == F.col("_rejected"), "left_anti")
