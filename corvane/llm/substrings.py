@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import if_small, no_text, written
+from corvane.llm.common import no_text, written
 from corvane.llm.textkit import SPACE_PARTED, Words, mix, pieces, utf8
 
 #: One 32-bit number for each byte value, from a seed.
 GEAR = np.random.default_rng(6).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 SHIFT, STEPS = 2, 4
+#: Spans that are broadcast at most; more are joined by a shuffle.
+MOST_SENT = 250_000
 _BLANKED = np.where(SPACE_PARTED, 0x20, np.arange(256)).astype(np.uint8)
 
 
@@ -127,7 +129,7 @@ def repeated_chunks(documents: DataFrame, settings: Settings = Settings(), id_co
     firsts = written(firsts, "firsts")
     again = written(chunks.join(firsts, "digest"), "again")
     # Of the first document's own chunks the first place stays.
-    own = again.where("id = first_id").groupBy("digest").agg(F.min("begin").alias("first_begin"))
+    own = written(again.where("id = first_id").groupBy("digest").agg(F.min("begin").alias("first_begin")), "own")
     later = again.join(own, "digest").where("id <> first_id OR begin > first_begin")
     return later.select("id", "begin", "n", "first_id").distinct()
 
@@ -186,7 +188,8 @@ def deduplicated(documents: DataFrame, settings: Settings = Settings(), id_col:
     spans = repeated_spans(documents, settings, id_col, text_col) if spans is None else spans
     sure = spans.select(F.col("id").alias("_span_id"), F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("_spans"))
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    joined = packed.join(if_small(sure, 100_000), F.col("key") == F.col("_span_id"), "left")
+    few = (sure.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MOST_SENT
+    joined = packed.join(F.broadcast(sure) if few else sure, F.col("key") == F.col("_span_id"), "left")
     whole = joined.where("_spans IS NULL").select("row", "text")
     some = joined.where("_spans IS NOT NULL").select("row", "text", "_spans").mapInArrow(_cut, whole.schema)
     both = whole.unionByName(some)
