@@ -9,8 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows sent to a Python worker at once. A batch of whole texts then takes a few
+#: megabytes, so workers stay small beside the executor's heap.
+MOST_ROWS = 1000
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch to MOST_ROWS, if it has more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= MOST_ROWS:
+        spark.conf.set(name, str(MOST_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`."""
+    _bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +53,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     recompute what led to it.
     """
     spark = df.sparkSession
+    _bounded_batches(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
