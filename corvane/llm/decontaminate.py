@@ -6,7 +6,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -144,10 +144,12 @@ def _counted(block: Block):
 
 
 def _scanned(block: Block):
+    """The columns before the text, the last one, and what was found in it, row by row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
-            for _, part, at in pieces(*utf8(batch.column(1))):
+            for _, part, at in pieces(*utf8(batch.column(batch.num_columns - 1))):
                 words = Words(part, at, ALNUM)
                 hits: dict[int, set[int]] = defaultdict(set)
                 of: dict[int, set[int]] = defaultdict(set)
@@ -158,11 +160,19 @@ def _scanned(block: Block):
                     n_words.append(n)
                     spans.append(sorted(hits[doc]) if doc in hits else [])
                     items.append(sorted(of[doc]) if doc in of else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["key", "n_words", "hit_words", "item_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "n_words", "hit_words", "item_ids"])
 
     return run
 
 
+def _ordered(texts: DataFrame, items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> Block:
+    """A block whose shingles are ordered by their counts in a frame of one text column."""
+    block = Block(items, window)
+    df = texts.mapInArrow(_counted(block), "words int, shingle long, df long").groupBy("words", "shingle").agg(F.sum("df").alias("df")) if items else None
+    block.order({(k, s % (1 << 64)): n for k, s, n in df.collect()} if items else {})  # one row for each shingle of the block at most
+    return block
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Items in blocks of about `most` words, one block at a time on the driver."""
     block, size = [], 0
@@ -193,29 +203,23 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     one pass over the documents for each, so what is sent has a fixed bound; the
     documents are never shuffled. For each block the document frequencies of its
     shingles are counted over the whole corpus first, to order them by rarity.
-    Several blocks are merged by row, which needs the ids to be distinct.
+    For several blocks the texts are written once with a number for each row, and
+    what the blocks found is put together by that number, never by the id.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     schema = "key long, n_words long, hit_words array<int>, item_ids array<long>"
-    parts = []
     blocks = _blocks(benchmark, item_col, item_text, block_words)
-    for items in blocks:
-        block = Block(items, window)
-        df = rows.select("text").mapInArrow(_counted(block), "words int, shingle long, df long").groupBy("words", "shingle").agg(F.sum("df").alias("df"))
-        block.order({(k, s % (1 << 64)): n for k, s, n in df.collect()})  # one row for each shingle of the block at most
-        parts.append(rows.mapInArrow(_scanned(block), schema))
-    if not parts:
-        block = Block([])
-        block.order({})
-        return rows.mapInArrow(_scanned(block), schema)
-    if len(parts) == 1:
-        return parts[0]
-    found = written(parts[0], "hits")
-    for more in parts[1:]:
-        more = more.where("size(item_ids) > 0").select("key", F.col("hit_words").alias("h"), F.col("item_ids").alias("i"))
-        both = found.join(more, found["key"].eqNullSafe(more["key"]), "left").select(found["key"], "n_words", F.array_sort(F.array_union("hit_words", F.coalesce("h", F.array().cast("array<int>")))).alias("hit_words"), F.array_sort(F.array_union("item_ids", F.coalesce("i", F.array().cast("array<long>")))).alias("item_ids"))
-        found = written(both, "hits")
-    return found
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_scanned(_ordered(rows.select("text"), first, window)), schema)
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "text"), "rows")
+    found = None
+    for items in chain((first, second), blocks):
+        part = rows.mapInArrow(_scanned(_ordered(rows.select("text"), items, window)), f"row long, {schema}")
+        # the first block has every row, the others add to it
+        found = written(part, "hits") if found is None else found.unionAll(written(part.where("size(item_ids) > 0"), "hits"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return found.groupBy("row", "key", "n_words").agg(union("hit_words"), union("item_ids")).drop("row")
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

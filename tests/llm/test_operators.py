@@ -171,6 +171,22 @@ def test_decontamination(spark, docs):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def _passages(spark):
+    """Two passages, a benchmark of one block each, and rows of which many share an id or have none."""
+    a, b = (" ".join(f"{x}{k}" for k in range(12)) for x in "ab")
+    texts = [f"x {a}", f"y y {b}", f"{a} {b}", "clean one", f"z {b}", None, "clean two", f"{a} again {a}"]
+    rows = [(None if k % 3 == 0 else 7, f"{t} {k}" if t else None) for k, t in enumerate(texts * 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, a), (2, b), (3, "not there at all")], "item_id long, text string")
+
+
+def test_decontamination_in_blocks_with_shared_and_null_ids(spark, docs):
+    rows, bench = _passages(spark)
+    for table in (rows, docs.select("doc_id", "text").unionAll(rows)):
+        once, many = (Counter((r.key, r.n_words, tuple(r.hit_words), tuple(r.item_ids)) for r in decontaminate.contaminated(table, bench, block_words=n).collect()) for n in (10**6, 10))
+        assert once == many and sum(many.values()) == table.count()
+    assert decontaminate.contaminated(rows, bench, block_words=10).where("size(item_ids) = 2").count() == 3
+
+
 @pytest.mark.parametrize("shards", [8, 3])
 def test_sharding(spark, docs, shards):
     out = sharding.sharded(docs, shards).collect()
