@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import if_small, written
+from corvane.llm.common import dropped, written
 from corvane.llm.textkit import ALNUM, Words, pieces, rolled, utf8
 
 WINDOW, SHINGLE = 10, 3
@@ -242,11 +242,31 @@ def sha(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _unhit(block: Block, column: int):
+    """The rows in whose text no window of the block occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for first, part, at in pieces(*utf8(batch.column(column))):
+                keep[[first + doc for doc, _, _ in block.occurrences(Words(part, at, ALNUM))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all their columns, in which no window of an item occurs.
 
-    Documents with null ids are judged and kept or dropped like others; rows that
-    share an id go together if one of them is hit.
+    Each row is kept or dropped by its own text, also where ids are null or shared.
+    Every block of the benchmark takes its hits from what the last one left.
     """
-    hit = written(contaminated(documents, benchmark).where("size(item_ids) > 0").select("key").distinct(), "hit")
-    return documents.join(if_small(hit), documents["doc_id"].eqNullSafe(hit["key"]), "left_anti")
+    left, before = documents, None
+    for k, items in enumerate(_blocks(benchmark, "item_id", "text", block_words)):
+        if k:
+            left = written(left, "unhit")
+            if before is not None:
+                dropped(before)
+            before = left
+        left = left.mapInArrow(_unhit(_ordered(left.select("text"), items), left.columns.index("text")), documents.schema)
+    return left

@@ -187,6 +187,14 @@ def test_decontamination_in_blocks_with_shared_and_null_ids(spark, docs):
     assert decontaminate.contaminated(rows, bench, block_words=10).where("size(item_ids) = 2").count() == 3
 
 
+@pytest.mark.parametrize("block_words", [10**6, 10])
+def test_clean_judges_each_row(spark, block_words):
+    rows, bench = _passages(spark)
+    left = Counter(map(tuple, decontaminate.clean(rows.withColumn("n", F.lit(1)), bench, block_words).drop("n").collect()))
+    assert left == Counter(tuple(r) for r in rows.collect() if "a0" not in (r.text or "") and "b0" not in (r.text or ""))
+    assert {i for i, _ in left} == {None, 7}
+
+
 @pytest.mark.parametrize("shards", [8, 3])
 def test_sharding(spark, docs, shards):
     out = sharding.sharded(docs, shards).collect()
