@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html import unescape
 from typing import NamedTuple
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,10 @@ class Rule(NamedTuple):
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 _LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+#: The target is in one of three groups, by the quotes around the content; it may have quotes of the other kind.
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*(?:"[^"]*?\burl\s*=\s*'?\s*([^"'\s>]+)|'[^']*?\burl\s*=\s*"?\s*([^"'\s>]+)|[^"'\s>]*?\burl\s*=\s*([^"'\s>]+))"""
+#: References end with a semicolon; `&copy=1` in a link is no reference.
+_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,22 +77,36 @@ def matched(pages: DataFrame, rules: Sequence[Rule] | DataFrame, host: str = "ho
 
 
 def place(url: Column) -> Column:
-    """What the server is asked for: the url without its fragment."""
-    return F.regexp_extract(url, r"^([^#]*)", 1)
+    """What the server is asked for: the url without its fragment, A-Z of scheme and host lower-cased."""
+    part = lambda k: F.regexp_extract(url, r"^([^:/?#]*://)([^/?#]*@)?([^/?#]*)([^#]*)", k)
+    folded = lambda k: F.translate(part(k), UPPER, LOWER)
+    return F.when(part(1) != "", F.concat(folded(1), part(2), folded(3), part(4))).otherwise(F.regexp_extract(url, r"^([^#]*)", 1))
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Link targets with their references decoded, resolved against the page's url; null if that gives no url."""
+    for batch in batches:
+        out: list[str | None] = []
+        for url, to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                to = urljoin(url, _REFERENCE.sub(lambda m: unescape(m[0]), to).strip(" \t\r\n\f\"'"))
+            except ValueError:  # a host that is none
+                to = ""
+            out.append(to if "://" in to else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["url", "to"])
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Edges (u, v) from a page's url to its canonical link and its redirect target.
 
-    Links relative to the host or the scheme are resolved, others are taken only
-    if they are absolute. Pages without a url or html have no edge.
+    Targets are resolved against the page's url. Pages without a url or html have
+    no edge, nor has a target that is not a url then.
     """
-    targets = F.filter(F.array(F.regexp_extract("html", _LINK, 1), F.regexp_extract("html", _REFRESH, 1)), lambda x: x != "")
+    refresh = F.concat(*[F.regexp_extract("html", _REFRESH, k) for k in (1, 2, 3)])
+    targets = F.filter(F.array(F.regexp_extract("html", _LINK, 1), refresh), lambda x: x != "")
     some = pages.select("url", "html").where("url IS NOT NULL AND html IS NOT NULL").where(F.col("html").rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
-    some = some.select("url", F.explode(targets).alias("to"))
-    scheme, root = F.regexp_extract("url", r"^([^:/?#]*:)//", 1), F.regexp_extract("url", r"^([^:/?#]*://[^/?#]*)", 1)
-    to = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(root, "to")).when(F.col("to").contains("://"), F.col("to"))
-    return some.select(place(F.col("url")).alias("u"), place(to).alias("v")).where("v IS NOT NULL")
+    some = some.select("url", F.explode(targets).alias("to")).mapInArrow(_resolved, "url string, to string")
+    return some.where("to IS NOT NULL").select(place(F.col("url")).alias("u"), place(F.col("to")).alias("v"))
 
 
 def carried(edges: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:

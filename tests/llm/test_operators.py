@@ -236,6 +236,21 @@ def test_url_filter(spark):
     assert url_filter.judged(df).count() == len(pages) and url_filter.judged(df.limit(0)).count() == 0
 
 
+def test_url_filter_resolves_targets(spark):
+    refresh = lambda content: f"<meta http-equiv='refresh' content={content}>"
+    cases = [
+        ("https://a.test/d/p", refresh('"0; url=new/a.html"'), "https://a.test/d/new/a.html"), ("https://a.test/d/p", "<link rel=canonical href='../x'>", "https://a.test/x"),
+        ("https://a.test/d/p?q#f", '<link rel="canonical" href="?p=2">', "https://a.test/d/p?p=2"), ("https://a.test/", refresh("\"0;URL='https://x.net/'\""), "https://x.net/"),
+        ("https://a.test/", refresh("'0; url=\"https://x.net/1\"'"), "https://x.net/1"), ("https://a.test/", refresh("0;url=/2"), "https://a.test/2"), ("https://A.test/Q", "<link rel=canonical href='HTTPS://X.Net/Up?a=1&amp;b=2&copy=3#f'>", "https://x.net/Up?a=1&b=2&copy=3"),
+        ("https://Me@A.test/", '<link rel=canonical href="//B.test">', "https://b.test"), ("https://a.test/", refresh('"0;url="') + "/>", None), ("https://a.test/", "<link rel=canonical href='javascript:x'>", None), ("no url", "<link rel=canonical href=x>", None), ("https://[a/", "<link rel=canonical href='y'>", None),
+    ]
+    for url, html, to in cases:
+        got = [r.v for r in url_filter.alias_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()]
+        assert got == ([to] if to else []), html
+    pages = spark.createDataFrame([(1, "https://A.test/d/p", refresh("\"0;URL='https://b.test/?a=1&amp;b=2'\"")), (2, "https://B.test/?a=1&b=2", "<link rel=canonical href='https://X.net/'>"), (3, "https://a.test/d/q", "<link rel=canonical href='p'>")], "page_id long, url string, html string")
+    assert {(r.page_id, r.verdict, r.via) for r in url_filter.judged(pages).collect()} == {(k, "block", "alias") for k in (1, 2, 3)}
+
+
 def test_quality(spark, docs):
     r = random.Random(3)
     rows, labels = [], []
