@@ -10,8 +10,8 @@ BLOCKS = frozenset(
     "html body head title main article section aside nav header footer form fieldset div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog hgroup center noscript iframe template button select option textarea menu".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is no markup; it is skipped up to the end tag.
-RAW = frozenset("script style textarea title iframe noscript template svg math object".split())
+#: Elements whose content is no text of the page; it is skipped up to the end tag.
+RAW = frozenset("script style textarea title iframe template svg".split())
 #: A start tag of the key ends an open element of the value, up to the nearest scope.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body table ul ol dl select div article section main aside nav header footer form menu".split())
@@ -43,7 +43,9 @@ def parse(html: str, flag: str = "") -> Page:
 
     Unclosed and crossed tags are closed by the block that cannot contain them or
     by the end of an element around them; end tags without a start are ignored. An
-    empty text has one block without runs. A `<` that starts no tag is text.
+    empty text has one block without runs. A `<` that starts no tag is text. Text
+    in math and object is inline text, that of noscript is in a block of its own;
+    an svg that closes itself or is never closed hides nothing.
     """
     page = Page([-1], [0], ["html"], [""], flagged=[True])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; block number or -1
@@ -108,8 +110,10 @@ def parse(html: str, flag: str = "") -> Page:
         if tag in RAW:
             if tag in BLOCKS:
                 flush()
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else n
+            at = end.end() if end else at if tag == "svg" else n
             continue
         if tag == "html":
             continue

@@ -76,6 +76,14 @@ def test_html(spark):
     assert len(got) == 6 and html_extract.extracted(df.limit(0)).count() == 0
 
 
+def test_html_keeps_text_beside_and_inside_embedded_elements(spark):
+    parts = ['<svg class="i" viewBox="0 0 9 9"/>one', "<math/>two", "<object/>three", "<svg><text>gone</text></svg>four", "<math><mi>x</mi><mo>=</mo><mn>5</mn></math> five", '<object data="a.pdf">Fall back here</object> six', "<noscript>plain words</noscript>seven", "<svg>eight"]
+    text = lambda html: " ".join("".join(t for _, t, _ in dom.parse(html).runs).split())
+    assert [text(f"<p>a {x} z</p>") for x in parts] == ["a one z", "a two z", "a three z", "a four z", "a x=5 five z", "a Fall back here six z", "a plain wordsseven z", "a eight z"]
+    page = ARTICLE.replace("Second one,", "<svg width=9 />Second <object>fallback one,</object> <math><mi>y</mi></math>")
+    assert html_extract.extracted(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text.endswith("\nSecond fallback one, y with bold text and more of it.")
+
+
 def test_html_held_out_accuracy():
     model = html_extract.default_model()
     pages = [dom.parse(p, "data-c") for p in labelled_pages(150, seed=77)]
