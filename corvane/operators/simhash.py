@@ -14,7 +14,6 @@ from corvane.operators.graph import content_words
 
 # The 64-bit FNV-1a offset and prime.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
-BANDS = C.SIMHASH_DISTANCE + 1
 
 
 def fnv1a(word: str) -> int:
@@ -65,6 +64,13 @@ def hex16(h: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 16, "0")
 
 
+def bands(distance: int) -> list[tuple[int, int]]:
+    """First bit and width of exactly distance + 1 bands of the 64 bits, the wider ones first."""
+    width, wider = divmod(64, distance + 1)
+    widths = [width + (k < wider) for k in range(distance + 1)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
 def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE) -> DataFrame:
     """doc_id and duplicate_of: the earliest earlier document within the distance.
 
@@ -73,9 +79,8 @@ def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE) -> DataF
     every pair. Equal hashes are one row in it, with their smallest id.
     """
     classes = hashes.groupBy("hash").agg(F.min("doc_id").alias("first"))
-    width = -(-64 // (distance + 1))
-    bands = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for k in range(-(-64 // width))]
-    keyed = classes.select("hash", "first", F.explode(F.array(*bands)).alias("b")).select("hash", "first", "b.*")
+    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)).alias("bits")) for k, (at, w) in enumerate(bands(distance))]
+    keyed = classes.select("hash", "first", F.explode(F.array(*parts)).alias("b")).select("hash", "first", "b.*")
     other = keyed.select(F.col("hash").alias("h2"), F.col("first").alias("first2"), "band", "bits")
     near = keyed.join(other, ["band", "bits"]).where((F.col("hash") != F.col("h2")) & (hamming(F.col("hash"), F.col("h2")) <= distance)).groupBy("hash").agg(F.min("first2").alias("first2"))
     best = classes.join(near, "hash", "left").select("hash", F.least("first", "first2").alias("duplicate_of"))

@@ -136,6 +136,14 @@ def test_simhash_earliest_copy(spark):
     assert got == want
 
 
+def test_simhash_bands_meet_every_pair(spark):
+    one_of_each_byte = 0x0101010101010101
+    rows = spark.createDataFrame([(1, 0), (2, one_of_each_byte), (3, one_of_each_byte | 2)], "doc_id long, hash long")
+    assert {tuple(r) for r in simhash.first_copies(rows).collect()} == {(2, 1), (3, 2)}
+    assert sorted(w for _, w in simhash.bands(8)) == [7] * 8 + [8] and simhash.bands(0) == [(0, 64)]
+    assert simhash.first_copies(rows, 0).count() == 0
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "The GPT模型 alpha 123 alpha中"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.word, r.tag) for r in graph.tokens(df).orderBy("doc_id", "pos").collect()]
