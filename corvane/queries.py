@@ -448,9 +448,9 @@ def refreshed_documents(spark, d):
 def source_list(spark, d):
     """Documents with the title of the one they copy."""
     docs = tables.documents(spark, d)
-    first = docs.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    first = docs.groupBy(F.col("text").alias("same")).agg(F.min("doc_id").alias("first_id"))
     rep = docs.select(F.col("doc_id").alias("first_id"), F.col("title").alias("first_title"))
-    rows = docs.join(first, "text").join(rep, "first_id")
+    rows = docs.join(first, F.col("text").eqNullSafe(F.col("same"))).join(rep, "first_id")
     return rows.select("doc_id", F.when(F.col("first_id") < F.col("doc_id"), F.col("first_title")).alias("copy_of"))
 
 

@@ -23,6 +23,14 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_source_list_keeps_null_texts(spark, tmp_path):
+    rows = [(1, "T\nx"), (2, None), (3, "T\nx"), (4, None), (5, "other")]
+    spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    compare(spark, QUERIES["source_list"], ORACLES["source_list"], str(tmp_path))
+    assert QUERIES["source_list"](spark, str(tmp_path)).count() == len(rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
