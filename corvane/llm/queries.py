@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_exclamations", "failed_bits")
 
 
+def op2_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablations(rules.ledger(rules.measured(read_table(spark, sf_dir, "documents"))), rules.WEB_V1)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -65,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_sharding,
         op10_url_filter,
+        op2_rule_ablations,
     )
 }

@@ -138,14 +138,19 @@ def ablations(ledgers: DataFrame, policy: Policy) -> DataFrame:
 
     One pass: texts are counted by their failure bits first, which leaves at most
     2 ** len(RULES) rows whatever the corpus holds; the rest is bitwise arithmetic
-    on those counts. all_bits and common_bits are the or and the and over the
-    texts that fail the rule. An empty ledger gives zeros and null bits.
+    on those counts. n_only: fail no other rule of the policy, tolerated ones
+    included. n_stay: are not kept (see `judged`), but would be if the rule were in
+    neither the policy nor the base. all_bits and common_bits are the or and the
+    and over the texts that fail the rule. An empty ledger gives zeros and null bits.
     """
-    mask = policy.mask(policy.must_pass)
+    rules = policy.must_pass + policy.may_fail
+    mask = policy.mask(rules)
     counts = ledgers.groupBy("failed_bits").agg(F.count("*").alias("n"))
-    rules = ledgers.sparkSession.createDataFrame([(r, 1 << BITS[r]) for r in policy.must_pass], "rule string, bit long")
+    listed = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << BITS[r]).cast("long").alias("bit")) for r in rules]))
+    each = ledgers.sparkSession.range(1).select(listed.alias("r")).select("r.*")
     hit = F.col("failed_bits").bitwiseAND(F.col("bit")) != 0
+    joined = each.join(F.broadcast(counts), hit, "left").withColumn("rest", F.col("failed_bits").bitwiseAND(F.bitwise_not("bit")))
     alone = F.col("failed_bits").bitwiseAND(F.lit(mask)) == F.col("bit")
-    joined = rules.join(F.broadcast(counts), hit, "left")
+    keeps = lambda bits: BASE.keeps(bits) & policy.keeps(bits)
     count = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
-    return joined.groupBy("rule").agg(count(hit).alias("n_failed"), count(alone).alias("n_only"), F.expr("bit_or(failed_bits)").alias("all_bits"), F.expr("bit_and(failed_bits)").alias("common_bits"))
+    return joined.groupBy("rule").agg(count(hit).alias("n_failed"), count(alone).alias("n_only"), count(~keeps("failed_bits") & keeps("rest")).alias("n_stay"), F.expr("bit_or(failed_bits)").alias("all_bits"), F.expr("bit_and(failed_bits)").alias("common_bits"))

@@ -71,6 +71,14 @@ def test_rule_policies(spark, docs):
     assert rules.ablations(ledger.limit(0), rules.BASE).agg(F.sum("n_failed")).first()[0] == 0
 
 
+def test_ablations_with_tolerated_rules(spark):
+    bits = lambda *names: sum(1 << rules.BITS[n] for n in names)
+    failed = [bits(), bits("symbols"), bits("symbols", "short_mean_word"), bits("symbols", "short_mean_word", "duplicate_lines"), bits("short_mean_word", "duplicate_lines"), bits("duplicate_lines"), bits("too_few_words"), bits("too_few_words", "exclamations")]
+    df = spark.createDataFrame([(x,) for x in failed], "failed_bits long")
+    got = {r.rule: (r.n_failed, r.n_only, r.n_stay) for r in rules.ablations(df, rules.WEB_V1).collect()}
+    assert got == {"too_few_words": (2, 1, 1), "repeated_words": (0, 0, 0), "too_many_words": (0, 0, 0), "symbols": (3, 1, 2), "exclamations": (1, 0, 0), "short_mean_word": (3, 0, 1), "long_mean_word": (0, 0, 0), "duplicate_lines": (3, 1, 1)}
+
+
 def test_near_duplicates(spark, docs):
     for settings in (near_dup.AT_85, near_dup.AT_80):
         sets = {}
