@@ -30,11 +30,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local runs) a temporary folder is made
-    and set as the checkpoint folder of the session.
+    A local session that names none (tests) gets a temporary folder of its own.
+    On a cluster no folder of one machine would do, so there it must be named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -42,30 +44,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the one of this application; see `cleared`."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    _bounded_batches(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back.
 
     This cuts the lineage: a lost executor makes Spark re-read a file, not
-    recompute what led to it.
+    recompute what led to it. The files stay as long as results are read from
+    them; `cleared` deletes all of an application, `Steps` what one call needed.
     """
-    spark = df.sparkSession
-    _bounded_batches(spark)
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch(df.sparkSession, label))
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a frame made by `written`, once nothing reads them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it; one that is not there is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all this application has written to the shared folder; results not yet saved elsewhere go with it."""
+    deleted(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+class Steps:
+    """Tables that only one call needs: written like `written`, deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path, self.n = spark, scratch(spark, label), 0
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        deleted(self.spark, self.path)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.path}/{self.n}-{label}")
+
+    def dropped(self, df: DataFrame) -> None:
+        """Delete one of the tables early."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            deleted(self.spark, path)
 
 
 def no_text(column) -> F.Column:

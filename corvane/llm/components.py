@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import dropped, written
+from corvane.llm.common import Steps, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,12 +26,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     whose skewed partitions Spark may split, so a hub's neighbours are never
     brought together in one task. Every round is written to the shared folder.
     """
-    edges = written(
-        edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct(),
-        "edges",
-    )
+    with Steps(edges.sparkSession, "components") as steps:
+        return written(_settled(edges, steps, max_rounds), "components")
+
+
+def _settled(edges: DataFrame, steps: Steps, max_rounds: int) -> DataFrame:
+    edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = steps.written(edges.distinct(), "edges")
     before = _state(edges)
     for _ in range(max_rounds):
         if not before[0]:
@@ -43,8 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
-        after = written(small.select("e.*").where("u <> v").distinct(), "edges")
-        dropped(edges)
+        after = steps.written(small.select("e.*").where("u <> v").distinct(), "edges")
+        steps.dropped(edges)
         edges, was, before = after, before, _state(after)
         if before == was:
             break

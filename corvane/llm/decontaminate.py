@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, pairwise
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import dropped, written
+from corvane.llm.common import Steps, if_small, written
 from corvane.llm.textkit import ALNUM, Words, pieces, rolled, utf8
 
-WINDOW, SHINGLE = 10, 3
-#: Words of benchmark items in one block; a larger benchmark is joined block by block.
-BLOCK_WORDS = 100_000
+WINDOW, SHINGLE = 10, 5
+#: Bits of the sieve that is sent to all executors, as a power of two: 16 MB, whatever the benchmark holds.
+SIEVE_BITS = 27
+WINDOWS = "item long, words string, size int, k int"
+SCANNED = "id long, h long, n_words long, hits array<struct<k:int,shingle:bigint,place:int,at:int,context:string>>"
 
 
 def item_words(texts: list[str | None]) -> list[list[bytes]]:
@@ -31,199 +31,178 @@ def item_words(texts: list[str | None]) -> list[list[bytes]]:
     return out
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    return Words(data, np.array([0, len(data)]), ALNUM).hashes()
-
-
-def _keys(hashes: np.ndarray, spans: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every k consecutive words that lie in one document."""
-    all_k = rolled(hashes, k)
-    ok = np.ones(len(all_k), bool)
-    for j in range(1, k):  # a shingle that starts j words before a document's end crosses it
-        ok[[e - j for e in spans[1:-1].tolist() if 0 <= e - j < len(ok)]] = False
-    return all_k, ok
-
-
-@dataclass
-class Window:
-    """`size` consecutive words of one or more items, and the shingle they are looked up by."""
-
-    words: tuple[bytes, ...]
-    items: list[int]
-    prefix: int = 0
-    offset: int = 0
+def _windows(window: int):
+    """Every `window` consecutive words of an item; one of fewer, but not none, is one window."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), item_words(batch.column(1).to_pylist()), strict=True):
+                size = min(window, len(words))
+                texts = [b" ".join(words[i : i + size]).decode() for i in range(len(words) - size + 1 if size else 0)]
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array(texts, pa.string()), pa.array([size] * n, pa.int32()), pa.array([min(SHINGLE, size)] * n, pa.int32())], ["item", "words", "size", "k"])
 
-class Block:
-    """Windows of a block of items, each under its rarest shingle.
+    return run
 
-    A window is contained in a text only if all its shingles are, so for a
-    required containment of 1 the necessary prefix of its shingles, rarest first,
-    is one shingle. Its offset in the window fixes where the window must start.
-    """
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW, shingle: int = SHINGLE) -> None:
-        found: dict[tuple[bytes, ...], list[int]] = {}
-        for item, words in items:
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                at = found.setdefault(tuple(words[i : i + size]), [])
-                if item not in at[-1:]:
-                    at.append(item)
-        self.windows = [Window(w, sorted(set(x))) for w, x in found.items()]
-        self.shingle = shingle
-        self.shingles = [rolled(hashed(list(w.words)), min(shingle, len(w.words))) for w in self.windows]
-        self.lengths = sorted({min(shingle, len(w.words)) for w in self.windows})
-
-    def tokens(self) -> dict[int, np.ndarray]:
-        """By number of words, the sorted distinct shingles of all windows."""
-        by: dict[int, list[np.ndarray]] = defaultdict(list)
-        for w, s in zip(self.windows, self.shingles, strict=True):
-            by[min(self.shingle, len(w.words))].append(s)
-        return {k: np.unique(np.concatenate(v)) for k, v in by.items()}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Choose each window's rarest shingle; counts: by (words, shingle), 0 where absent."""
-        self.at: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, (w, s) in enumerate(zip(self.windows, self.shingles, strict=True)):
-            k = min(self.shingle, len(w.words))
-            rarity = [(counts.get((k, x), 0), x) for x in s.tolist()]
-            w.offset = min(range(len(rarity)), key=rarity.__getitem__)
-            w.prefix = rarity[w.offset][1]
-            self.at[k][w.prefix].append(n)
-        self.prefixes = {k: np.array(sorted(v), np.uint64) for k, v in self.at.items()}
-        self.at = {k: dict(v) for k, v in self.at.items()}
-
-    def occurrences(self, words: Words) -> Iterator[tuple[int, int, Window]]:
-        """(document, first word, window) of every window found in a run of documents."""
-        hashes = words.hashes()
-        ends = words.first
-        for k, wanted in self.prefixes.items():
-            keys, ok = _keys(hashes, ends, k)
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(wanted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            maybe = np.flatnonzero(sieve[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] & ok)
-            maybe = maybe[np.isin(keys[maybe], wanted)]
-            docs = np.searchsorted(ends, maybe, "right") - 1
-            for at, key, doc in zip(maybe.tolist(), keys[maybe].tolist(), docs.tolist(), strict=True):
-                low, high = int(ends[doc]), int(ends[doc + 1])
-                for n in self.at[k][key]:
-                    w = self.windows[n]
-                    start = at - w.offset
-                    # positional bound, then the words themselves
-                    if low <= start and start + len(w.words) <= high and tuple(words.list(start, start + len(w.words))) == w.words:
-                        yield doc, start, w
-
-
-def _counted(block: Block):
-    """How many documents of a partition hold each shingle of the block."""
-    tokens = block.tokens()
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each window and where in it they stand."""
+    for batch in batches:
+        texts, of, offsets, shingles = batch.column(0), [], [], []
+        for k, part, at in pieces(*utf8(texts)):
+            words = Words(part, at, ALNUM)
+            hashes = words.hashes()
+            for doc, (a, b) in enumerate(pairwise(words.first.tolist())):
+                found = rolled(hashes[a:b], min(SHINGLE, b - a))
+                of.append(np.full(len(found), k + doc))
+                offsets.append(np.arange(len(found), dtype=np.int32))
+                shingles.append(found.view(np.int64))
+        if of:
+            at = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays([texts.take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(np.concatenate(offsets)), pa.array(np.concatenate(shingles))], ["words", "size", "k", "offset", "shingle"])
+
+
+class Sieve:
+    """Which hashes may be among given ones: one bit for each of 2 ** width remainders."""
+
+    def __init__(self, width: int, at: np.ndarray, bits: np.ndarray) -> None:
+        self.mask = np.uint64((1 << width) - 1)
+        self.words = np.zeros(1 << (width - 6), np.uint64)
+        self.words[at] = bits.view(np.uint64)
+
+    @staticmethod
+    def of(shingles: DataFrame, width: int) -> Broadcast:
+        """The sieve of a column `shingle`, sent to all executors as the words of it that are not 0.
+
+        It is put together by an aggregation: at most 2 ** (width - 6) rows of 16
+        bytes come to the driver.
+        """
+        low = F.col("shingle").bitwiseAND(F.lit((1 << width) - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
+        rows = shingles.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        return shingles.sparkSession.sparkContext.broadcast((width, rows["at"].to_numpy(), rows["bits"].to_numpy()))
+
+    def passed(self, hashes: np.ndarray) -> np.ndarray:
+        low = hashes & self.mask
+        return (self.words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _sieved(words: Words, lengths: list[int], sieve: Sieve) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By number of words k: documents, places and hashes of the k-word shingles that pass the sieve."""
+    hashes = words.hashes()
+    for k in lengths:
+        shingles = rolled(hashes, k)
+        at = np.flatnonzero(sieve.passed(shingles))
+        doc = np.searchsorted(words.first, at, "right") - 1
+        inside = at + k <= words.first[doc + 1]  # does not reach into the next document
+        yield k, doc[inside], at[inside], shingles[at[inside]]
+
+
+def _counted(lengths: list[int], sent: Broadcast):
+    """In how many documents of a piece of text each sieved shingle is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {k: np.zeros(len(v), np.int64) for k, v in tokens.items()}
+        sieve = Sieve(*sent.value)
         for batch in batches:
             for _, part, at in pieces(*utf8(batch.column(0))):
-                words = Words(part, at, ALNUM)
-                hashes = words.hashes()
-                for k, wanted in tokens.items():
-                    keys, ok = _keys(hashes, words.first, k)
-                    sieve = np.zeros(1 << 20, bool)
-                    sieve[(wanted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                    maybe = np.flatnonzero(sieve[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] & ok)
-                    place = np.minimum(np.searchsorted(wanted, keys[maybe]), len(wanted) - 1)
-                    hit = wanted[place] == keys[maybe]
-                    docs = np.searchsorted(words.first, maybe[hit], "right") - 1
-                    pairs = np.unique(docs * len(wanted) + place[hit])
-                    np.add.at(totals[k], pairs % len(wanted), 1)
-        for k, v in totals.items():
-            some = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(tokens[k][some].view(np.int64)), pa.array(v[some])], ["words", "shingle", "df"])
+                for k, doc, _, shingles in _sieved(Words(part, at, ALNUM), lengths, sieve):
+                    once = np.unique(np.stack([shingles, doc.astype(np.uint64)]), axis=1)[0]
+                    found, df = np.unique(once, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found.view(np.int64)), pa.array(df)], ["k", "shingle", "df"])
 
     return run
 
 
-def _scanned(block: Block):
-    """The columns before the text, the last one, and what was found in it, row by row."""
+def _scanned(lengths: list[int], window: int, sent: Broadcast):
+    """For each document its number of words and the sieved shingles, each with the words around it."""
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("shingle", pa.int64()), ("place", pa.int32()), ("at", pa.int32()), ("context", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = Sieve(*sent.value)
         for batch in batches:
-            n_words, spans, items = [], [], []
-            for _, part, at in pieces(*utf8(batch.column(batch.num_columns - 1))):
+            counts, hits = [], [[] for _ in range(batch.num_rows)]
+            for first, part, at in pieces(*utf8(batch.column(2))):
                 words = Words(part, at, ALNUM)
-                hits: dict[int, set[int]] = defaultdict(set)
-                of: dict[int, set[int]] = defaultdict(set)
-                for doc, start, w in block.occurrences(words):
-                    hits[doc].update(range(start - int(words.first[doc]), start - int(words.first[doc]) + len(w.words)))
-                    of[doc].update(w.items)
-                for doc, n in enumerate(np.diff(words.first).tolist()):
-                    n_words.append(n)
-                    spans.append(sorted(hits[doc]) if doc in hits else [])
-                    items.append(sorted(of[doc]) if doc in of else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "n_words", "hit_words", "item_ids"])
+                counts.append(np.diff(words.first))
+                for k, docs, places, shingles in _sieved(words, lengths, sieve):
+                    for doc, place, shingle in zip(docs.tolist(), places.tolist(), shingles.view(np.int64).tolist(), strict=True):
+                        begin, end = int(words.first[doc]), int(words.first[doc + 1])
+                        low, high = max(begin, place + k - window), min(end, place + window)
+                        hits[first + doc].append({"k": k, "shingle": shingle, "place": place - begin, "at": place - low, "context": b" ".join(words.list(low, high)).decode()})
+            n = np.concatenate(counts) if counts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(hits, kind)], ["id", "h", "n_words", "hits"])
 
     return run
 
 
-def _ordered(texts: DataFrame, items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> Block:
-    """A block whose shingles are ordered by their counts in a frame of one text column."""
-    block = Block(items, window)
-    df = texts.mapInArrow(_counted(block), "words int, shingle long, df long").groupBy("words", "shingle").agg(F.sum("df").alias("df")) if items else None
-    block.order({(k, s % (1 << 64)): n for k, s, n in df.collect()} if items else {})  # one row for each shingle of the block at most
-    return block
-
+def _identity(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the id (which may be null or shared) and a hash of the text."""
+    return [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h")]
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items in blocks of about `most` words, one block at a time on the driver."""
-    block, size = [], 0
-    items = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).where(F.col(item_col).isNotNull()).toLocalIterator()
-    for item, text in items:
-        words = item_words([text])[0]
-        if words:
-            block.append((item, words))
-            size += len(words)
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
 
+def _joined(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, sieve_bits: int, steps: Steps, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every document's (id, h, n_words), the occurrences (id, h, start, size, words) of windows in them, and the windows.
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    The first is made by `keep`, as results are read from it.
+    """
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    windows = steps.written(items.mapInArrow(_windows(window), WINDOWS).distinct(), "windows")
+    shingles = windows.select("words", "size", "k").distinct().mapInArrow(_shingled, "words string, size int, k int, offset int, shingle long")
+    shingles = steps.written(shingles, "shingles")
+    lengths = sorted(r.k for r in shingles.select("k").distinct().collect())  # 1 to SHINGLE
+
+    texts = documents.select(*_identity(id_col, text_col), F.col(text_col).alias("text"))
+    counts = texts.select("text").mapInArrow(_counted(lengths, Sieve.of(shingles, sieve_bits)), "k int, shingle long, df long").groupBy("k", "shingle").agg(F.sum("df").alias("df"))
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("r")
+    prefixes = shingles.join(counts, ["k", "shingle"], "left").groupBy("words", "size", "k").agg(rarest)
+    prefixes = steps.written(prefixes.select("words", "size", "k", "r.shingle", "r.offset"), "prefixes")
+
+    rows = keep(texts.mapInArrow(_scanned(lengths, window, Sieve.of(prefixes, sieve_bits)), SCANNED), "scanned")
+    hits = rows.where("size(hits) > 0").select("id", "h", F.explode("hits").alias("hit")).select("id", "h", "hit.*")
+    found = hits.join(if_small(prefixes), ["k", "shingle"])
+    # The window must begin and end within the text (positional bound), and its words must be there.
+    found = found.where("at >= offset").where(F.array_join(F.slice(F.split("context", " "), F.col("at") - F.col("offset") + 1, F.col("size")), " ") == F.col("words"))
+    found = steps.written(found.select("id", "h", (F.col("place") - F.col("offset")).alias("start"), "size", "words").distinct(), "found")
+    return rows.select("id", "h", "n_words"), found, windows
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """key (the document's id), n_words, hit_words and item_ids of every document.
 
     hit_words: places of the words inside an occurrence of a window (`window`
     consecutive words of an item; an item with fewer words is one window).
     item_ids: the items with such windows. Words are runs of digits, letters and
     anything beyond ASCII, with A-Z lower-cased; null texts have none, and items
-    without words or without an id match nothing. Each row gives one row, also
-    where ids repeat or are null. With an empty benchmark nothing is hit.
-
-    The benchmark goes to the executors in blocks of at most `block_words` words,
-    one pass over the documents for each, so what is sent has a fixed bound; the
-    documents are never shuffled. For each block the document frequencies of its
-    shingles are counted over the whole corpus first, to order them by rarity.
-    For several blocks the texts are written once with a number for each row, and
-    what the blocks found is put together by that number, never by the id.
+    without words or without an id match nothing. Each row gives one row, judged
+    by its own text, also where ids repeat or are null. With an empty benchmark
+    nothing is hit.
+
+    A window is contained in a text only if all its shingles are, so for a
+    required containment of 1 the necessary prefix of its shingles, rarest first,
+    is one shingle, and its offset fixes where the window must start.
+
+    1. The document frequency of all shingles of the benchmark is counted over all
+       documents, and the rarest one of each window is its prefix. 2. The documents
+       are scanned again for prefixes; each hit brings the words around it along.
+       3. Hits and windows are joined on the prefix, and the words are compared.
+    Both scans see a sieve of fixed size, so they are two whatever the size of the
+    benchmark; what passes it by chance falls away in the join. Texts are never
+    shuffled.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    schema = "key long, n_words long, hit_words array<int>, item_ids array<long>"
-    blocks = _blocks(benchmark, item_col, item_text, block_words)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return rows.mapInArrow(_scanned(_ordered(rows.select("text"), first, window)), schema)
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "text"), "rows")
-    found = None
-    for items in chain((first, second), blocks):
-        part = rows.mapInArrow(_scanned(_ordered(rows.select("text"), items, window)), f"row long, {schema}")
-        # the first block has every row, the others add to it
-        found = written(part, "hits") if found is None else found.unionAll(written(part.where("size(item_ids) > 0"), "hits"))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return found.groupBy("row", "key", "n_words").agg(union("hit_words"), union("item_ids")).drop("row")
+    with Steps(documents.sparkSession, "decontaminate") as steps:
+        rows, found, windows = _joined(documents, benchmark, id_col, text_col, item_col, item_text, window, sieve_bits, steps, written)
+        places = F.flatten(F.transform(F.collect_set(F.struct("start", "size")), lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1)))
+        words = found.groupBy("id", "h").agg(F.array_sort(F.array_distinct(places)).alias("hit_words"))
+        of = found.select("id", "h", "words").distinct().join(if_small(windows.select("words", "item")), "words").groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+        both = words.alias("w").join(of.alias("o"), F.col("w.id").eqNullSafe(F.col("o.id")) & (F.col("w.h") == F.col("o.h"))).select(F.col("w.id").alias("_id"), F.col("w.h").alias("_h"), "hit_words", "item_ids")
+        hit = if_small(written(both, "hit"))
+    out = rows.join(hit, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    some = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return out.select(F.col("id").alias("key"), "n_words", some("hit_words", "int"), some("item_ids", "bigint"))
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids of every document; see `contaminated`."""
     found = contaminated(documents, benchmark)
     listed = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return found.select(
@@ -237,36 +216,13 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def sha(items: list[int]) -> str:
-    """The digest of a list of item ids, as in `report`."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
-def _unhit(block: Block, column: int):
-    """The rows in whose text no window of the block occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for first, part, at in pieces(*utf8(batch.column(column))):
-                keep[[first + doc for doc, _, _ in block.occurrences(Words(part, at, ALNUM))]] = False
-            yield batch.filter(pa.array(keep))
-
-    return run
-
-
-def clean(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, in which no window of an item occurs.
 
-    Each row is kept or dropped by its own text, also where ids are null or shared.
-    Every block of the benchmark takes its hits from what the last one left.
+    Each row is kept or dropped by its own text, also where ids are null or
+    shared; see `contaminated` for what a window is.
     """
-    left, before = documents, None
-    for k, items in enumerate(_blocks(benchmark, "item_id", "text", block_words)):
-        if k:
-            left = written(left, "unhit")
-            if before is not None:
-                dropped(before)
-            before = left
-        left = left.mapInArrow(_unhit(_ordered(left.select("text"), items), left.columns.index("text")), documents.schema)
-    return left
+    with Steps(documents.sparkSession, "decontaminate") as steps:
+        _, found, _ = _joined(documents, benchmark, id_col, text_col, "item_id", "text", WINDOW, SIEVE_BITS, steps, steps.written)
+        hit = if_small(written(found.select(F.col("id").alias("_hit_id"), F.col("h").alias("_hit_h")).distinct(), "hit"))
+    return documents.join(hit, documents[id_col].cast("long").eqNullSafe(hit["_hit_id"]) & (F.xxhash64(documents[text_col]) == hit["_hit_h"]), "left_anti")
