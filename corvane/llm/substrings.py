@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import no_text, written
-from corvane.llm.textkit import SPACE_PARTED, Words, mix, pieces, utf8
+from corvane.llm.common import Steps, no_text, written
+from corvane.llm.textkit import SPACE_PARTED, Words, mix, pieces, powers, utf8
 
 #: One 32-bit number for each byte value, from a seed.
 GEAR = np.random.default_rng(6).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 SHIFT, STEPS = 2, 4
-#: Spans that are broadcast at most; more are joined by a shuffle.
-MOST_SENT = 250_000
+#: Documents whose spans are broadcast at most; more are joined by a shuffle.
+MOST_SENT = 100_000
 _BLANKED = np.where(SPACE_PARTED, 0x20, np.arange(256)).astype(np.uint8)
 
 
@@ -27,8 +27,9 @@ class Settings:
     """reach: a chunk ends at a word whose gear hash is least among `reach` words to
     both sides, so chunks have reach + 1 words at least and 2 * reach + 1 on
     average. A chunk of more than `most_words` (text that repeats one word has no
-    least hash) is cut every `most_words` from its start. A repeated run is
-    removed if it has `least_chunks` chunks and `least_words` words at least.
+    least hash) is cut every `most_words` from its start. A run of chunks is
+    removed if it has `least_chunks` chunks and `least_words` words at least, and
+    an earlier document holds it in one piece.
     """
 
     reach: int = 3
@@ -88,17 +89,16 @@ def chunk_ends(words: Words, offsets: np.ndarray, reach: int, most: int = 16) ->
 def _chunked(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for k, part, at in pieces(*utf8(batch.column(1))):
+            for k, part, at in pieces(*utf8(batch.column(2))):
                 words = Words(part, at, SPACE_PARTED, lower=False)
                 ends = chunk_ends(words, at, settings.reach, settings.most_words)
                 if not len(ends):
                     continue
                 starts = np.concatenate([[0], ends[:-1]])
-                digest = chunk_digests(words.hashes(), starts, ends)
+                digests = [pa.array(chunk_digests(words.hashes(w), starts, ends).view(np.int64)) for w in (0, 1)]
                 doc = np.searchsorted(words.first, starts, "right") - 1
-                begin = starts - words.first[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[k + doc].astype(np.int64)), pa.array(begin.astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["digest", "id", "begin", "n"])
+                of = pa.array(k + doc)
+                yield pa.RecordBatch.from_arrays([*digests, batch.column(0).take(of), batch.column(1).take(of), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["digest", "again", "id", "h", "begin", "n"])
 
     return run
 
@@ -113,46 +113,106 @@ def chunk_digests(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return out
 
 
-def repeated_chunks(documents: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, begin, n, first_id: chunks (n words from word `begin`) met before, with the document of the first.
+def units(offsets: np.ndarray, begin: np.ndarray, n: np.ndarray, digests: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For lists of chunks sorted by place: the least runs that can be removed.
 
-    The first chunk of a digest by (id, begin) is the one to stay. Digests that
-    occur once fall away in a partial aggregation; the others are joined back,
-    an equi-join in which Spark may split a digest that a third of all
-    documents hold. 64 bits are enough although chance equals 10^13 chunks: a
-    passage is removed for two neighbouring chunks at least.
+    Of the chunks k of an unbroken stretch, each begins a unit and each ends one:
+    the fewest chunks with `least_words` words and `least_chunks` chunks. A longer
+    run is the union of its units, so to look for units is to look for all runs.
+    Returns the list, first and last word (exclusive) of each unit, and its digests.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    chunks = rows.mapInArrow(_chunked(settings), "digest long, id long, begin int, n int")
-    chunks = written(chunks, "chunks")
-    firsts = chunks.groupBy("digest").agg(F.count("*").alias("c"), F.min("id").alias("first_id")).where("c > 1").select("digest", "first_id")
-    firsts = written(firsts, "firsts")
-    again = written(chunks.join(firsts, "digest"), "again")
-    # Of the first document's own chunks the first place stays.
-    own = written(again.where("id = first_id").groupBy("digest").agg(F.min("begin").alias("first_begin")), "own")
-    later = again.join(own, "digest").where("id <> first_id OR begin > first_begin")
-    return later.select("id", "begin", "n", "first_id").distinct()
-
-
-def _runs(chunks: F.Column, settings: Settings) -> F.Column:
-    """Runs of neighbouring chunks, long enough, from chunks sorted by place."""
-    step = lambda a, c: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1)["end"] == c["begin"]),
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["begin"].alias("begin"), (c["begin"] + c["n"]).alias("end"), (F.element_at(a, -1)["chunks"] + 1).alias("chunks"), F.array_union(F.element_at(a, -1)["from"], F.array(c["first_id"])).alias("from")))),
-    ).otherwise(F.concat(a, F.array(F.struct(c["begin"].alias("begin"), (c["begin"] + c["n"]).alias("end"), F.lit(1).alias("chunks"), F.array(c["first_id"]).alias("from")))))
-    runs = F.aggregate(chunks, F.array().cast("array<struct<begin:int,end:int,chunks:int,from:array<bigint>>>"), step)
-    return F.filter(runs, lambda r: (r["chunks"] >= settings.least_chunks) & (r["end"] - r["begin"] >= settings.least_words))
+    m, least = len(begin), settings.least_words
+    end = begin + n
+    place = np.arange(m)
+    fresh = np.ones(m, bool)
+    fresh[1:] = begin[1:] != end[:-1]
+    fresh[offsets[:-1][offsets[:-1] < m]] = True
+    low = np.maximum.accumulate(np.where(fresh, place, 0))  # first chunk of the stretch
+    edges = np.append(np.flatnonzero(fresh), m)
+    high = edges[np.searchsorted(edges, place, "right")]  # behind the last one
+    total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    forth = np.maximum(np.searchsorted(total, total[:-1] + least), place + settings.least_chunks)
+    back = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, place + 1 - settings.least_chunks)
+    first = np.concatenate([place[forth <= high], back[back >= low]])
+    last = np.concatenate([forth[forth <= high], place[back >= low] + 1])
+    first, last = np.unique(np.stack([first, last]), axis=1) if len(first) else (first, last)
+    up, down = powers(m + 1)
+    out = []
+    for d in digests:
+        sums = np.zeros(m + 1, np.uint64)
+        np.cumsum(mix(d.view(np.uint64)) * up[:m], out=sums[1:])
+        out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64))
+    return np.searchsorted(offsets, first, "right") - 1, begin[first], end[last - 1], out
+
+
+def _united(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            k = 0
+            while k < batch.num_rows:  # whole lists of about 2 ** 18 chunks
+                to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + (1 << 18), "right")) - 1)
+                flat = lists.values.slice(offsets[k], offsets[to] - offsets[k])
+                begin, n, *digests = (flat.field(c).to_numpy() for c in range(4))
+                doc, first, last, (u, v) = units(offsets[k : to + 1] - offsets[k], begin, n, digests, settings)
+                of = pa.array(k + doc)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), batch.column(0).take(of), batch.column(1).take(of), pa.array(first), pa.array(last)], ["u", "v", "id", "h", "begin", "end"])
+                k = to
+
+    return run
 
 
-def repeated_spans(documents: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and spans (begin, end, chunks, from) of each document that repeats passages.
+def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping or touching units made one span, with the documents that hold its parts."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("from", pa.list_(pa.int64()))]))
+    for batch in batches:
+        out = []
+        for found in batch.column(2).to_pylist():
+            spans: list[list] = []
+            for x in found:  # sorted by place
+                if spans and x["begin"] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], x["end"])
+                    spans[-1][2].add(x["first_id"])
+                else:
+                    spans.append([x["begin"], x["end"], {x["first_id"]}])
+            out.append([{"begin": a, "end": b, "from": sorted(s - {None})} for a, b, s in spans])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "h", "spans"])
 
-    A span is a run of words; from lists the documents that hold its chunks first.
+
+def _identity(id_col: str, text_col: str) -> list[F.Column]:
+    """What tells rows apart: the id (which may be null or shared) and a hash of the text."""
+    return [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h")]
+
+
+def repeated_spans(documents: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, h and spans (begin, end, from) of each document with passages that an earlier one holds.
+
+    Documents come in the order of their ids, null ids last, those with one id by
+    h, a hash of the text; rows equal in both are one document. A span is a run
+    of words; from lists the ids of the first documents that hold its parts. Each
+    part is a `units` run which that document holds in one piece, so passages
+    that stand together nowhere else are not joined to one.
+
+    Chunks are counted by digest, and those that occur once fall away in a partial
+    aggregation. The others are put together by document, units are made of
+    neighbouring ones, and a unit is repeated if an earlier document has it. Every
+    chunk has two independent 64-bit digests: the first finds candidates, a unit
+    needs both of two chunks at least. All joins are equi-joins, in which Spark
+    may split a digest that a third of all documents hold.
     """
-    chunks = repeated_chunks(documents, settings, id_col, text_col)
-    listed = chunks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "n", "first_id"))).alias("chunks"))
-    spans = listed.select("id", _runs(F.col("chunks"), settings).alias("spans"))
-    return written(spans.where("size(spans) > 0"), "spans")
+    rows = documents.select(*_identity(id_col, text_col), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    with Steps(documents.sparkSession, "substrings") as steps:
+        chunks = steps.written(rows.mapInArrow(_chunked(settings), "digest long, again long, id long, h long, begin int, n int"), "chunks")
+        several = steps.written(chunks.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"), "several")
+        listed = chunks.join(several, "digest").groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("begin", "n", "digest", "again"))).alias("chunks"))
+        found = steps.written(listed.mapInArrow(_united(settings), "u long, v long, id long, h long, begin int, end int"), "units")
+        order = F.struct(F.col("id").isNull().alias("late"), "id", "h")
+        firsts = found.groupBy("u", "v").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+        firsts = steps.written(firsts.select("u", "v", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")), "firsts")
+        later = found.join(firsts, ["u", "v"]).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
+        later = later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "first_id"))).alias("found"))
+        return written(later.mapInArrow(_spanned, "id long, h long, spans array<struct<begin:int,end:int,from:array<bigint>>>"), "spans")
 
 
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -174,48 +234,50 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         spans = batch.column(2).to_pylist()
         out = [cut(t, [(s["begin"], s["end"]) for s in x or []]) for t, x in zip(texts, spans, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], ["row", "text", "spans"])
+
+
+def _parted(documents: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """row (a struct of the columns but the text), text (what is left of it) and spans of every document."""
+    spans = repeated_spans(documents, settings, id_col, text_col)
+    sure = F.broadcast(spans) if spans.count() <= MOST_SENT else spans
+    sure = sure.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans")
+    others = [F.col(f"`{c}`") for c in documents.columns if c != text_col]
+    rows = documents.select(F.struct(*others).alias("row"), F.col(f"`{text_col}`").alias("text"), *_identity(id_col, text_col))
+    joined = rows.join(sure, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("row", "text", "spans")
+    whole = joined.where("spans IS NULL")
+    return whole.unionByName(joined.where("spans IS NOT NULL").mapInArrow(_cut, whole.schema))
 
 
-def deduplicated(documents: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", spans: DataFrame | None = None) -> DataFrame:
-    """The documents with all their columns, repeated passages cut from the texts.
+def deduplicated(documents: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, passages cut that an earlier document holds.
 
-    The first document (by id) that holds a passage keeps it. Texts without
-    repeats stay as they are, byte for byte; a text that is all repeats becomes
-    empty; null texts stay null. Rows with a null id are neither searched nor
-    cut. Rows that share an id are cut by the spans of both.
+    The first document (see `repeated_spans`) that holds a passage keeps it, and
+    what a text repeats of itself alone stays. Texts without such passages stay as
+    they are, byte for byte; a text that is all repeats becomes empty; null texts
+    stay null. Each row is cut by the spans of its own id and text, also where ids
+    are null or shared; rows equal in both are one document and cut alike.
     """
-    spans = repeated_spans(documents, settings, id_col, text_col) if spans is None else spans
-    sure = spans.select(F.col("id").alias("_span_id"), F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("_spans"))
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    few = (sure.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MOST_SENT
-    joined = packed.join(F.broadcast(sure) if few else sure, F.col("key") == F.col("_span_id"), "left")
-    whole = joined.where("_spans IS NULL").select("row", "text")
-    some = joined.where("_spans IS NOT NULL").select("row", "text", "_spans").mapInArrow(_cut, whole.schema)
-    both = whole.unionByName(some)
-    return both.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in documents.columns])
+    parted = _parted(documents, settings, id_col, text_col)
+    return parted.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in documents.columns])
 
 
 def report(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, has_repeats, n_removed_words, n_kept_words, n_spans, source_doc_ids, text_sha256 of every document.
+    """doc_id, has_repeats, n_removed_words, n_spans, n_chars_kept, source_doc_ids and text_sha256 of every document.
 
     source_doc_ids are the documents that hold the removed passages first;
-    text_sha256 is that of the text that is left.
+    n_chars_kept and text_sha256 are those of the text that is left. A null text
+    counts as empty.
     """
-    spans = repeated_spans(documents, settings)
-    rows = documents.select("doc_id", "text")
-    left = deduplicated(rows, settings, spans=spans).select("doc_id", F.sha2(no_text(F.col("text")), 256).alias("text_sha256"), F.length(no_text(F.col("text"))).cast("long").alias("n_chars_kept"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
-    facts = spans.select(F.col("id").alias("doc_id"), removed.alias("n_removed_words"), F.size("spans").cast("long").alias("n_spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["from"])))).alias("source_doc_ids"))
-    out = left.join(facts, "doc_id", "left")
-    return out.select(
-        "doc_id",
-        F.col("n_spans").isNotNull().alias("has_repeats"),
-        F.coalesce("n_removed_words", F.lit(0).cast("long")).alias("n_removed_words"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        "n_chars_kept",
-        F.coalesce("source_doc_ids", F.array().cast("array<bigint>")).alias("source_doc_ids"),
-        "text_sha256",
+    spans = F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int,from:array<bigint>>>"))
+    return _parted(documents.select("doc_id", "text"), settings, "doc_id", "text").select(
+        "row.doc_id",
+        (F.size(spans) > 0).alias("has_repeats"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]).alias("n_removed_words"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.length(no_text(F.col("text"))).cast("long").alias("n_chars_kept"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: s["from"])))).alias("source_doc_ids"),
+        F.sha2(no_text(F.col("text")), 256).alias("text_sha256"),
     )
 
 

@@ -25,7 +25,8 @@ _LOWER[0x41:0x5B] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two tables of odd numbers for bytes: two independent hashes of a word.
+_BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240229, 20240301)]
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -39,7 +40,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (or more) of a fixed odd base and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
         size = 1 << max(18, int(n - 1).bit_length())
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -98,11 +100,11 @@ class Words:
         self.end = np.flatnonzero(before & (fresh | ~begins))
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _powers(len(self.data) + 1)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; hashes 0 and 1 are independent of each other."""
+        up, down = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
+        np.cumsum(_BYTES[which][self.data] * up[: len(self.data)], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start] + _ODD)
 
     def word(self, k: int) -> bytes:
