@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import if_small, scratch, written
+from corvane.llm.common import Steps, if_small, no_text, scratch, written
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -21,8 +21,10 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PAGE = "urn:page:"
-#: Records in one archive; the reader holds one archive at a time.
-MOST_RECORDS = 4_000
+#: Bytes in one archive (more only if one record has more); the reader holds one archive at a time.
+MOST_BYTES = 32_000_000
+#: Bytes fed to the inflater at once.
+FED = 1 << 16
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
@@ -104,31 +106,39 @@ def _parsed(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, end + len(END)
 
 
+def _member(data: memoryview, start: int) -> tuple[bytes, int]:
+    """What the gzip member at `start` holds, and where it ends; nothing behind it is copied."""
+    inflate, at, parts = zlib.decompressobj(31), start, []
+    try:
+        while not inflate.eof and at < len(data):
+            parts.append(inflate.decompress(data[at : at + FED]))
+            at += FED
+            if parts[0] and not parts[0].startswith(b"WARC/1."[: len(parts[0])]):
+                raise _Bad("member holds no record")
+    except zlib.error as e:
+        raise _Bad(f"member: {e}") from None
+    if not inflate.eof:
+        raise _Bad("member is truncated")
+    return b"".join(parts), min(at, len(data)) - len(inflate.unused_data)
+
+
 def salvaged(data: bytes) -> Iterator[Record | Gap]:
     """Every valid record of an archive, and the gaps between them, in order.
 
     Records stand in the file as they are or as gzip members of their own. Where
     a check fails (framing, lengths, digests, inflation) the search goes on with
     the next gzip member or version line after the failed one; bytes up to the
-    next valid record are one gap. An empty file has neither.
+    next valid record are one gap. An empty file has neither. The time grows with
+    the bytes, not with members times bytes.
     """
-    at, gap = 0, None
+    at, gap, view = 0, None, memoryview(data)
     while at < len(data):
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
-                inflate = zlib.decompressobj(31)
-                try:
-                    member = inflate.decompress(data[at:])
-                except zlib.error as e:
-                    raise _Bad(f"member: {e}") from None
-                if not inflate.eof:
-                    raise _Bad("member is truncated")
-                if not member.startswith(b"WARC/1."):
-                    raise _Bad("member holds no record")
+                member, end = _member(view, at)
                 headers, payload, used = _parsed(member, 0)
                 if used != len(member):
                     raise _Bad("member holds more than a record")
-                end = len(data) - len(inflate.unused_data)
             elif _NEXT.match(data, at):
                 headers, payload, end = _parsed(data, at)
             else:
@@ -147,18 +157,20 @@ def salvaged(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(gap[0], len(data), gap[1])
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(x or "").encode() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], ["page_id", "digest", "n"])
-
-
 def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole archives, as many records as come to MOST_BYTES in each, without the last one's closing line breaks."""
+    records, size = [], 0
+    archive = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(records).decode()], pa.large_string())], ["value"])
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            rows = zip(*(c.to_pylist() for c in batch.slice(k, 1000).columns), strict=True)
-            out = [record(i, u, (h or "").encode(), r).decode() for i, u, h, r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        for i, u, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one = record(i, u, (h or "").encode(), r)
+            if records and size + len(one) > MOST_BYTES:
+                yield archive()
+                records, size = [], 0
+            records.append(one)
+            size += len(one) + len(END)
+    if records:
+        yield archive()
 
 
 def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -166,19 +178,22 @@ def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of pages with equal payloads of `least_bytes` or more the one with the largest
     id is a response and the others revisit it; a page with a null id is a
-    response and is not revisited. Null html is an empty payload. Digests are
-    compared, not payloads; the pages themselves are not shuffled unless more
-    than half a million of them are revisits. Spark's committed writer makes the
-    files, so a lost executor leaves no half record behind.
+    response and is not revisited. Rows that share an id are judged by their own
+    payloads; equal rows with the largest id are all responses. Null html is an
+    empty payload. Digests are compared, not payloads; the pages themselves are
+    not shuffled unless more than half a million of them are revisits. An archive
+    is one row of Spark's committed writer, so a lost executor leaves no half
+    record behind.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    digests = written(rows.select("page_id", "html").mapInArrow(_digested, "page_id long, digest string, n long"), "digests")
-    able = digests.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes))
-    first = able.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1")
-    again = able.join(first, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
-    again = written(again, "revisits")
-    records = rows.join(if_small(again), "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(_recorded, "value string")
-    records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", MOST_RECORDS).text(path)
+    html = no_text(F.col("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
+    able = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", "sha1")
+    with Steps(pages.sparkSession, "warc") as steps:
+        able = steps.written(able, "digests")
+        first = able.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
+        again = steps.written(able.join(first, "sha1").where("page_id < refers_to").distinct(), "revisits")
+        records = rows.join(if_small(again), ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(_recorded, "value string")
+        records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def _read(payloads: bool):
@@ -191,8 +206,9 @@ def _read(payloads: bool):
 
         for batch in batches:
             for k in range(batch.num_rows):
-                file, data, rows = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), []
+                file, data, rows, held = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), [], 0
                 for x in salvaged(data):
+                    held += len(x.payload) if payloads and isinstance(x, Record) else 0
                     if isinstance(x, Gap):
                         rows.append((file, x.start, x.end, x.reason, *[None] * 7))
                     else:
@@ -200,9 +216,9 @@ def _read(payloads: bool):
                         length = int(h["x-payload-length"]) if h["warc-type"] == "revisit" and h.get("x-payload-length", "").isdigit() else len(x.payload)
                         told = h.get("warc-payload-digest", "").removeprefix("sha1:") if h["warc-type"] == "revisit" else digest(x.payload)
                         rows.append((file, x.start, x.end, None, h["warc-type"], h.get("warc-record-id"), h.get("warc-target-uri"), length, told, h.get("warc-refers-to"), x.payload if payloads else None))
-                    if len(rows) == 1000:
+                    if len(rows) == 1000 or held > FED * 256:
                         yield batch_of(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
 
@@ -216,18 +232,30 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
     payload_digest, refers_to and payload (null unless asked for). Digests and
     lengths are those of the bytes read; for a revisit, which has none, they are
     those its headers give. One archive is one row of Spark's reader for binary
-    files, so a task holds one archive at a time.
+    files, so a task holds one archive at a time; that reader takes files of 2 GB
+    at most and fails on larger ones.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = "file string, start long, end long, reason string, type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
     return files.mapInArrow(_read(payloads), schema)
 
 
+def quarantined(found: DataFrame, path: str) -> DataFrame:
+    """The gaps (file, start, end, reason) among what `read` found, written as a table to `path`."""
+    gaps = found.where("reason IS NOT NULL").select("file", "start", "end", "reason")
+    gaps.write.parquet(path)
+    return found.sparkSession.read.schema(gaps.schema).parquet(path)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, as read back."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, as read back.
+
+    Archives, what was read and the log of gaps stay in the shared folder.
+    """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     archived(pages, path)
+    found = written(read(spark, path, payloads=False), "records")
+    quarantined(found, scratch(spark, "quarantine"))
     number = lambda c: F.expr("try_cast(nullif(substring({0}, {1}, length({0}) - {1}), '') as bigint)".format(c, len(PAGE) + 2))
-    found = read(spark, path, payloads=False).where("reason IS NULL")
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    return found.where("reason IS NULL").select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
