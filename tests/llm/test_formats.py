@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,38 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_round_trip_of_shared_ids(spark, tmp_path):
+    """No payload is lost where ids repeat: the archive holds each distinct one."""
+    rows = [(5, "AAA"), (5, "unique text"), (9, "AAA"), (5, "unique text"), (None, "AAA"), (None, "null's own"), (9, "AAA"), (7, "unique text")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = Counter(map(tuple, warc.round_trip(df).select("page_id", "payload_digest", "record_type", "refers_to").collect()))
+    want = Counter()
+    for i, h in rows:
+        top = max(j for j, x in rows if x == h and j is not None) if i is not None else None
+        want[(i, warc.digest(h.encode()), *(("response", None) if i == top else ("revisit", top)))] += 1
+    assert got == want
+    warc.archived(df, str(tmp_path / "w"))
+    assert {bytes(r.payload).decode() for r in warc.read(spark, str(tmp_path / "w")).where("type = 'response'").collect()} == {h for _, h in rows}
+
+
+def test_warc_archives_are_cut_by_bytes(spark, tmp_path):
+    df = spark.range(40).coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("ü"), 1_000_000), F.col("id").cast("string")).alias("html"))
+    warc.archived(df, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) == 3 and max(sizes) <= warc.MOST_BYTES + 4
+    assert warc.round_trip(df).where("payload_bytes > 2000000").count() == 40
+
+
+def test_warc_reads_members_in_linear_time():
+    member = gzip.compress(warc.record(1, "u", random.Random(1).randbytes(15_000).hex().encode()) + warc.END)
+    took = []
+    for n in (300, 2400):
+        data, began = member * n, time.perf_counter()
+        assert sum(isinstance(x, warc.Record) for x in warc.salvaged(data)) == n
+        took.append((time.perf_counter() - began) / n)
+    assert took[1] < 3 * took[0]
+
+
 def test_warc_salvage():
     records = [warc.record(k, f"https://a/{k}", f"body {k} ".encode() * 30) + warc.END for k in range(6)]
     whole = b"".join(records)
@@ -61,6 +94,8 @@ def test_warc_reads_damaged_files(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(records[2]) + gzip.compress(records[3])[:30])
     rows = warc.read(spark, str(tmp_path)).collect()
     assert sorted(bytes(r.payload) for r in rows if r.reason is None) == [b"payload 0", b"payload 1", b"payload 2"] and sum(r.reason is not None for r in rows) == 2
+    gaps = warc.quarantined(warc.read(spark, str(tmp_path)), str(tmp_path / "gaps")).collect()
+    assert sorted((r.file[-6:], r.start, r.end, r.reason) for r in gaps) == [("a.warc", len(records[0]), len(records[0]) + 7, "no version line"), ("arc.gz", len(gzip.compress(records[2])), len(gzip.compress(records[2])) + 30, "member is truncated")]
 
 
 ARTICLE = """<html><head><title>t</title><script>var a = "</p><p>x";</script></head><body><header><h1>Site</h1><nav><ul><li><a href=/>Home</a></li></ul></nav></header>

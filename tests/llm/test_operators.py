@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,26 +80,101 @@ def test_ablations_with_tolerated_rules(spark):
     assert got == {"too_few_words": (2, 1, 1), "repeated_words": (0, 0, 0), "too_many_words": (0, 0, 0), "symbols": (3, 1, 2), "exclamations": (1, 0, 0), "short_mean_word": (3, 0, 1), "long_mean_word": (0, 0, 0), "duplicate_lines": (3, 1, 1)}
 
 
+def _classes_by_hand(rows, percent):
+    """For each row its set of shingles and the rows it reaches."""
+    sets = []
+    for _, t in rows:
+        w = split(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group[find(a)] = find(b)
+    reached = defaultdict(list)
+    for k in range(len(rows)):
+        reached[find(k)].append(k)
+    return sets, [reached[find(k)] for k in range(len(rows))]
+
+
+def _near_by_hand(spark, rows, settings):
+    sets, reached = _classes_by_hand(rows, settings.percent)
+    want = Counter()
+    for k, (i, _) in enumerate(rows):
+        top = min((rows[x][0] for x in reached[k] if rows[x][0] is not None), default=None)
+        want[(i, len(sets[k]), top, i == top)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, near_dup.near_duplicates(df, settings).collect())) == want
+    left = Counter(map(tuple, near_dup.deduplicated(df, settings).collect()))
+    for k in range(len(rows)):
+        mine = {rows[x] for x in reached[k]}
+        stay = [r for r in mine if left[r]]
+        first = min(mine, key=lambda r: (r[0] is None, r[0] or 0))
+        assert len(stay) == 1 and stay[0][0] == first[0] and left[stay[0]] == rows.count(stay[0])
+
+
 def test_near_duplicates(spark, docs):
     for settings in (near_dup.AT_85, near_dup.AT_80):
-        sets = {}
-        for i, t in rows_of(docs):
-            w = split(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-            if i is not None:
-                sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-        reach = {i: i for i in sets}
-        links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= settings.percent * len(sets[a] | sets[b])]
-        for _ in sets:
-            for a, b in links:
-                reach[a] = reach[b] = min(reach[a], reach[b])
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, settings).collect()}
-        assert got.pop(None)[1:] == (None, True)
-        assert got == {i: (len(s), reach[i], reach[i] == i) for i, s in sets.items()}
-        left = near_dup.deduplicated(docs, settings)
-        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {None} | {i for i in sets if reach[i] == i}
+        _near_by_hand(spark, rows_of(docs), settings)
+    assert near_dup.deduplicated(docs).columns == docs.columns
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_shared_and_null_ids(spark):
+    r = random.Random(11)
+    new = lambda n: " ".join(f"n{r.randrange(10**9)}" for _ in range(n))
+    a, b, c = new(60), new(80), new(50)
+    rows = [(7, a), (7, b), (3, b + " tail"), (7, new(9)), (None, a + " more"), (None, c), (None, c + " end"), (7, a), (9, "short"), (9, "short"), (None, None), (8, ""), (2, c.upper()), (None, new(30)), (7, b)]
+    _near_by_hand(spark, rows, near_dup.AT_85)
+
+
+def test_two_families_of_near_copies(spark):
+    """Families that share buckets but no link: the candidates grow with the members, not with their pairs."""
+    compared = []
+    was = near_dup._compared
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return was(pairs, sets)
+
+    near_dup._compared = counted
+    try:
+        for g in (40, 80):
+            r = random.Random(13)
+            base = [f"c{r.randrange(10**9)}" for _ in range(300)]
+            rows = []
+            for f in range(2):
+                mine = base[:255] + [f"f{f}-{k}" for k in range(45)]
+                for k in range(g):
+                    one = list(mine)
+                    one[(7 * k) % 250] = f"e{k % 4}"
+                    rows.append((1000 * f + k, " ".join(one)))
+            compared.clear()
+            got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == {i: i // 1000 * 1000 for i, _ in rows}
+            assert sum(compared) < 30 * 2 * g
+    finally:
+        near_dup._compared = was
+
+
+@pytest.mark.parametrize("settings", [near_dup.AT_85, near_dup.AT_80])
+def test_signatures_of_pairs_at_the_threshold_share_a_band(settings):
+    r, hasher = np.random.default_rng(settings.percent), near_dup.CirculantMinHash(settings)
+    missed = 0
+    for _ in range(1500):
+        n = int(r.integers(20, 400))
+        both = -(-settings.percent * 2 * n // (100 + settings.percent))
+        a = r.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+        missed += not np.intersect1d(hasher.band_keys(np.unique(a[:n])), hasher.band_keys(np.unique(a[n - both :]))).size
+    assert missed == 0
+
+
 def test_near_duplicates_without_a_hub(spark):
     """A chain of small steps: the first of a bucket is similar to few of its members."""
     r = random.Random(9)
@@ -114,32 +190,92 @@ def test_near_duplicates_without_a_hub(spark):
     assert {r.component_id for r in near_dup.near_duplicates(df).collect()} == {0}
 
 
+def _removed(before: str | None, after: str | None) -> list[bool]:
+    """Which words of a text are gone, what is left being the others in order."""
+    left, gone = iter([*split(after), None]), []
+    here = next(left)
+    for w in split(before):
+        gone.append(w != here)
+        if w == here:
+            here = next(left)
+    assert here is None
+    return gone
+
+
+def _cut_by_hand(rows: list[tuple]) -> None:
+    """Words cut from texts (id, text, text left) lie in 20 words that an earlier document holds, and long such runs are cut.
+
+    Only words are looked at, not chunks. The edges of a run may stay: up to 24 words,
+    where chunks end that are not the run's alone.
+    """
+    rows = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen: dict[tuple, set] = defaultdict(set)
+    for i, t, left in rows:
+        w = split(t)
+        earlier = [False] * len(w)
+        for k in range(len(w) - 19):
+            if seen[tuple(w[k : k + 20])] - {(i, t)}:
+                earlier[k : k + 20] = [True] * 20
+        gone = _removed(t, left)
+        assert all(e or not g for e, g in zip(earlier, gone, strict=True)), i
+        run = 0
+        for k in range(len(w) + 1):
+            if k < len(w) and earlier[k]:
+                run += 1
+            else:
+                assert all(gone[k - run : k][24:-24]) or len(set(w[k - run : k])) < run, i
+                run = 0
+        if i is not None or len([r for r in rows if r[0] is None]) == 1:
+            for k in range(len(w) - 19):
+                seen[tuple(w[k : k + 20])].add((i, t))
+
+
 def test_substrings(spark, docs):
-    first, runs = {}, {}
-    for i, t in sorted((x for x in rows_of(docs) if x[0] is not None), key=lambda x: x[0]):
-        at, mine = 0, []
-        for c in substrings.chunks_of(t or ""):
-            if first.setdefault(c, (i, at)) != (i, at):
-                if mine and mine[-1][1] == at:
-                    mine[-1] = (mine[-1][0], at + len(c), mine[-1][2] + 1)
-                else:
-                    mine.append((at, at + len(c), 1))
-            at += len(c)
-        runs[i] = [(a, b) for a, b, n in mine if n >= 2 and b - a >= 20]
     out = substrings.deduplicated(docs)
     assert out.columns == docs.columns
-    got = {r.doc_id: r for r in out.collect()}
-    for i, t in rows_of(docs):
-        if i is None:
-            assert got[i].text == t
+    left = {(r.doc_id, r.id): r.text for r in out.collect()}
+    rows = [(r.doc_id, r.text, left[r.doc_id, r.id]) for r in docs.collect()]
+    _cut_by_hand(rows)
+    assert all((t is None) == (x is None) and (x == t or len(split(x)) < len(split(t))) for _, t, x in rows)
+    found = {r.doc_id: r for r in substrings.report(docs).collect()}
+    for i, t, x in rows:
+        n = sum(_removed(t, x))
+        assert (found[i].n_removed_words, found[i].has_repeats, found[i].text_sha256) == (n, n > 0, hashlib.sha256((x or "").encode()).hexdigest())
+    assert sum(t != x for _, t, x in rows) >= 15
+    assert substrings.report(docs.limit(0)).count() == 0 and substrings.deduplicated(docs.limit(0)).columns == docs.columns
+
+
+def test_substrings_do_not_join_passages(spark):
+    """A and B stand together nowhere else, and neither is long enough alone; what a text repeats of itself stays."""
+    r = random.Random(5)
+    new = lambda n: " ".join(f"n{r.randrange(10**9)}" for _ in range(n))
+    for _ in range(40):
+        a, b, own = new(14), new(14), new(60)
+        rows = [(0, f"{new(30)} {a} {new(30)}"), (1, f"{new(30)} {b} {new(30)}"), (2, f"{new(5)} {a} {b} {new(5)}"), (3, f"{own} {own}"), (4, "tok " * 300)]
+        if _ == 0:
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            assert sorted(map(tuple, substrings.deduplicated(df).collect())) == sorted(rows)
+        found = [substrings.chunks_of(t) for _, t in rows[:3]]
+        runs = {tuple(w for c in x[k:j] for w in c) for x in found[:2] for k in range(len(x)) for j in range(k + 1, len(x) + 1)}
+        assert not any(tuple(w for c in found[2][k:j] for w in c) in runs for k in range(len(found[2])) for j in range(k + 1, len(found[2]) + 1) if sum(map(len, found[2][k:j])) >= 20)
+
+
+def test_substrings_of_rows_with_shared_and_null_ids(spark):
+    r = random.Random(6)
+    new = lambda n: " ".join(f"n{r.randrange(10**9)}" for _ in range(n))
+    passage = new(60)
+    rows = [(1, f"{new(9)} {passage}"), (2, "short one"), (2, f"{new(40)} {passage} {new(3)}"), (2, new(90)), (None, f"{passage} {new(7)}"), (None, "another"), (None, None), (3, None), (3, ""), (1, "x"), (4, passage), (4, passage), (None, f"{passage} {new(7)}")]
+    left = substrings.deduplicated(spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "n int, doc_id long, text string")).collect()
+    assert len(left) == len(rows)
+    for x in left:
+        i, t = rows[x.n]
+        assert x.doc_id == i and (x.text is None) == (t is None)
+        if t and passage in t and x.n:
+            assert 20 <= sum(_removed(t, x.text)) <= 60
         else:
-            w = split(t)
-            keep = [x for k, x in enumerate(w) if not any(a <= k < b for a, b in runs[i])]
-            assert split(got[i].text) == keep and (got[i].text is None) == (t is None)
-            assert runs[i] or got[i].text == t
-    assert sum(bool(x) for x in runs.values()) >= 15
-    assert {r.doc_id: r.n_removed_words for r in substrings.report(docs).collect() if r.doc_id is not None} == {i: sum(b - a for a, b in x) for i, x in runs.items()}
-    assert substrings.report(docs.limit(0)).count() == 0
+            assert x.text == t
+    once = spark.createDataFrame([(1, passage)] * 3, "doc_id long, text string")
+    assert {x.text for x in substrings.deduplicated(once).collect()} == {passage}
 
 
 def test_chunks_resist_shifts():
@@ -172,8 +308,6 @@ def test_decontamination(spark, docs):
         want[(i, len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(map(str, of))).encode()).hexdigest(), bool(hit))] += 1
     got = Counter(tuple(r)[:6] for r in decontaminate.report(docs, bench).collect())
     assert got == want and sum(x[5] for x in want) > 8
-    once, many = (decontaminate.contaminated(docs.where("doc_id IS NOT NULL"), bench, block_words=n) for n in (10**6, 12))
-    assert sorted((r.key, r.hit_words, sorted(r.item_ids)) for r in once.collect()) == sorted((r.key, r.hit_words, sorted(r.item_ids)) for r in many.collect())
     assert decontaminate.clean(docs, bench).count() == sum(n for x, n in want.items() if not x[5])
     assert decontaminate.report(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.report(docs.limit(0), bench).count() == 0
@@ -187,18 +321,43 @@ def _passages(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, a), (2, b), (3, "not there at all")], "item_id long, text string")
 
 
-def test_decontamination_in_blocks_with_shared_and_null_ids(spark, docs):
+def test_decontamination_with_shared_and_null_ids(spark, docs):
     rows, bench = _passages(spark)
-    for table in (rows, docs.select("doc_id", "text").unionAll(rows)):
-        once, many = (Counter((r.key, r.n_words, tuple(r.hit_words), tuple(r.item_ids)) for r in decontaminate.contaminated(table, bench, block_words=n).collect()) for n in (10**6, 10))
-        assert once == many and sum(many.values()) == table.count()
-    assert decontaminate.contaminated(rows, bench, block_words=10).where("size(item_ids) = 2").count() == 3
-
-
-@pytest.mark.parametrize("block_words", [10**6, 10])
-def test_clean_judges_each_row(spark, block_words):
+    got = Counter((r.key, r.n_words, tuple(r.hit_words), tuple(r.item_ids)) for r in decontaminate.contaminated(rows, bench).collect())
+    want = Counter()
+    for i, t in rows_of(rows):
+        w = (t or "").split()
+        hit = [k for k, x in enumerate(w) if x[0] in "ab" and x[1:].isdigit()]
+        want[(i, len(w), tuple(hit), tuple(k for k, x in ((1, "a0"), (2, "b0")) if x in w))] += 1
+    assert got == want and sum(n for x, n in got.items() if len(x[3]) == 2) == 3
+    assert decontaminate.contaminated(docs.select("doc_id", "text").unionAll(rows), bench).count() == docs.count() + rows.count()
+
+
+def test_decontamination_of_a_large_benchmark(spark):
+    """With a sieve that almost everything passes the result is the same."""
+    r = random.Random(8)
+    some = [f"v{k}" for k in range(30)]
+    text = lambda n: " ".join(r.choice(some) for _ in range(n))
+    items = [(k, text(r.randint(1, 14)) if k % 3 else text(60)) for k in range(300)]
+    rows = [(k, f"{text(r.randint(0, 40))} {items[r.randrange(300)][1]} {text(3)}") for k in range(80)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    of = lambda bits: {x.key: (x.hit_words, x.item_ids) for x in decontaminate.contaminated(df, bench, sieve_bits=bits).collect()}
+    want = {}
+    grams = {(k, tuple(x[j : j + n])) for k, t in items for x in [t.split()] for n in [min(10, len(x))] for j in range(len(x) - n + 1)}
+    for i, t in rows:
+        w, hit, found = t.split(), set(), set()
+        for k, g in grams:
+            for j in range(len(w) - len(g) + 1):
+                if tuple(w[j : j + len(g)]) == g:
+                    hit |= set(range(j, j + len(g)))
+                    found.add(k)
+        want[i] = (sorted(hit), sorted(found))
+    assert of(decontaminate.SIEVE_BITS) == of(8) == want
+
+
+def test_clean_judges_each_row(spark):
     rows, bench = _passages(spark)
-    left = Counter(map(tuple, decontaminate.clean(rows.withColumn("n", F.lit(1)), bench, block_words).drop("n").collect()))
+    left = Counter(map(tuple, decontaminate.clean(rows.withColumn("n", F.lit(1)), bench).drop("n").collect()))
     assert left == Counter(tuple(r) for r in rows.collect() if "a0" not in (r.text or "") and "b0" not in (r.text or ""))
     assert {i for i, _ in left} == {None, 7}
 
