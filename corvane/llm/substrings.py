@@ -95,7 +95,8 @@ def _chunked(settings: Settings):
                 if not len(ends):
                     continue
                 starts = np.concatenate([[0], ends[:-1]])
-                digests = [pa.array(chunk_digests(words.hashes(w), starts, ends).view(np.int64)) for w in (0, 1)]
+                digest, again = (chunk_digests(words.hashes(w), starts, ends) for w in (0, 1))
+                digests = [pa.array(digest.view(np.int64)), pa.array((again >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                 doc = np.searchsorted(words.first, starts, "right") - 1
                 of = pa.array(k + doc)
                 yield pa.RecordBatch.from_arrays([*digests, batch.column(0).take(of), batch.column(1).take(of), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["digest", "again", "id", "h", "begin", "n"])
@@ -140,7 +141,7 @@ def units(offsets: np.ndarray, begin: np.ndarray, n: np.ndarray, digests: list[n
     out = []
     for d in digests:
         sums = np.zeros(m + 1, np.uint64)
-        np.cumsum(mix(d.view(np.uint64)) * up[:m], out=sums[1:])
+        np.cumsum(mix(d.astype(np.int64).view(np.uint64)) * up[:m], out=sums[1:])
         out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64))
     return np.searchsorted(offsets, first, "right") - 1, begin[first], end[last - 1], out
 
@@ -197,18 +198,18 @@ def repeated_spans(documents: DataFrame, settings: Settings = Settings(), id_col
     Chunks are counted by digest, and those that occur once fall away in a partial
     aggregation. The others are put together by document, units are made of
     neighbouring ones, and a unit is repeated if an earlier document has it. Every
-    chunk has two independent 64-bit digests: the first finds candidates, a unit
-    needs both of two chunks at least. All joins are equi-joins, in which Spark
+    chunk has two independent digests, of 64 and 32 bits: the first finds candidates,
+    a unit needs both of two chunks at least. All joins are equi-joins, in which Spark
     may split a digest that a third of all documents hold.
     """
     rows = documents.select(*_identity(id_col, text_col), F.col(text_col).alias("text")).where("text IS NOT NULL")
     with Steps(documents.sparkSession, "substrings") as steps:
-        chunks = steps.written(rows.mapInArrow(_chunked(settings), "digest long, again long, id long, h long, begin int, n int"), "chunks")
+        chunks = steps.written(rows.mapInArrow(_chunked(settings), "digest long, again int, id long, h long, begin int, n int"), "chunks")
         several = steps.written(chunks.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"), "several")
         listed = chunks.join(several, "digest").groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("begin", "n", "digest", "again"))).alias("chunks"))
         found = steps.written(listed.mapInArrow(_united(settings), "u long, v long, id long, h long, begin int, end int"), "units")
         order = F.struct(F.col("id").isNull().alias("late"), "id", "h")
-        firsts = found.groupBy("u", "v").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+        firsts = found.groupBy("u", "v").agg(F.min(order).alias("first"), F.count("*").alias("c")).where("c > 1")
         firsts = steps.written(firsts.select("u", "v", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")), "firsts")
         later = found.join(firsts, ["u", "v"]).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
         later = later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "first_id"))).alias("found"))
