@@ -206,7 +206,7 @@ def _apart(enough: DataFrame, sets: DataFrame, settings: Settings, steps: Steps)
     a, b = (held.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "low", "high", "rep", "radius")]) for x in "ab")
     sizes = (F.col("high_a") * 100 >= F.col("low_b") * settings.percent) & (F.col("high_b") * 100 >= F.col("low_a") * settings.percent)
     met = a.join(b, "bucket").where((F.col("component_a") < F.col("component_b")) & sizes)
-    met = steps.written(met.select("component_a", "component_b", "rep_a", "rep_b", "radius_a", "radius_b").distinct(), "met")
+    met = steps.written(met.select("bucket", "component_a", "component_b", "rep_a", "rep_b", "radius_a", "radius_b"), "met")
     between = _compared(met.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct(), sets)
     met = met.join(between.select(F.col("u").alias("rep_a"), F.col("v").alias("rep_b"), distance), ["rep_a", "rep_b"])
     met = steps.written(met.where(F.col("radius_a") + F.col("radius_b") >= F.col("d") - far), "close").withColumnRenamed("d", "between")
@@ -214,7 +214,8 @@ def _apart(enough: DataFrame, sets: DataFrame, settings: Settings, steps: Steps)
     member = enough.join(if_small(nodes.select("node", "d")), "node").select("bucket", "node", "n", "component", "d")
     sides = []
     for x, y in ("ab", "ba"):
-        side = member.join(if_small(met), F.col("component") == F.col(f"component_{x}"))
+        near = met.select(F.col("bucket").alias("at"), "component_a", "component_b", "between", f"radius_{y}")
+        side = member.join(if_small(near), (F.col("bucket") == F.col("at")) & (F.col("component") == F.col(f"component_{x}")))
         side = side.where(F.col("d") + F.col(f"radius_{y}") >= F.col("between") - far)
         sides.append(side.select("bucket", "component_a", "component_b", "between", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "d")]))
     pairs = sides[0].join(sides[1].drop("between"), ["bucket", "component_a", "component_b"])
