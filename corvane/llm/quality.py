@@ -88,9 +88,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(*utf8(batch.column(1))).astype(np.float32)
+        x = features(*utf8(batch.column(2))).astype(np.float32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["key", "h", "x"])
 
 
 @dataclass(frozen=True)
@@ -164,6 +164,16 @@ def fitted(featured: DataFrame, labels: DataFrame, settings: Settings = Settings
     return Model(weights, (low + high) / 2)
 
 
+def _judged(documents: DataFrame, labels: DataFrame, settings: Settings, model: Model | None, id_col: str, text_col: str) -> DataFrame:
+    """key, h, held_out, score and predicted of every row; h is a hash of its text."""
+    rows = documents.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    featured = written(rows.mapInArrow(_featured, "key long, h long, x array<float>"), "features")
+    model = model or fitted(featured, labels, settings)
+    # Rounding of the logistic may not move a row on the threshold.
+    out = featured.select("key", "h", is_held_out("key").alias("held_out"), F.round(model.score(F.col("x")), 12).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
 def scored(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3) of every document.
 
@@ -172,16 +182,15 @@ def scored(documents: DataFrame, labels: DataFrame, settings: Settings = Setting
     the score of a text without words. Repeated ids give a row each. Without any
     labels all scores are 0.3.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    featured = written(rows.mapInArrow(_featured, "key long, x array<float>"), "features")
-    model = model or fitted(featured, labels, settings)
-    out = featured.select(F.col("key").alias("doc_id"), is_held_out("key").alias("held_out"), model.score(F.col("x")).alias("score"))
-    # Rounding of the logistic may not move a row on the threshold.
-    return out.withColumn("score", F.round("score", 12)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return _judged(documents, labels, settings, model, id_col, text_col).select(F.col("key").alias("doc_id"), "held_out", "score", "predicted")
 
 
-def accepted(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents, with all their columns, that are not rejected; rows with a null id stay."""
-    rejected = written(scored(documents, labels, settings).where("predicted = 0").select("doc_id").distinct(), "rejected")
-    rejected = rejected.select(F.col("doc_id").alias("_rejected"))
-    return documents.join(if_small(rejected), F.col("doc_id") == F.col("_rejected"), "left_anti")
+def accepted(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are not rejected.
+
+    Each row is judged by its own text, also where ids are null or shared.
+    """
+    rejected = _judged(documents, labels, settings, None, id_col, text_col).where("predicted = 0")
+    rejected = if_small(written(rejected.select(F.col("key").alias("_rejected"), F.col("h").alias("_rejected_h")).distinct(), "rejected"))
+    mine = documents[id_col].cast("long").eqNullSafe(rejected["_rejected"]) & (F.xxhash64(documents[text_col]) == rejected["_rejected_h"])
+    return documents.join(rejected, mine, "left_anti")

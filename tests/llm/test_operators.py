@@ -440,6 +440,17 @@ def test_quality(spark, docs):
     assert quality.scored(docs.limit(0), lab).count() == 0
 
 
+def test_quality_judges_each_row(spark):
+    """A bad text takes no other with it, whether they share an id or have none."""
+    r = random.Random(4)
+    good = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(40))
+    bad = lambda: " ".join(f"w{r.randrange(3000)}***" for _ in range(40))
+    rows = [(k, good() if k % 3 else bad(), "x") for k in range(300)] + [(None, good(), "good"), (None, bad(), "bad"), (1, bad(), "bad"), (1, good(), "good"), (None, good(), "good")]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(300) if k != 1], "doc_id long, quality int")
+    kept = quality.accepted(spark.createDataFrame(rows, "doc_id long, text string, _rejected string"), labels)
+    assert Counter(x._rejected for x in kept.where("_rejected <> 'x'").collect()) == {"good": 3}
+
+
 def test_labels_of_held_out_rows_do_not_count(spark):
     df = spark.createDataFrame([(k, f"t{k} " * 30 + "#" * (k % 4)) for k in range(200)], "doc_id long, text string")
     lab = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(200)], "doc_id long, quality int")
