@@ -97,13 +97,13 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (u, v) from a page's url to its canonical link and its redirect target.
+    """Edges (u, v) from a page's url to all its canonical links and redirect targets.
 
     Targets are resolved against the page's url. Pages without a url or html have
     no edge, nor has a target that is not a url then.
     """
-    refresh = F.concat(*[F.regexp_extract("html", _REFRESH, k) for k in (1, 2, 3)])
-    targets = F.filter(F.array(F.regexp_extract("html", _LINK, 1), refresh), lambda x: x != "")
+    refreshes = F.transform(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda x: F.concat(*[F.regexp_extract(x, _REFRESH, k) for k in (1, 2, 3)]))
+    targets = F.filter(F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), refreshes)), lambda x: x != "")
     some = pages.select("url", "html").where("url IS NOT NULL AND html IS NOT NULL").where(F.col("html").rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
     some = some.select("url", F.explode(targets).alias("to")).mapInArrow(_resolved, "url string, to string")
     return some.where("to IS NOT NULL").select(place(F.col("url")).alias("u"), place(F.col("to")).alias("v"))

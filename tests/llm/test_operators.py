@@ -376,6 +376,15 @@ def test_sharding(spark, docs, shards):
     assert out and sharding.sharded(docs, shards).orderBy("doc_id").collect() == sharding.sharded(docs.repartition(5), shards).orderBy("doc_id").collect()
 
 
+def test_buckets_of_ranks_change_no_result(spark, docs, monkeypatch):
+    rows = docs.select("doc_id", "source", F.lit(1).alias("shard"))
+    of = lambda: sorted(map(str, sharding.interleave(rows, "doc_id", "source", 17, 5).collect()))
+    first = of()
+    monkeypatch.setattr(sharding, "MOST_ROWS", 0)
+    assert sharding._digits(61) == 5 and of() == first
+    assert sharding.interleave(rows, "doc_id", "source", 17, 5).columns == ["doc_id", "source", "shard", "slot"]
+
+
 def test_sharding_keeps_the_mixture(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"), F.lit("x").alias("text"))
     got = sharding.sharded(df).join(df, "doc_id").groupBy("shard").agg(F.count_if(F.col("source") == "hot").alias("n")).collect()
@@ -414,6 +423,9 @@ def test_url_filter_resolves_targets(spark):
     for url, html, to in cases:
         got = [r.v for r in url_filter.alias_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()]
         assert got == ([to] if to else []), html
+    several = "<link rel=canonical href=/1><link href='/2' rel=canonical>" + refresh("'0;url=/3'") + refresh('"0;url=/4"') + "<link rel=canonical href=/1>"
+    got = {r.v for r in url_filter.alias_edges(spark.createDataFrame([("https://a.test/", several)], "url string, html string")).collect()}
+    assert got == {f"https://a.test/{k}" for k in (1, 2, 3, 4)}
     pages = spark.createDataFrame([(1, "https://A.test/d/p", refresh("\"0;URL='https://b.test/?a=1&amp;b=2'\"")), (2, "https://B.test/?a=1&b=2", "<link rel=canonical href='https://X.net/'>"), (3, "https://a.test/d/q", "<link rel=canonical href='p'>")], "page_id long, url string, html string")
     assert {(r.page_id, r.verdict, r.via) for r in url_filter.judged(pages).collect()} == {(k, "block", "alias") for k in (1, 2, 3)}
 
