@@ -19,8 +19,10 @@ TAGS = ("html", "body", "head", "main", "article", "section", "div", "p", "h1",
 MARKS = (r"nav|menu|breadcrumb|topbar", r"\bads?\b|advert|banner|promo|sponsor", r"comment|repl(y|ies)|discussion|respon[sd]", r"cookie|consent|notice|popup|modal|gdpr|alert|overlay", r"side|widget|related|recommend", r"share|social|tags?\b", r"foot|copyright|bottom|legal", r"header|masthead|logo", r"content|article|post|story|entry|\bmain\b|\btext\b", r"login|search|subscribe|newsletter|signup|form")
 _TAG_OF = {t: k for k, names in enumerate(TAGS) for t in names.split()}
 _MARKS = [re.compile(m) for m in MARKS]
+_CLAIM = re.compile(r"\s*(©|\(c\)|copyright\b)", re.I)
+_CELLS = [_TAG_OF["tr"]]
 #: Training pages, all made up.
-SAMPLES = 300
+SAMPLES = 450
 
 
 @lru_cache(maxsize=4096)
@@ -45,10 +47,10 @@ class Forest:
         n = int(base[-1])
         parent = np.concatenate([np.where((a := np.array(p.parent)) < 0, -1, a + b) for p, b in zip(pages, base, strict=False)]) if pages else np.zeros(0, int)
         depth = np.concatenate([np.array(p.depth) for p in pages]) if pages else np.zeros(0, int)
-        sums = np.zeros((n, 4))  # letters, letters in links, marks, runs
+        sums = np.zeros((n, 5))  # letters, letters in links, marks, runs, runs that claim a copyright
         for p, b in zip(pages, base.tolist(), strict=False):
             for block, text, linked in p.runs:
-                sums[b + block] += (len(text), min(linked, len(text)), text.count(",") + text.count(".") + text.count(";"), 1)
+                sums[b + block] += (len(text), min(linked, len(text)), text.count(",") + text.count(".") + text.count(";"), 1, bool(_CLAIM.match(text)))
         below = sums.copy()
         levels = _levels(depth)
         for idx in levels[:0:-1]:
@@ -57,7 +59,10 @@ class Forest:
         kind[np.arange(n), [_TAG_OF.get(t, 6) for p in pages for t in p.tag]] = 1
         marks = np.array([_mark_row(m) for p in pages for m in p.marks], float).reshape(n, len(MARKS))
         rate = lambda a, b: a / np.maximum(b, 1)
-        numbers = [np.ones(n), np.log1p(np.minimum(sums[:, 0], 1000)) / 5, np.log1p(np.minimum(below[:, 0], 1000)) / 5, rate(sums[:, 1], sums[:, 0]), rate(below[:, 1], below[:, 0]), np.minimum(rate(20 * below[:, 2], below[:, 0]), 2), below[:, 0] == 0, np.minimum(below[:, 3], 20) / 20, rate(sums[:, 0], below[:, 0])]
+        largest = np.zeros(n)  # of a block's children, the letters of the one with most
+        np.maximum.at(largest, parent[parent >= 0], below[parent >= 0, 0])
+        beside = np.where(parent >= 0, rate(largest[parent] - below[:, 0], largest[parent]), 0)
+        numbers = [sums[:, 4] > 0, beside, (beside > 0.9) & np.isin(kind.argmax(axis=1), _CELLS), np.ones(n), np.log1p(np.minimum(sums[:, 0], 1000)) / 5, np.log1p(np.minimum(below[:, 0], 1000)) / 5, rate(sums[:, 1], sums[:, 0]), rate(below[:, 1], below[:, 0]), np.minimum(rate(20 * below[:, 2], below[:, 0]), 2), below[:, 0] == 0, np.minimum(below[:, 3], 20) / 20, rate(sums[:, 0], below[:, 0])]
         return cls(parent, depth, np.concatenate([np.stack(numbers, axis=1).reshape(n, len(numbers)), kind, marks], axis=1), levels, np.where(parent >= 0, kind[parent, :2].sum(axis=1), 1).astype(int))
 
 
@@ -98,8 +103,7 @@ class Model:
         for idx in levels[:0:-1]:
             belief, pair = unary[idx] + inward[idx], self.pair[forest.trunk[idx]]
             up[idx] = np.logaddexp(pair[:, :, 0] + belief[:, :1], pair[:, :, 1] + belief[:, 1:])
-            for k in (0, 1):
-                inward[:, k] += np.bincount(forest.parent[idx], up[idx, k], n)
+            np.add.at(inward, forest.parent[idx], up[idx])
         down, edges = np.zeros((n, 2)), np.zeros((2, 2, 2))
         for idx in levels[1:]:
             mother, pair = forest.parent[idx], self.pair[forest.trunk[idx]]

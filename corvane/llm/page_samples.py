@@ -34,6 +34,19 @@ def _attr(r: random.Random, names: str, chance: float = 0.8) -> str:
     return f' {r.choice(["class", "id", "class"])}="{r.choice(["", "", "site-", "x1 "])}{name}"' if r.random() < chance else ""
 
 
+def _in_table(r: random.Random, body: list[str], c: str) -> str:
+    """An old page laid out by a table: a row on top, menus and adverts in cells beside the article, a row below."""
+    plain = lambda n, between: between.join(f'<a href="/{k}">{_words(r, 1, 3)}</a>' for k in range(n))
+    style = lambda: r.choice(["", " bgcolor=white", " width=120", " valign=top", " width=20%", " class=cell"])
+    links = lambda: f"<td{style()}>{r.choice(['', '<b>' + _words(r, 1, 2) + '</b><br>'])}{plain(r.randint(1, 8), r.choice(['<br>', ' | ', '<br><br>']))}</td>"
+    span = r.choice([" colspan=2", " colspan=3", ""])
+    top = r.choice([f"<tr><td{span}><b>{_words(r, 1, 4)}</b></td></tr>", f"<tr><td{span}><img src=l.gif> <font size=4>{_words(r, 1, 4)}</font></td></tr>", f"<tr><td{span}>{plain(r.randint(2, 7), ' | ')}</td></tr>", ""])
+    below = r.choice([f"<tr><td{span}><font size=1>&copy; {r.randint(1995, 2009)} {_words(r, 1, 6)}</font></td></tr>", f"<tr><td{span}>{plain(r.randint(2, 5), ' - ')}</td></tr>", ""])
+    left, right = (links() if r.random() < p else "" for p in (0.8, 0.5))
+    rows = f"{top}<tr{c}>{left}<td{style()}{c}>{''.join(body)}</td>{right}</tr>{below}"
+    return f"<table{r.choice(['', ' width=100%', ' border=0 cellpadding=4'])}{c}>{r.choice(['', f'<tbody{c}>'])}{rows}</table>"
+
+
 def labelled_page(r: random.Random) -> str:
     """HTML of one page.
 
@@ -81,6 +94,8 @@ def labelled_page(r: random.Random) -> str:
     whole = "".join(before) + article + "".join(after) + footer()
     if r.random() < 0.3:
         whole = f"<div{_attr(r, 'page wrapper root container site', 0.8)}{c}>{whole}</div>"
+    if r.random() < 0.3:
+        whole = _in_table(r, body, c)
     tail = "</body></html>" if r.random() < 0.9 else ""
     return f'<!DOCTYPE html><html><head><title>{_words(r, 2, 8)}</title><style>p{{margin:0}}</style></head><body{c}>' + whole + tail
 

@@ -16,6 +16,7 @@ from corvane.llm import bpe, dom, html_extract, warc
 from corvane.llm.common import tokenizer_path
 from corvane.llm.page_samples import labelled_pages
 from tests.llm.cases import documents
+from tests.llm.hand_pages import PAGES
 
 
 def test_warc_round_trip(spark):
@@ -111,6 +112,12 @@ def test_html(spark):
     assert len(got) == 6 and html_extract.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_html_of_pages_by_hand(k):
+    html, text = PAGES[k]
+    assert html_extract.texts([html], html_extract.default_model()) == [text]
+
+
 def test_html_keeps_text_beside_and_inside_embedded_elements(spark):
     parts = ['<svg class="i" viewBox="0 0 9 9"/>one', "<math/>two", "<object/>three", "<svg><text>gone</text></svg>four", "<math><mi>x</mi><mo>=</mo><mn>5</mn></math> five", '<object data="a.pdf">Fall back here</object> six', "<noscript>plain words</noscript>seven", "<svg>eight"]
     text = lambda html: " ".join("".join(t for _, t, _ in dom.parse(html).runs).split())
