@@ -192,7 +192,7 @@ def _apart(enough: DataFrame, sets: DataFrame, settings: Settings, steps: Steps)
     d(x, rA) + d(z, rB) >= d(rA, rB) - (1 - threshold). So each member is compared
     with the representative of its own component, and each two representatives
     whose components share a bucket; two tight families of near copies are then
-    told apart by one comparison. enough: bucket, node, n, component.
+    told apart by one comparison. enough: bucket, node, n, common, component.
     """
     far = 1 - settings.percent / 100 + 1e-9
     distance = (1 - F.col("both") / (F.col("nu") + F.col("nv") - F.col("both"))).alias("d")
@@ -211,14 +211,15 @@ def _apart(enough: DataFrame, sets: DataFrame, settings: Settings, steps: Steps)
     met = met.join(between.select(F.col("u").alias("rep_a"), F.col("v").alias("rep_b"), distance), ["rep_a", "rep_b"])
     met = steps.written(met.where(F.col("radius_a") + F.col("radius_b") >= F.col("d") - far), "close").withColumnRenamed("d", "between")
 
-    member = enough.join(if_small(nodes.select("node", "d")), "node").select("bucket", "node", "n", "component", "d")
+    member = enough.join(if_small(nodes.select("node", "d")), "node").select("bucket", "node", "n", "common", "component", "d")
     sides = []
     for x, y in ("ab", "ba"):
         near = met.select(F.col("bucket").alias("at"), "component_a", "component_b", "between", f"radius_{y}")
         side = member.join(if_small(near), (F.col("bucket") == F.col("at")) & (F.col("component") == F.col(f"component_{x}")))
         side = side.where(F.col("d") + F.col(f"radius_{y}") >= F.col("between") - far)
-        sides.append(side.select("bucket", "component_a", "component_b", "between", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "d")]))
+        sides.append(side.select("bucket", "component_a", "component_b", "between", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "common", "d")]))
     pairs = sides[0].join(sides[1].drop("between"), ["bucket", "component_a", "component_b"])
+    pairs = pairs.where(_enough(settings, F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")))
     pairs = pairs.where(F.col("d_a") + F.col("d_b") >= F.col("between") - far).where(_near_size(settings, F.col("n_a"), F.col("n_b")))
     return pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
 
@@ -263,7 +264,7 @@ def _rest(members: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFram
     shared = shared.where("component_a <> component_b").where(_near_size(settings, F.col("n_a"), F.col("n_b")))
     shared = shared.where(_enough(settings, F.least("common_a", "common_b") + F.col("c"), F.col("n_a"), F.col("n_b")))
     shared = shared.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    enough = steps.written(left.where(_reachable(settings, "common")).select("bucket", "node", "n", "component"), "enough")
+    enough = steps.written(left.where(_reachable(settings, "common")).select("bucket", "node", "n", "common", "component"), "enough")
     alike = _apart(enough, sets, settings, steps)
     pairs = steps.written(shared.unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     return links.unionByName(_links(_compared(pairs, sets), settings))
@@ -312,9 +313,12 @@ def classes(documents: DataFrame, settings: Settings = AT_85, id_col: str = "doc
         more = steps.written(_rest(members.select("bucket", "node", "n"), found, pairs, sets, settings, steps), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
-        joined = nodes.select("node", "digest", "at").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        whole = joined.groupBy("component").agg(F.min("at.id").alias("smallest"), F.min("at").alias("first"))
-        of_set = joined.join(whole, "component").select("digest", "smallest", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+        linked = steps.written(nodes.select("node", "at").join(if_small(found), "node").select("node", "at", "component"), "linked")
+        whole = steps.written(linked.groupBy("component").agg(F.min("at.id").alias("smallest"), F.min("at").alias("first")), "whole")
+        linked = linked.join(if_small(whole), "component").select("node", "smallest", "first")
+        joined = nodes.select("node", "digest", "at").join(linked, "node", "left")
+        first, alone = F.coalesce("first", "at"), F.col("first").isNull()
+        of_set = joined.select("digest", F.when(alone, F.col("at.id")).otherwise(F.col("smallest")).alias("smallest"), first["id"].alias("first_id"), first["h"].alias("first_h"))
         out = signed.select("id", "h", "n", "digest").join(of_set, "digest", "left")
         alone = F.col("digest").isNull()
         own = lambda c, x: F.when(alone, F.col(x)).otherwise(F.col(c)).alias(c)
