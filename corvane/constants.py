@@ -30,6 +30,13 @@ INDUSTRIES = {
     "消费电子": ("消费电子", "智能手机", "可穿戴", "无人机", "智能家居", "XR", "VR", "AR", "耳机"),
 }
 
+# Domains that are reached directly, and hosts that are nobody else's.
+DOMESTIC = (
+    "bilibili.com", "hdslb.com", "biliapi.net", "zhihu.com", "zhimg.com", "xiaohongshu.com", "xhscdn.com", "baidu.com", "bdstatic.com", "bdimg.com", "weibo.com", "weibo.cn",
+    "sina.com.cn", "douyin.com", "ixigua.com", "csdn.net", "juejin.cn", "cnblogs.com", "gitee.com", "qq.com", "163.com", "sohu.com", "alipay.com",
+)
+PRIVATE_HOST = r"^(localhost|::1|0\.0\.0\.0)$|\.(localhost|local)$|^127\.|^10\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^169\.254\.|^fe80:|^f[cd][0-9a-f]{0,2}:"
+
 # Hosts and patterns of pages that are not about a topic.
 JOB_DOMAINS = ("zhipin.com", "lagou.com", "liepin.com", "51job.com", "zhaopin.com", "yingjiesheng.com", "nowcoder.com", "maimai.cn")
 TRADE_DOMAINS = ("xianyu.com", "goofish.com", "zhuanzhuan.com", "paipai.com")

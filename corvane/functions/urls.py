@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.constants import KEEP, SITES, TRACKING
+from corvane.constants import DOMESTIC, KEEP, PRIVATE_HOST, SITES, TRACKING
 
 
 def host(url: Column) -> Column:
@@ -86,14 +86,11 @@ def content_kind(site: Column, url: Column) -> Column:
     return F.when(site == "youtube", "video").when(site == "bilibili", bili).when(site.isin("zhihu", "xiaohongshu", "x"), "social").otherwise("article")
 
 
-PRIVATE = r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
-DOMESTIC = ("cn", "bilibili.com", "zhihu.com", "csdn.net", "baidu.com", "qq.com", "xiaohongshu.com")
-
-
 def should_proxy(url: Column) -> Column:
     """False for private hosts and domestic domains; a url without a host goes through the proxy."""
-    at = host(url)
-    home = reduce(lambda a, d: a | (at == d) | at.endswith("." + d), DOMESTIC, at.rlike(PRIVATE))
+    v6 = F.lower(F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?\[([^\]/?#]+)\]", 1), F.lit("")))
+    at = F.regexp_replace(F.coalesce(v6, host(url)), r"\.$", "")
+    home = reduce(lambda a, d: a | (at == d) | at.endswith("." + d), DOMESTIC, at.rlike(PRIVATE_HOST))
     return ~F.coalesce(home, F.lit(False))
 
 

@@ -2,85 +2,156 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane import constants as C
 from corvane.functions.text import keyword_type, round3
+from corvane.sources.shared import written
 
 DECIMAL = "decimal(38,12)"
 
 
 CJK = "[一-鿿]"
+_RUN, _CJK = re.compile(r"[^\W_]+"), re.compile(CJK)
+#: Words whose test is remembered in a worker.
+MOST_REMEMBERED = 200_000
 
 
-def is_content(word: Column) -> Column:
-    """No stop word, no number, long enough (two CJK characters or three others), 20 at most."""
-    n = F.length(word)
-    return (n <= 20) & ((n >= 3) | (n == 2) & word.rlike(CJK)) & ~word.isin(*C.STOPWORDS) & ~word.rlike(r"^[\d.]+$")
+class _Content(dict):
+    """Whether a word is a content word, as a dict of those met: no stop word, no number, long enough, 20 at most."""
 
+    def __missing__(self, word: str) -> bool:
+        n = len(word)
+        found = n <= 20 and (n >= 3 or n == 2 and bool(_CJK.search(word))) and word not in C.STOPWORDS and not re.fullmatch("[0-9.]+", word)
+        if len(self) > MOST_REMEMBERED:
+            self.clear()
+        self[word] = found
+        return found
 
-def content_words(text: Column) -> Column:
+
+def content_words(text: str | None, content: _Content) -> list[str]:
     """Content words of a text in order, latin ones in lower case.
 
-    Runs of letters and digits are words; a run with CJK is its pairs of
-    characters. Only texts with CJK take the way that looks at every run.
+    Runs of letters and digits are words; a run with CJK is its pairs of characters.
+    """
+    if not text:
+        return []
+    if not _CJK.search(text):
+        return [w for w in _RUN.findall(text.lower()) if content[w]]
+    found = []
+    for run in _RUN.findall(text):
+        found += [run[k : k + 2] for k in range(len(run) - 1)] if _CJK.search(run) else [run.lower()]
+    return [w for w in found if content[w]]
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    content = _Content()
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            words = [content_words(t, content) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.string()))], ["doc_id", "words"])
+
+
+class Corpus:
+    """Documents whose texts are tokenised once and whose words are counted once.
+
+    Both tables are written to the shared folder when first asked for; all that
+    is made of them reads them there. Tokens come from Arrow batches: the regular
+    expressions of column expressions look at each word several times.
     """
-    runs = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
-    each = lambda r: F.when(~r.rlike(CJK), F.array(F.lower(r))).when(F.length(r) > 1, pairs(r)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.when(text.rlike(CJK), F.flatten(F.transform(runs(text), each))).otherwise(runs(F.lower(text))), is_content)
+
+    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        self.documents, self.columns = documents, (id_col, text_col)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """doc_id and words, its content words in order, of every document."""
+        rows = self.documents.select(F.col(self.columns[0]).alias("doc_id"), F.col(self.columns[1]).alias("text"))
+        return written(rows.mapInArrow(_tokenised, f"doc_id {rows.schema[0].dataType.simpleString()}, words array<string>"), "words")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """doc_id, word, n and words, the number of all content words of the document."""
+        rows = self.words.select("doc_id", F.size("words").alias("words"), F.explode("words").alias("word"))
+        return written(rows.groupBy("doc_id", "words", "word").agg(F.count("*").alias("n")), "counts")
+
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        """word and df, the number of documents that hold it."""
+        return written(self.counts.groupBy("word").agg(F.count("*").alias("df")), "frequencies")
 
 
-def tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def corpus(documents: DataFrame | Corpus) -> Corpus:
+    return documents if isinstance(documents, Corpus) else Corpus(documents)
+
+
+def tokens(documents: DataFrame | Corpus) -> DataFrame:
     """doc_id, pos, word, tag of every content word; pos counts content words. Null texts have none.
 
     The tag is n for pairs of CJK characters, eng for other words: a pair with
     fewer than three characters and no CJK in it is no content word.
     """
-    words = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(content_words(F.col(text_col))).alias("pos", "word"))
+    words = corpus(documents).words.select("doc_id", F.posexplode("words").alias("pos", "word"))
     return words.withColumn("tag", F.when(F.col("word").rlike(CJK), "n").otherwise("eng"))
 
 
-def tfidf(documents: DataFrame) -> DataFrame:
+def hits(documents: DataFrame | Corpus, words: DataFrame) -> DataFrame:
+    """The tokens that are keywords, of which there are C.KEYWORDS at most."""
+    few = few_words(words)
+    found = corpus(documents).words.select("doc_id", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(few))
+    return found.withColumn("tag", F.when(F.col("word").rlike(CJK), "n").otherwise("eng"))
+
+
+def few_words(words: DataFrame, most: int = 1000) -> list[str]:
+    """The words of a table of keywords, whose number is checked to be small."""
+    found = [r.word for r in words.select("word").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} keywords")
+    return found
+
+
+def tfidf(documents: DataFrame | Corpus) -> DataFrame:
     """doc_id, word, n, score: (1 + ln n / ln(1 + words)) * (ln((1 + docs) / (1 + df)) + 1).
 
-    Counted per document and word first; df, words and docs are sums over those
-    counts, so the token stream is shuffled once.
+    Texts are tokenised once and words counted once for each document; df and
+    score read those counts.
     """
-    counts = tokens(documents).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    words = counts.groupBy("doc_id").agg(F.sum("n").alias("words"))
-    df = counts.groupBy("word").agg(F.count("*").alias("df"))
-    docs = documents.agg(F.count("*").alias("docs"))
+    at = corpus(documents)
+    docs = at.words.agg(F.count("*").alias("docs"))
     score = (1 + F.log("n") / F.log(F.col("words") + 1)) * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
-    return counts.join(words, "doc_id").join(df, "word").join(F.broadcast(docs)).select("doc_id", "word", "n", "df", "docs", score.alias("score"))
+    return at.counts.join(at.frequencies, "word").join(F.broadcast(docs)).select("doc_id", "word", "n", "df", "docs", score.alias("score"))
 
 
-def keywords(documents: DataFrame, most: int = C.KEYWORDS) -> DataFrame:
+def keywords(documents: DataFrame | Corpus, most: int = C.KEYWORDS) -> DataFrame:
     """The `most` words of largest summed score that occur in two documents (in one, below five documents).
 
     Scores are summed as decimals, so the order of addition does not matter; ties
-    go by the word.
+    go by the word. The few rows are written, so they are computed once.
     """
     scored = tfidf(documents)
     words = scored.groupBy("word").agg(F.first("df").alias("df"), F.first("docs").alias("docs"), F.round(F.sum(F.col("score").cast(DECIMAL)), 4).alias("weight"))
     words = words.where(F.col("df") >= F.when(F.col("docs") >= 5, 2).otherwise(1))
-    return words.select("word", "df", F.col("weight").cast("double").alias("weight")).orderBy(F.desc("weight"), "word").limit(most)
+    return written(words.select("word", "df", F.col("weight").cast("double").alias("weight")).orderBy(F.desc("weight"), "word").limit(most), "keywords")
 
 
-def cooccurrence(documents: DataFrame, words: DataFrame) -> DataFrame:
+def cooccurrence(documents: DataFrame | Corpus, words: DataFrame) -> DataFrame:
     """word_a < word_b and weight: sum of 1 / (1 + d / 3) over hits at distance d of 1 to 15 in a document.
 
-    The keywords (60 at most) are joined to the tokens by broadcast first; then a
-    range window lists the hits ahead of each, which is linear in the hits. Counts
-    per pair and distance are added up in one fixed order.
+    The tokens are cut to the keywords first; then a range window lists the hits
+    ahead of each, which is linear in the hits. Counts per pair and distance are
+    added up in one fixed order.
     """
-    hits = tokens(documents).join(F.broadcast(words.select("word")), "word")
     ahead = W.partitionBy("doc_id").orderBy("pos").rangeBetween(1, C.WINDOW)
-    listed = hits.withColumn("ahead", F.collect_list(F.struct("word", "pos")).over(ahead))
+    listed = hits(documents, words).withColumn("ahead", F.collect_list(F.struct("word", "pos")).over(ahead))
     pairs = listed.select("word", "pos", F.explode("ahead").alias("o")).where("word <> o.word")
     pairs = pairs.groupBy(F.least("word", "o.word").alias("word_a"), F.greatest("word", "o.word").alias("word_b"), (F.col("o.pos") - F.col("pos")).alias("d")).agg(F.count("*").alias("n"))
     unit = (F.lit(3) * F.col("n") / (3 + F.col("d"))).cast(DECIMAL)
@@ -159,24 +230,28 @@ def louvain(edges: list[tuple[str, str, float]], resolution: float = 1.0) -> dic
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """word and cluster (c0 is the largest) of a pruned graph, whose size `pruned` has bounded."""
-    found = louvain([tuple(r) for r in edges.select("word_a", "word_b", "weight").collect()], min(4.0, max(0.4, resolution)))
+    """word and cluster (c0 is the largest) of a pruned graph, whose size is checked."""
+    bound = C.KEYWORDS * C.MOST_EDGES // 2
+    rows = edges.select("word_a", "word_b", "weight").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} edges: prune the graph first")
+    found = louvain([tuple(r) for r in rows], min(4.0, max(0.4, resolution)))
     return edges.sparkSession.createDataFrame([(w, f"c{k}") for w, k in sorted(found.items())], "word string, cluster string")
 
 
-def keyword_nodes(words: DataFrame, documents: DataFrame, edges: DataFrame) -> DataFrame:
+def keyword_nodes(words: DataFrame, documents: DataFrame | Corpus, edges: DataFrame) -> DataFrame:
     """id, word, type, weight, degree and number of documents of each keyword."""
     ends = edges.select(F.col("word_a").alias("word")).unionByName(edges.select(F.col("word_b").alias("word"))).groupBy("word").agg(F.count("*").alias("degree"))
-    found = tokens(documents).join(F.broadcast(words.select("word")), "word")
+    found = hits(documents, words).select("doc_id", "word", "tag")
     tag = found.groupBy("word", "tag").agg(F.count("*").alias("n")).groupBy("word").agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("tag"))
     docs = found.groupBy("word").agg(F.countDistinct("doc_id").alias("n_docs"))
     rows = words.join(tag, "word", "left").join(docs, "word", "left").join(ends, "word", "left")
     return rows.select(F.concat(F.lit("k:"), "word").alias("id"), "word", keyword_type(F.col("word"), F.col("tag")).alias("type"), round3(F.col("weight")).alias("weight"), F.coalesce("degree", F.lit(0)).alias("degree"), "n_docs")
 
 
-def contains_edges(documents: DataFrame, words: DataFrame) -> DataFrame:
+def contains_edges(documents: DataFrame | Corpus, words: DataFrame) -> DataFrame:
     """doc_id, word and weight 1 + score of each keyword in a document."""
-    return tfidf(documents).join(F.broadcast(words.select("word")), "word").select("doc_id", "word", round3(1 + F.round("score", 9)).alias("weight"))
+    return tfidf(documents).where(F.col("word").isin(few_words(words))).select("doc_id", "word", round3(1 + F.round("score", 9)).alias("weight"))
 
 
 def document_nodes(documents: DataFrame, contains: DataFrame) -> DataFrame:
@@ -265,3 +340,30 @@ def removed(nodes: DataFrame, edges: DataFrame, word: str) -> tuple[DataFrame, D
     left = nodes.join(lost, "id", "left_anti")
     ends = lambda c: lost.select(F.col("id").alias(c))
     return left, edges.join(ends("src"), "src", "left_anti").join(ends("dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def chart(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """Years in rows and the given labels in columns, with counts; 0 where there are none. rows: year, label."""
+    return rows.groupBy("year").agg(*[F.count_if(F.col("label") == x).alias(x) for x in labels])
+
+
+def empty_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph without keywords."""
+    return spark.createDataFrame([], "id string, word string, type string, weight double, degree long, n_docs long"), spark.createDataFrame([], "word_a string, word_b string, weight double")
+
+
+def neighbours(edges: DataFrame, word: str, most: int = 12) -> DataFrame:
+    """The `most` heaviest neighbours of a keyword, whichever end of an edge it is."""
+    other = F.when(F.col("word_a") == word, F.col("word_b")).otherwise(F.col("word_a"))
+    return edges.where((F.col("word_a") == word) | (F.col("word_b") == word)).select(other.alias("word"), "weight").orderBy(F.desc("weight"), "word").limit(most)
+
+
+def expanded(nodes: DataFrame, edges: DataFrame, word: str, new_words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with new keywords around one: each of weight 0.7 of its weight, 1 at least, and an edge of 0.8.
+
+    nodes: word, weight; edges: word_a, word_b, weight. Words that are there already stay as they are.
+    """
+    fresh = new_words.select("word").distinct().join(nodes.select("word"), "word", "left_anti")
+    base = nodes.where(F.col("word") == word).select(F.greatest(F.lit(1.0), 0.7 * F.col("weight")).alias("weight"))
+    linked = fresh.select(F.least("word", F.lit(word)).alias("word_a"), F.greatest("word", F.lit(word)).alias("word_b"), F.lit(0.8).alias("weight"))
+    return nodes.select("word", "weight").unionByName(fresh.join(F.broadcast(base))), edges.select("word_a", "word_b", "weight").unionByName(linked)

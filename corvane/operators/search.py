@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane import constants as C
 from corvane.functions.urls import host, path
+from corvane.sources.shared import numbered
 
 
 @dataclass(frozen=True)
@@ -68,14 +69,15 @@ def ranked(results: DataFrame, mode: str, now: str, limit: int | None = None) ->
 
     Needs hit_count, relevance, industry, rank, norm_url, published, magnitude.
     Ties end at the normal url, which is unique. The place is the number in the
-    sorted order; a limit keeps Spark at a top-k without a full sort.
+    sorted order, counted range by range; a limit keeps Spark at a top-k without a
+    full sort.
     """
     age = F.greatest(F.datediff(F.lit(now).cast("date"), "published"), F.lit(0))
     mixed = 2 * F.col("hit_count") + F.when(F.col("published").isNull(), 0.25).otherwise(3 * F.pow(F.lit(0.5), age / 30))
     evidence = [F.desc("hit_count"), F.coalesce("relevance", F.lit(0.0)).desc(), F.coalesce("industry", F.lit(0.0)).desc(), F.asc("rank"), F.asc("norm_url")]
     first = {"relevant": [], "quality": [(F.col("magnitude") > 0).desc(), F.desc("magnitude")], "recent": [F.desc_nulls_last("published")], "mixed": [F.round(mixed, 9).desc()]}[mode]
     if limit is None:
-        return results.withColumn("place", F.row_number().over(W.orderBy(*first, *evidence)))
+        return numbered(results, [*first, *evidence], "place")
     top = results.orderBy(*first, *evidence).limit(limit)
     return top.withColumn("place", F.row_number().over(W.orderBy(*first, *evidence)))
 
@@ -157,12 +159,14 @@ def avoided(results: DataFrame, patterns: Sequence[str]) -> DataFrame:
 def interleaved(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """Round robin over groups: first of each, then second, groups as they first appear.
 
-    The place within a group needs that group's order only; the groups' own order
-    is an aggregate of one row each.
+    Rows are numbered in the order of (group, order) as a whole; the place within
+    a group is that number less the group's first one, so a group of any size is
+    spread over many tasks.
     """
-    nth = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    start = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("start"))
-    return rows.withColumn("nth", nth).join(start, group).orderBy("nth", "start").drop("start")
+    at = numbered(rows, [F.asc(group), *[F.asc(c) for c in order]], "_at")
+    start = at.groupBy(F.col(group).alias("_group")).agg(F.min(F.struct(*order)).alias("start"), F.min("_at").alias("_first"))
+    both = at.join(start, F.col(group).eqNullSafe(F.col("_group"))).withColumn("nth", F.col("_at") - F.col("_first") + 1)
+    return both.orderBy("nth", "start").drop("start", "_group", "_first", "_at")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -172,10 +176,68 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def chunked(rows: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """Consecutive batches of k rows, for bounded inputs such as one request's documents."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / k))
+    """Consecutive batches of k rows, numbered from 0."""
+    return numbered(rows, [F.asc(c) for c in order], "_at").withColumn("batch", F.floor((F.col("_at") - 1) / k)).drop("_at")
 
 
 def within_budget(rows: DataFrame, eligible: Column, order: Sequence[str], budget: int = 8) -> DataFrame:
     """The first `budget` eligible rows in order of arrival."""
     return rows.where(eligible).orderBy(*order).limit(budget)
+
+
+def refreshed(results: DataFrame, fresh: DataFrame, previous: DataFrame, key: str = "norm_url") -> DataFrame:
+    """Results with their fresh document, else the one they had; results without any go.
+
+    fresh and previous: key and document, one row a key (the last by `document` is
+    taken). Old documents stay only where their url is still a result.
+    """
+    one = lambda x, c: x.groupBy(key).agg(F.max("document").alias(c))
+    rows = results.join(one(fresh, "_fresh"), key, "left").join(one(previous, "_old"), key, "left")
+    return rows.withColumn("document", F.coalesce("_fresh", "_old")).drop("_fresh", "_old").where("document IS NOT NULL")
+
+
+def selected(rows: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
+    """Rows whose key is among the given ones, by a semi-join; all of them without keys."""
+    return rows if keys is None else rows.join(keys.select(on), on, "left_semi")
+
+
+def of_kind(rows: DataFrame, want: str = "all") -> DataFrame:
+    """All rows, only videos, or only what is no video."""
+    return rows if want == "all" else rows.where(F.col("kind").eqNullSafe("video") == F.lit(want == "video"))
+
+
+def shown(rows: DataFrame, hide_unlikely: bool = False, hide_low: bool = False, hide_unmatched: bool = False) -> DataFrame:
+    """Rows of a result list that the switches leave; what is not known is never hidden."""
+    keep = F.lit(True)
+    if hide_unlikely:
+        keep = keep & ~F.col("verdict").eqNullSafe("unlikely")
+    if hide_low:
+        keep = keep & ~F.col("value").eqNullSafe("low")
+    if hide_unmatched:
+        keep = keep & F.coalesce(F.size("industries") != 0, F.lit(True))
+    return rows.where(keep)
+
+
+def unmatched(rows: DataFrame) -> DataFrame:
+    """How many rows match no industry."""
+    return rows.agg(F.count_if(F.size("industries") == 0).alias("unmatched"))
+
+
+def most_relevant(rows: DataFrame, most: int, *then: str) -> DataFrame:
+    """The `most` rows of largest relevance (none counts as 0), then of the largest of the other columns; ids last."""
+    return rows.orderBy(F.coalesce("relevance", F.lit(0.0)).desc(), *[F.desc(c) for c in then], "doc_id").limit(most)
+
+
+def enough(rows: DataFrame, order: Sequence[str], count: str, least: int = 12) -> DataFrame:
+    """Steps of a chain that still run: those before which fewer than `least` results were collected.
+
+    rows: one for each step of a chain, which are few; count: its results.
+    """
+    before = F.coalesce(F.sum(count).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).where(F.col("before") < least)
+
+
+def merged_lists(a: Column, b: Column) -> Column:
+    """Distinct strings of both lists in order of first mention; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(a, none), F.coalesce(b, none)))

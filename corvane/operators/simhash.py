@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane import constants as C
-from corvane.operators.graph import content_words
+from corvane.operators.graph import _Content, content_words
+from corvane.sources.shared import written
 
 # The 64-bit FNV-1a offset and prime.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -39,20 +41,22 @@ def fnv1a_all(words: list[str]) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bit, words with it set against words without; set if there are more. Ties are 0."""
+    content = _Content()
     for batch in batches:
-        lists = batch.column(1)
-        coded = lists.flatten().dictionary_encode()
+        words = [content_words(t, content) for t in batch.column(1).to_pylist()]
+        keep = [k for k, w in enumerate(words) if len(w) >= C.SIMHASH_WORDS]
+        coded = pa.array([w for k in keep for w in words[k]], pa.string()).dictionary_encode()
         bits = np.unpackbits(fnv1a_all(coded.dictionary.to_pylist()).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
-        index, ends = coded.indices.to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-        out = np.zeros((batch.num_rows, 8), np.uint8)
-        for k in range(batch.num_rows):
+        index, ends = coded.indices.to_numpy(), np.cumsum([0, *(len(words[k]) for k in keep)])
+        out = np.zeros((len(keep), 8), np.uint8)
+        for k in range(len(keep)):
             out[k] = np.packbits(bits[index[ends[k] : ends[k + 1]]].sum(axis=0, dtype=np.int64) > 0, bitorder="little")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view("<i8").ravel(), pa.int64())], ["doc_id", "hash"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out.view("<i8").ravel(), pa.int64())], ["doc_id", "hash"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and hash of documents without an error, with 80 words and 80 content words."""
-    rows = documents.where("error IS NULL AND word_count >= 80").select("doc_id", content_words(F.col("text")).alias("words")).where(F.size("words") >= C.SIMHASH_WORDS)
+    rows = documents.where("error IS NULL AND word_count >= 80").select("doc_id", "text")
     return rows.mapInArrow(_fingerprints, "doc_id long, hash long")
 
 
@@ -64,24 +68,49 @@ def hex16(h: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 16, "0")
 
 
-def bands(distance: int) -> list[tuple[int, int]]:
-    """First bit and width of exactly distance + 1 bands of the 64 bits, the wider ones first."""
-    width, wider = divmod(64, distance + 1)
-    widths = [width + (k < wider) for k in range(distance + 1)]
+def blocks(n: int) -> list[tuple[int, int]]:
+    """First bit and width of n blocks that make up the 64 bits, the wider ones first."""
+    width, wider = divmod(64, n)
+    widths = [width + (k < wider) for k in range(n)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
 
-def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE) -> DataFrame:
+def masks(distance: int, spare: int = 1) -> list[int]:
+    """The bits of every choice of `spare` of distance + spare blocks.
+
+    `distance` different bits touch as many blocks at most, so two hashes within
+    it agree in all the bits of one choice at least. With more spare blocks there
+    are more choices of more bits each: C(distance + spare, spare) tables, in which
+    chance brings fewer pairs together.
+    """
+    parts = [((1 << w) - 1) << at for at, w in blocks(distance + spare)]
+    return [sum(c) for c in combinations(parts, spare)]
+
+
+def spare_blocks(n: int, distance: int) -> int:
+    """Spare blocks for n hashes: the fewest that leave a hash about 1,000 chance partners in all tables; 4 at most."""
+    cost = lambda s: len(masks(distance, s)) * n / 2 ** min(m.bit_count() for m in masks(distance, s))
+    return next((s for s in (1, 2, 3) if cost(s) <= 1000), 4)
+
+
+def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: int | None = None) -> DataFrame:
     """doc_id and duplicate_of: the earliest earlier document within the distance.
 
-    Of distance + 1 bands of the 64 bits one at least is equal (there are not
-    enough different bits to touch all), so an equi-join on (band, bits) finds
-    every pair. Equal hashes are one row in it, with their smallest id.
+    An equi-join on (choice of blocks, bits in it) finds every pair, see `masks`;
+    how many blocks are spare depends on the number of hashes and changes no
+    result. Equal hashes are one row in it, with their smallest id.
     """
-    classes = hashes.groupBy("hash").agg(F.min("doc_id").alias("first"))
-    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)).alias("bits")) for k, (at, w) in enumerate(bands(distance))]
-    keyed = classes.select("hash", "first", F.explode(F.array(*parts)).alias("b")).select("hash", "first", "b.*")
-    other = keyed.select(F.col("hash").alias("h2"), F.col("first").alias("first2"), "band", "bits")
-    near = keyed.join(other, ["band", "bits"]).where((F.col("hash") != F.col("h2")) & (hamming(F.col("hash"), F.col("h2")) <= distance)).groupBy("hash").agg(F.min("first2").alias("first2"))
+    classes = written(hashes.groupBy("hash").agg(F.min("doc_id").alias("first")), "hashes")
+    spare = spare or spare_blocks(classes.count(), distance)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.struct(F.lit(k).alias("choice"), F.col("hash").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, m in enumerate(masks(distance, spare))]
+    keyed = classes.select("hash", "first", F.explode(F.array(*keys)).alias("b")).select("hash", "first", "b.*")
+    other = keyed.select(F.col("hash").alias("h2"), F.col("first").alias("first2"), "choice", "bits")
+    near = keyed.join(other, ["choice", "bits"]).where((F.col("first2") < F.col("first")) & (hamming(F.col("hash"), F.col("h2")) <= distance)).groupBy("hash").agg(F.min("first2").alias("first2"))
     best = classes.join(near, "hash", "left").select("hash", F.least("first", "first2").alias("duplicate_of"))
     return hashes.join(best, "hash").where("duplicate_of < doc_id").select("doc_id", "duplicate_of")
+
+
+def groups(copies: DataFrame) -> DataFrame:
+    """Each first document with the ids of its copies, in order (of a bounded set of documents), and their number."""
+    return copies.groupBy(F.col("duplicate_of").alias("doc_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("copies"), F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvane import constants as C
 from corvane.constants import STOPWORDS
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
@@ -164,9 +165,10 @@ SELECT doc_id, CASE WHEN c < 1000 THEN c::VARCHAR WHEN c < 10000 THEN regexp_rep
     "industry_matches": "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'the') THEN 'the' END, CASE WHEN contains(lower(text), 'eaux') THEN 'eaux' END, CASE WHEN contains(lower(text), 'ción') THEN 'ción' END], lambda x: x IS NOT NULL), ',') AS matched, round((contains(lower(text), 'the')::INT + contains(lower(text), 'eaux')::INT + contains(lower(text), 'ción')::INT) / 3, 6) AS score FROM documents",
     "term_matches": "SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the($|[^A-Za-z0-9])') AS the, contains(lower(text), 'ción') AS cion FROM documents",
     "parsed_dates": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN epoch_ms(date_trunc('second', ts)) WHEN 1 THEN epoch_ms(date_trunc('day', ts)) WHEN 2 THEN epoch_ms(date_trunc('day', ts)) WHEN 3 THEN epoch_ms(date_trunc('minute', ts)) END AS ms FROM events""",
-    "planned_tasks": "SELECT doc_id, 'article' AS kind FROM documents WHERE trim(text, ' ') <> '' UNION ALL SELECT doc_id, unnest(['transcript', 'media']) FROM documents WHERE doc_id % 5 = 0",
+    "planned_tasks": """WITH t AS (SELECT doc_id, text, doc_id % 10 = 9 AS raw, doc_id % 5 = 0 AS video, doc_id % 4 = 0 AS pictures FROM documents)
+SELECT doc_id, 'article' AS kind FROM t WHERE NOT raw AND text <> '' UNION ALL SELECT doc_id, 'transcript' FROM t WHERE video AND text <> '' UNION ALL SELECT doc_id, 'image' FROM t WHERE pictures UNION ALL SELECT doc_id, 'media' FROM t WHERE video""",
     "job_summary": f"""WITH {_TASKS}, s AS (SELECT job_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('queued', 'running', 'paused')) AS remaining, sum(bytes)::BIGINT AS bytes
-  FROM tasks WHERE event_id % 5 > 1 OR job_id % 3 = 0 GROUP BY job_id)
+  FROM tasks GROUP BY job_id)
 SELECT *, CASE WHEN remaining > 0 THEN 'running' WHEN failed = 0 THEN 'done' WHEN done = 0 THEN 'failed' ELSE 'partial' END AS outcome FROM s""",
     "latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id",
     "resumed_tasks": f"WITH {_TASKS} SELECT CASE WHEN status IN ('running', 'paused', 'failed') THEN 'queued' ELSE status END AS status, count(*) AS n FROM tasks GROUP BY 1",
@@ -186,7 +188,8 @@ ORACLES |= {
     "cluster_summaries": f"WITH {_GRAPH}, l AS (SELECT cluster, list(word ORDER BY weight DESC, word) AS a FROM kw JOIN cl USING (word) GROUP BY cluster) SELECT cluster, len(a) AS size, array_to_string(a[1:3], ' · ') AS label, array_to_string(a[1:5], ',') AS top_terms FROM l",
     "cluster_shares": f"WITH {_GRAPH} SELECT * FROM shares",
     "cluster_documents": f"WITH {_GRAPH}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY share DESC, doc_id) AS nth, count(*) OVER (PARTITION BY cluster) AS n FROM shares WHERE share >= 0.2) SELECT cluster, doc_id, share, nth, n FROM r WHERE nth <= 10",
-    "document_clusters": f"WITH {_GRAPH} SELECT doc_id, cluster FROM shares QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, cluster) = 1",
+    "document_clusters": f"""WITH {_GRAPH}, e AS (SELECT doc_id, word, min(pos) AS pos FROM toks GROUP BY ALL), t AS (SELECT doc_id, cluster, count(*) AS n, min(pos) AS pos FROM e JOIN cl USING (word) GROUP BY ALL),
+b AS (SELECT doc_id, arg_min(cluster, (-n, pos)) AS cluster FROM t GROUP BY doc_id) SELECT doc_id, coalesce(cluster, 'c0') AS cluster FROM documents LEFT JOIN b USING (doc_id)""",
     "cluster_links": f"""WITH {_GRAPH}, hits AS (SELECT doc_id, pos, word FROM toks SEMI JOIN kw USING (word)), e AS (
   SELECT DISTINCT least(a.word, b.word) AS wa, greatest(a.word, b.word) AS wb FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 15 AND a.word <> b.word)
 SELECT least(x.cluster, y.cluster) AS cluster_a, greatest(x.cluster, y.cluster) AS cluster_b, count(*) AS n FROM e JOIN cl x ON x.word = wa JOIN cl y ON y.word = wb WHERE x.cluster <> y.cluster GROUP BY ALL ORDER BY n DESC, cluster_a, cluster_b LIMIT 16""",
@@ -197,10 +200,96 @@ SELECT least(x.cluster, y.cluster) AS cluster_a, greatest(x.cluster, y.cluster)
 SELECT doc_id, CASE WHEN n >= 1024 ** 3 THEN printf('%.1f GB', floor(n / 1024 ** 3 * 10 + 0.5) / 10) WHEN n >= 1024 ** 2 THEN printf('%.1f MB', floor(n / 1024 ** 2 * 10 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE n || ' B' END AS size,
   ((doc_id % 9 + 0.5) * 1048576)::BIGINT AS bytes, round(14 + 46 * sqrt(n_chars / 40000), 6) AS node FROM n""",
     "error_classes": f"WITH {DOCS} SELECT doc_id, false AS retry, CASE WHEN contains(error, 'HTTP 403') THEN '[known limitation] zhihu refuses readers without an account' END AS limitation, '失败:' || error AS status FROM docs WHERE error IS NOT NULL",
-    "refreshed_documents": f"WITH {RESULTS} SELECT page_id, CASE WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 3 = 0) THEN 'fresh' WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 2 = 0) THEN 'old' END AS document FROM results",
-    "source_list": f"WITH {DOCS}, f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM docs) SELECT f.doc_id, CASE WHEN first_id < f.doc_id THEN d.title END AS copy_of FROM f JOIN docs d ON d.doc_id = first_id",
+    "refreshed_documents": f"WITH {RESULTS}, r AS (SELECT page_id, CASE WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 3 = 0) THEN 'fresh' WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 2 = 0) THEN 'old' END AS document FROM results) SELECT * FROM r WHERE document IS NOT NULL",
 }
 
-ORACLES["filled_years"] = f"""WITH {_GRAPH}, y AS (SELECT word, min(year(published)) AS year FROM con JOIN docs USING (doc_id) WHERE doc_id % 3 = 0 AND length(word) > 4 GROUP BY word),
+ORACLES["filled_years"] = f"""WITH {_GRAPH}, y AS (SELECT word, min(year(published)) AS year FROM con JOIN docs USING (doc_id) GROUP BY word),
 n AS (SELECT word, year, cluster FROM kw LEFT JOIN y USING (word) JOIN cl USING (word)), c AS (SELECT cluster, floor(quantile_cont(year, 0.5) + 0.5)::INT AS cy FROM n WHERE year IS NOT NULL GROUP BY cluster)
 SELECT word, coalesce(year, cy, (SELECT floor(quantile_cont(year, 0.5) + 0.5)::INT FROM n), 2026) AS year, year IS NULL AS inferred FROM n LEFT JOIN c USING (cluster)"""
+
+# 64-bit FNV-1a over the characters of each word, then a vote of each bit; copies by comparing all pairs.
+SIMHASH = f"""{DOCS}, {TOKENS}, able AS (
+  SELECT doc_id FROM docs JOIN toks USING (doc_id) WHERE error IS NULL AND word_count >= 80 GROUP BY doc_id HAVING count(*) >= 80
+), wn AS (SELECT doc_id, word, count(*) AS n FROM toks SEMI JOIN able USING (doc_id) GROUP BY ALL), wh AS (
+  SELECT word, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(word) + 1), lambda i: unicode(word[i])::HUGEINT)),
+                           lambda h, c: (xor(h::UBIGINT, c::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT AS h FROM (SELECT DISTINCT word FROM wn)
+), votes AS (
+  SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN n ELSE -n END) AS v FROM wn JOIN wh USING (word), (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY ALL
+), prints AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END)::HUGEINT AS u FROM votes GROUP BY doc_id), hashes AS (
+  SELECT doc_id, u, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS hash FROM prints
+), copies AS (
+  SELECT x.doc_id, min(y.doc_id) AS duplicate_of FROM hashes x JOIN hashes y ON y.doc_id < x.doc_id AND bit_count(xor(x.hash, y.hash)) <= 8 GROUP BY x.doc_id
+)"""
+
+_EDGES = """hits AS (SELECT doc_id, pos, word FROM toks SEMI JOIN kw USING (word)), p AS (
+  SELECT least(a.word, b.word) AS word_a, greatest(a.word, b.word) AS word_b, b.pos - a.pos AS d, count(*) AS n
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 15 AND a.word <> b.word GROUP BY ALL
+), co AS (SELECT word_a, word_b, round(sum((3 * n / (3 + d))::DECIMAL(38, 12)), 3)::DOUBLE AS weight FROM p GROUP BY ALL), place AS (
+  SELECT word, row_number() OVER (ORDER BY word) AS i FROM kw
+), e AS (
+  SELECT row_number() OVER (ORDER BY weight DESC, word_a, word_b) AS k, word_a, word_b, weight, x.i AS ia, y.i AS ib FROM co JOIN place x ON x.word = word_a JOIN place y ON y.word = word_b WHERE weight >= 0.6
+), walk AS (
+  SELECT 0::BIGINT AS k, list_transform(range(60), lambda z: 0) AS deg, false AS ok
+  UNION ALL
+  SELECT e.k, list_transform(deg, lambda g, i: g + (CASE WHEN deg[ia] < 8 AND deg[ib] < 8 AND i IN (ia, ib) THEN 1 ELSE 0 END)), deg[ia] < 8 AND deg[ib] < 8 FROM walk JOIN e ON e.k = walk.k + 1
+), kept AS (SELECT word_a, word_b, weight FROM e JOIN walk USING (k) WHERE ok), ends AS (
+  SELECT word, count(*) AS degree FROM (SELECT word_a AS word FROM kept UNION ALL SELECT word_b FROM kept) GROUP BY word
+)"""
+
+
+def _answers(items: str) -> str:
+    """Pages in tens, as the made-up answers hold them, with the url missing from every seventh."""
+    return f"""{RESULTS}, a AS (SELECT *, page_id // 10 AS query, CASE WHEN page_id % 7 > 0 THEN url END AS kept FROM results), r AS ({items})"""
+
+
+ORACLES |= {
+    "simhash_fingerprints": f"WITH {SIMHASH} SELECT doc_id, hash, lpad(lower(to_hex(u::UBIGINT)), 16, '0') AS hex FROM hashes",
+    "simhash_duplicates": f"WITH {SIMHASH} SELECT * FROM copies",
+    "independent_sources": f"WITH {SIMHASH} SELECT count(DISTINCT coalesce(duplicate_of, doc_id)) AS independent, count(duplicate_of) AS copies FROM hashes LEFT JOIN copies USING (doc_id)",
+    "duplicate_groups": f"WITH {SIMHASH} SELECT duplicate_of AS doc_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS copies, count(*) AS n FROM copies GROUP BY duplicate_of",
+    "source_list": f"""WITH {SIMHASH}, {_GRADE}, {RESULTS}
+SELECT page_id AS doc_id, results.title, rank, duplicate_of, CASE WHEN grade IS NULL THEN '未抓取' ELSE (CASE grade WHEN 'full' THEN '正文完整' WHEN 'thin' THEN '正文很短' ELSE '仅摘要' END) || ' ' || w.word_count || ' 字' || coalesce(' · 与《' || f.title || '》同源', '') END AS body
+FROM results LEFT JOIN worth w ON w.doc_id = page_id LEFT JOIN copies c ON c.doc_id = page_id LEFT JOIN docs f ON f.doc_id = duplicate_of""",
+    "keyword_graph": f"WITH RECURSIVE {TFIDF}, {_EDGES} SELECT * FROM kept",
+    "keyword_nodes": f"""WITH RECURSIVE {TFIDF}, {_EDGES} SELECT 'k:' || word AS id, word, CASE WHEN regexp_matches(word, '{C.TYPE_PRODUCT}') OR regexp_matches(word, '{C.TYPE_ENG_PRODUCT}') THEN '产品' WHEN regexp_matches(word, '{C.TYPE_ENG_TECHNOLOGY}') THEN '技术' ELSE '产品' END AS type,
+  floor(weight * 1000 + 0.5) / 1000 AS weight, coalesce(degree, 0) AS degree, df AS n_docs FROM kw LEFT JOIN ends USING (word)""",
+    "isolated_nodes": f"WITH RECURSIVE {TFIDF}, {_EDGES}, s AS (SELECT avg((coalesce(degree, 0) <= 1)::INT) AS isolated FROM kw LEFT JOIN ends USING (word)) SELECT isolated, isolated > 0.5 AS warn FROM s",
+    "picked_targets": rf"""WITH {RESULTS}, c AS (SELECT page_id, rank, norm_url, trim(title) AS t, trim(snippet) AS s, CASE quality WHEN 1 THEN 'likely' WHEN 0 THEN 'unlikely' END AS verdict, CASE toxic WHEN 1 THEN 'low' WHEN 0 THEN 'high' END AS value FROM results LEFT JOIN labels ON doc_id = page_id), r AS (
+  SELECT *, CASE WHEN regexp_matches(s, '(?i)not found') THEN 'reject' WHEN (length(t) < 4 AND length(s) < 30) OR length(s) < 60 THEN 'low' WHEN length(t) >= 8 AND length(s) >= 80 THEN 'high' ELSE 'usable' END AS tier FROM c WHERE verdict IS DISTINCT FROM 'unlikely'
+), a AS (SELECT *, row_number() OVER (PARTITION BY value IS NOT DISTINCT FROM 'low' ORDER BY rank, norm_url) AS nth FROM r), b AS (
+  SELECT * FROM a WHERE value IS DISTINCT FROM 'low' OR nth <= 3 - (SELECT count(*) FROM r WHERE value IS DISTINCT FROM 'low')
+), e AS (SELECT *, row_number() OVER (PARTITION BY tier = 'low' ORDER BY rank, norm_url) AS mth FROM b)
+SELECT page_id, tier, verdict, value FROM e WHERE tier IN ('high', 'usable') OR tier = 'low' AND mth <= 8 - (SELECT count(*) FROM b WHERE tier IN ('high', 'usable'))""",
+    "cleaned_text": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\xA0]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'), ' ')) AS clean_md5 FROM documents",
+    "available_artefacts": "SELECT count(*) FILTER (doc_id % 10 <> 9 AND text <> '') AS article, count(*) FILTER (doc_id % 5 = 0 AND text <> '') AS transcript, count(*) FILTER (doc_id % 4 = 0) AS image, count(*) FILTER (doc_id % 5 = 0) AS media FROM documents",
+    "job_kinds": """WITH k AS (SELECT doc_id, unnest([CASE WHEN doc_id % 10 <> 9 AND text <> '' THEN 'article' END, CASE WHEN doc_id % 5 = 0 AND text <> '' THEN 'transcript' END, CASE WHEN doc_id % 4 = 0 THEN 'image' END, CASE WHEN doc_id % 5 = 0 THEN 'media' END]) AS kind FROM documents)
+SELECT doc_id % 50 AS job_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k WHERE kind IS NOT NULL GROUP BY 1""",
+    "existing_artefacts": """WITH k AS (SELECT doc_id, unnest([CASE WHEN doc_id % 10 <> 9 AND text <> '' THEN 'article' END, CASE WHEN doc_id % 5 = 0 AND text <> '' THEN 'transcript' END, CASE WHEN doc_id % 4 = 0 THEN 'image' END, CASE WHEN doc_id % 5 = 0 THEN 'media' END]) AS kind FROM documents)
+SELECT doc_id, kind, (kind = 'article' AND doc_id % 3 > 0) OR (kind = 'image' AND doc_id % 3 = 1) AS exists FROM k WHERE kind IS NOT NULL""",
+    "image_outcomes": """WITH g AS (SELECT l_orderkey AS task_id, count(*) FILTER (l_quantity > 25) AS fetched, count(*) AS asked FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1)
+SELECT *, CASE WHEN fetched > 0 THEN 'done' ELSE 'failed' END AS status, CASE WHEN fetched > 0 AND fetched < asked THEN fetched || ' of ' || asked || ' images' END AS note FROM g""",
+    "report_overview": f"""WITH {SIMHASH}, n AS (SELECT 'documents' AS name, count(*) AS n FROM docs UNION ALL SELECT 'sites', count(DISTINCT site) FROM docs UNION ALL SELECT 'graphed', count(*) FROM docs WHERE word_count >= 30
+  UNION ALL SELECT 'concepts', least(60, (SELECT count(*) FROM (SELECT word FROM toks GROUP BY word HAVING count(DISTINCT doc_id) >= 2))) UNION ALL SELECT 'copies', count(*) FROM copies) SELECT * FROM n WHERE name <> 'copies' OR n > 0""",
+    "unused_documents": f"WITH {DOCS} SELECT doc_id, CASE WHEN method = 'raw' THEN '正文没抓到，只有搜索摘要' ELSE '正文过短（' || word_count || ' 字）' END AS reason FROM docs WHERE method = 'raw' OR word_count < 30",
+    "unused_methods": f"WITH {DOCS} SELECT method, count(*) AS n FROM docs WHERE method = 'raw' OR word_count < 30 GROUP BY 1",
+    "data_as_of": "SELECT floor(epoch(max(ts)))::BIGINT AS as_of FROM events",
+    "published_span": f"WITH {DOCS} SELECT count(published) AS dated, count(*) - count(published) AS undated, strftime(min(published), '%Y-%m') || CASE WHEN strftime(min(published), '%Y-%m') = strftime(max(published), '%Y-%m') THEN '' ELSE ' ~ ' || strftime(max(published), '%Y-%m') END AS span FROM docs",
+    "shown_results": f"WITH {DOCS} SELECT doc_id FROM docs WHERE verdict IS DISTINCT FROM 'unlikely' AND value IS DISTINCT FROM 'low' AND doc_id % 3 <> 1",
+    "video_documents": "SELECT doc_id FROM documents WHERE doc_id % 5 = 0",
+    "unmatched_industries": "SELECT count(*) FILTER (NOT contains(lower(text), 'the') AND NOT contains(lower(text), 'eaux')) AS unmatched FROM documents",
+    "refining_documents": f"WITH {DOCS} SELECT doc_id, word_count FROM docs ORDER BY CASE verdict WHEN 'likely' THEN 0.9 WHEN 'unlikely' THEN 0.05 ELSE 0 END DESC, word_count DESC, doc_id LIMIT 20",
+    "chain_steps": f"WITH {RESULTS}, n AS (SELECT provider, count(*) % 9 AS found FROM results GROUP BY 1), b AS (SELECT provider, coalesce(sum(found) OVER (ORDER BY provider ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n) SELECT * FROM b WHERE before < 12",
+    "selected_documents": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "merged_terms": """WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), l AS (SELECT item_id, list_concat(w[1:6], CASE WHEN item_id % 5 > 0 THEN list_reverse(w)[1:4] ELSE [] END) AS l FROM w)
+SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS terms FROM l""",
+    "year_chart": f"WITH {DOCS} SELECT year(published) AS year, count(*) FILTER (method = 'readability') AS readability, count(*) FILTER (method = 'raw') AS raw FROM docs WHERE published IS NOT NULL GROUP BY 1",
+    "healthy_checks": "SELECT coalesce(bool_and(quality = 1) FILTER (toxic = 1), true) AS healthy, count(*) FILTER (quality <> 1) AS failed FROM labels",
+    "searx_results": f"""WITH {_answers(f"SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id) AS rank, substr(sha1(norm_url), 1, 16) AS result_id, CASE WHEN page_id % 4 = 0 OR trim(title) = '' THEN url ELSE trim(title) END AS title, url, trim(left(snippet, 80)) AS snippet, {_HOST} AS domain, 'web' AS site, strftime(published, '%Y-%m-%d') AS raw_date FROM a WHERE kept IS NOT NULL AND ({_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net'))")}
+SELECT * REPLACE (rank::INT AS rank) FROM r WHERE rank <= 3""",
+    "serper_results": f"""WITH {_answers("SELECT query, page_id, row_number() OVER (PARTITION BY query ORDER BY page_id) AS nth, url, trim(title) AS title FROM a WHERE kept IS NOT NULL")} SELECT query, (CASE WHEN page_id % 3 = 0 THEN page_id + 100 ELSE nth END)::INT AS rank, url, coalesce(nullif(title, ''), url) AS title, 'serper' AS provider FROM r""",
+    "story_results": f"""WITH {_answers("SELECT query, page_id, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank, coalesce(kept, 'https://news.ycombinator.com/item?id=' || page_id) AS url FROM a WHERE page_id % 6 > 0 AND title <> ''")}, v AS (SELECT *, list_transform([2 * page_id, page_id], lambda c: CASE WHEN c < 1000 THEN c::VARCHAR WHEN c < 10000 THEN regexp_replace(printf('%.1f', floor(c / 1000 * 10 + 0.5) / 10), '\\.0$', '') || 'k' ELSE regexp_replace(printf('%.1f', floor(c / 10000 * 10 + 0.5) / 10), '\\.0$', '') || '万' END) AS f FROM r)
+SELECT query, rank, url, '赞 ' || f[1] || CASE WHEN page_id % 2 = 0 THEN ' · 评论 ' || f[2] ELSE '' END AS signals FROM v""",
+    "video_results": f"""WITH {_answers("SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank, 'https://www.youtube.com/watch?v=' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN 'u' ELSE provider END AS author, CASE WHEN page_id % 2 = 0 THEN 'b' ELSE 'https://i.ytimg.com/vi/' || page_id || '/mqdefault.jpg' END AS thumbnail, floor(page_id * 1.5)::INT AS duration FROM a WHERE page_id % 5 > 0")} SELECT * FROM r WHERE rank <= 6""",
+    "bilibili_results": f"""WITH {_answers("SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank, CASE WHEN kept IS NULL THEN 'https://www.bilibili.com/video/BV' || page_id ELSE regexp_replace(replace(kept, 'https://', 'http://'), '^http://', 'https://') END AS url, trim(replace(regexp_replace(title, '\\s+', ' ', 'g'), '&amp;', '&')) || ' & more' AS title, ((page_id % 60) * 60 + 5)::INT AS duration, 'https://i.hdslb.com/x.jpg' AS thumbnail FROM a")} SELECT * FROM r WHERE rank <= 8""",
+    "repository_results": f"""WITH {_answers("SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank, trim(title) AS title, trim(left(snippet, 20) || CASE WHEN page_id % 2 = 0 THEN ' · C' ELSE '' END) AS snippet, 'github' AS site FROM a WHERE kept IS NOT NULL")} SELECT * FROM r""",
+}

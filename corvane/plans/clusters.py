@@ -27,9 +27,15 @@ def affinities(contains: DataFrame, words: DataFrame, clusters: DataFrame) -> Da
     return part.join(total, "doc_id").select("doc_id", "cluster", F.round(F.col("part").cast("double") / F.col("total").cast("double"), 6).alias("share"))
 
 
-def main_cluster(shares: DataFrame) -> DataFrame:
-    """The cluster of the largest share of each document; ties go to the first name."""
-    return shares.groupBy("doc_id").agg(F.min_by("cluster", F.struct(-F.col("share"), F.col("cluster"))).alias("cluster"))
+def main_cluster(hits: DataFrame, documents: DataFrame, clusters: DataFrame, fallback: str = "c0") -> DataFrame:
+    """The cluster of most different keywords of each document; of equals the one met first in the text.
+
+    hits: doc_id, word, pos. Documents without a keyword get the fallback.
+    """
+    each = hits.groupBy("doc_id", "word").agg(F.min("pos").alias("pos"))
+    tally = each.join(F.broadcast(clusters), "word").groupBy("doc_id", "cluster").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    best = tally.groupBy("doc_id").agg(F.min_by("cluster", F.struct(-F.col("n"), F.col("pos"))).alias("cluster"))
+    return documents.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("cluster", F.lit(fallback)).alias("cluster"))
 
 
 def cluster_documents(shares: DataFrame, most: int = MOST_DOCS) -> DataFrame:

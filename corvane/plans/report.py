@@ -81,6 +81,63 @@ def package(documents: DataFrame) -> DataFrame:
     return df.select("doc_id", F.concat(F.lit("articles/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.length(F.concat(head, "text")).cast("long").alias("n_chars"))
 
 
+def data_as_of(documents: DataFrame) -> DataFrame:
+    """When the newest document was fetched."""
+    return documents.agg(F.max("fetched").alias("as_of"))
+
+
+def date_span(rows: DataFrame, column: str = "published") -> DataFrame:
+    """Dated and undated rows, and the months of the first and last date: one month if they are equal, empty without any."""
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    out = rows.agg(F.count(column).alias("dated"), F.count_if(F.col(column).isNull()).alias("undated"), month(F.min(column)).alias("a"), month(F.max(column)).alias("b"))
+    return out.select("dated", "undated", F.when(F.col("a").isNull(), "").when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat("a", F.lit(" ~ "), "b")).alias("span"))
+
+
+def unused(documents: DataFrame, used: DataFrame) -> DataFrame:
+    """Documents that are in no graph, with the reason: only a snippet, or too short."""
+    rows = documents.join(used.select("doc_id"), "doc_id", "left_anti")
+    why = F.when(F.col("method") == "raw", "正文没抓到，只有搜索摘要").otherwise(F.format_string("正文过短（%d 字）", "word_count"))
+    return rows.select("doc_id", "title", "site", "method", why.alias("reason"))
+
+
+def unused_methods(documents: DataFrame, used: DataFrame) -> DataFrame:
+    """How many documents of each method are in no graph."""
+    return kinds(unused(documents, used), "method")
+
+
+def overview(documents: DataFrame, copies: DataFrame, concepts: DataFrame, graphed: DataFrame) -> DataFrame:
+    """Rows (name, n) of a report's overview; that of copies only if there are any."""
+    one = lambda df, name, c: df.agg(c.alias("n")).select(F.lit(name).alias("name"), "n")
+    n = F.count("*")
+    rows = one(documents, "documents", n).unionByName(one(documents, "sites", F.countDistinct("site"))).unionByName(one(graphed, "graphed", n)).unionByName(one(concepts, "concepts", n))
+    return rows.unionByName(one(copies, "copies", n).where("n > 0"))
+
+
+def sources(results: DataFrame, documents: DataFrame, copies: DataFrame) -> DataFrame:
+    """Every result with what was fetched for it: body (grade and words, and whose copy it is) or that nothing was.
+
+    documents: doc_id, title, grade, word_count; copies: doc_id, duplicate_of;
+    results: doc_id of the document to look for. All are equi-joins on ids.
+    """
+    titles = documents.select(F.col("doc_id").alias("duplicate_of"), F.col("title").alias("first_title"))
+    docs = documents.select("doc_id", "grade", "word_count").join(copies, "doc_id", "left").join(titles, "duplicate_of", "left")
+    note = F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit(" · 与《"), F.coalesce("first_title", F.lit("…")), F.lit("》同源"))).otherwise("")
+    label = F.when(F.col("grade") == "full", "正文完整").when(F.col("grade") == "thin", "正文很短").otherwise("仅摘要")
+    body = F.when(F.col("grade").isNull(), "未抓取").otherwise(F.concat(label, F.lit(" "), F.col("word_count").cast("string"), F.lit(" 字"), note))
+    rows = results.join(docs, "doc_id", "left")
+    return rows.select(*results.columns, body.alias("body"), "duplicate_of")
+
+
+def healthy(checks: DataFrame) -> DataFrame:
+    """Whether all required checks (name, ok, required) are ok; so they are if none is required."""
+    return checks.agg(F.coalesce(F.bool_and(F.when(F.col("required"), F.col("ok"))), F.lit(True)).alias("healthy"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def stale(sessions: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """Sessions with results that are `days` old or older."""
+    return sessions.where((F.col("n_results") > 0) & (F.datediff(F.lit(now).cast("date"), F.col("updated").cast("date")) >= days))
+
+
 def markdown(documents: DataFrame) -> str:
     """A report of bounded size: summaries and the largest groups as Markdown tables."""
     def table(df: DataFrame, most: int = 50) -> str:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corvane.functions import dates, html, misc, text, urls
 from corvane.operators import graph, jobs, search, simhash
 from corvane.plans import clusters, report
-from corvane.sources import tables
+from corvane.sources import providers, tables
+from corvane.sources.shared import written
 from corvane.streaming import events as streams
 
 NOW = "2026-01-01"
@@ -39,26 +40,32 @@ def _rankable(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("industry", F.lit(None).cast("double")).withColumn("magnitude", F.when(F.length("url") % 3 > 0, F.round(search.signal_magnitude(signals), 9)).otherwise(0.0))
 
 
+def _corpus(spark: SparkSession, d: str) -> tuple[graph.Corpus, DataFrame]:
+    """The documents' texts, tokenised once, and their keywords."""
+    at = graph.Corpus(tables.table(spark, d, "documents"))
+    return at, graph.keywords(at)
+
+
 @_query
 def tfidf_keywords(spark, d):
-    return graph.keywords(tables.table(spark, d, "documents"))
+    return _corpus(spark, d)[1]
 
 
 @_query
 def token_counts(spark, d):
-    return graph.tokens(tables.table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("word").alias("n_words"), F.max("pos").cast("long").alias("last_pos"))
+    words = graph.Corpus(tables.table(spark, d, "documents")).words.where(F.size("words") > 0)
+    n = F.size("words").cast("long")
+    return words.select("doc_id", n.alias("n_tokens"), F.size(F.array_distinct("words")).cast("long").alias("n_words"), (n - 1).alias("last_pos"))
 
 
 @_query
 def keyword_cooccurrence(spark, d):
-    docs = tables.table(spark, d, "documents")
-    return graph.cooccurrence(docs, graph.keywords(docs))
+    return graph.cooccurrence(*_corpus(spark, d))
 
 
 @_query
 def keyword_graph(spark, d):
-    docs = tables.table(spark, d, "documents")
-    return graph.pruned(graph.cooccurrence(docs, graph.keywords(docs)))
+    return graph.pruned(graph.cooccurrence(*_corpus(spark, d)))
 
 
 @_query
@@ -68,28 +75,24 @@ def keyword_communities(spark, d):
 
 @_query
 def keyword_nodes(spark, d):
-    docs = tables.table(spark, d, "documents")
-    words = graph.keywords(docs)
-    return graph.keyword_nodes(words, docs, graph.pruned(graph.cooccurrence(docs, words)))
+    at, words = _corpus(spark, d)
+    return graph.keyword_nodes(words, at, graph.pruned(graph.cooccurrence(at, words)))
 
 
 @_query
 def contains_edges(spark, d):
-    docs = tables.table(spark, d, "documents")
-    return graph.contains_edges(docs, graph.keywords(docs))
+    return graph.contains_edges(*_corpus(spark, d))
 
 
 @_query
 def document_nodes(spark, d):
-    docs = tables.documents(spark, d)
-    return graph.document_nodes(docs, graph.contains_edges(docs, graph.keywords(docs)))
+    return graph.document_nodes(tables.documents(spark, d), graph.contains_edges(*_corpus(spark, d)))
 
 
 @_query
 def keyword_trend(spark, d):
-    docs = tables.documents(spark, d)
-    words = graph.keywords(docs)
-    return graph.trend(graph.contains_edges(docs, words), docs, words)
+    at, words = _corpus(spark, d)
+    return graph.trend(graph.contains_edges(at, words), tables.documents(spark, d), words)
 
 
 @_query
@@ -104,12 +107,12 @@ def simhash_fingerprints(spark, d):
 
 @_query
 def simhash_duplicates(spark, d):
-    return simhash.first_copies(simhash.fingerprints(tables.documents(spark, d)))
+    return simhash.first_copies(written(simhash.fingerprints(tables.documents(spark, d)), "hashes"))
 
 
 @_query
 def independent_sources(spark, d):
-    hashes = simhash.fingerprints(tables.documents(spark, d))
+    hashes = written(simhash.fingerprints(tables.documents(spark, d)), "hashes")
     copies = simhash.first_copies(hashes)
     return hashes.join(copies, "doc_id", "left").agg(F.countDistinct(F.coalesce("duplicate_of", "doc_id")).alias("independent"), F.count("duplicate_of").alias("copies"))
 
@@ -317,10 +320,40 @@ def parsed_dates(spark, d):
     return rows.select("event_id", dates.to_millis(F.col("raw"), now).alias("ms"))
 
 
+def _with_artefacts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which every fifth is a video and every fourth has two pictures."""
+    k = F.col("doc_id")
+    return tables.documents(spark, d).withColumn("kind", F.when(k % 5 == 0, "video").otherwise("article")).withColumn("images", F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")))
+
+
 @_query
 def planned_tasks(spark, d):
-    docs = tables.documents(spark, d).withColumn("kind", F.when(F.col("doc_id") % 5 == 0, "video").otherwise("article"))
-    return jobs.planned(docs)
+    return jobs.planned(_with_artefacts(spark, d))
+
+
+@_query
+def available_artefacts(spark, d):
+    return jobs.available(_with_artefacts(spark, d))
+
+
+@_query
+def job_kinds(spark, d):
+    tasks = jobs.planned(_with_artefacts(spark, d)).withColumn("job_id", F.col("doc_id") % 50)
+    return jobs.kinds_of(tasks).select("job_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+@_query
+def existing_artefacts(spark, d):
+    tasks = jobs.planned(_with_artefacts(spark, d)).withColumn("path", F.concat_ws("/", F.col("kind"), F.col("doc_id").cast("string")))
+    files = tables.table(spark, d, "documents").select(F.concat(F.lit("article/"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 3).alias("bytes"))
+    folders = files.where("bytes = 1").select(F.concat(F.replace("path", F.lit("article/"), F.lit("image/")), F.lit("/.done")).alias("path"), F.lit(0).cast("long").alias("bytes"))
+    return jobs.existing(tasks, files.unionByName(folders)).select("doc_id", "kind", "exists")
+
+
+@_query
+def image_outcomes(spark, d):
+    rows = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("nth"), (F.col("l_quantity") > 25).alias("ok"))
+    return jobs.image_batches(rows, 4)
 
 
 def _tasks(spark, d):
@@ -330,7 +363,7 @@ def _tasks(spark, d):
 
 @_query
 def job_summary(spark, d):
-    return jobs.summary(_tasks(spark, d).where("event_id % 5 > 1 OR job_id % 3 = 0"))
+    return jobs.summary(_tasks(spark, d))
 
 
 @_query
@@ -368,12 +401,15 @@ def conversation_text(spark, d):
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.md5(F.array_join(F.transform("turns", lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").cast("binary")).alias("text_md5"))
 
 
+def _clusters(words: DataFrame) -> DataFrame:
+    """Clusters by a rule SQL can repeat."""
+    return words.select("word", F.concat(F.lit("c"), (F.ascii("word") % 4).cast("string")).alias("cluster"))
+
+
 def _graph(spark, d):
-    """Documents, keywords, contains edges, and clusters by a rule SQL can repeat."""
-    docs = tables.documents(spark, d)
-    words = graph.keywords(docs)
-    clusters = words.select("word", F.concat(F.lit("c"), (F.ascii("word") % 4).cast("string")).alias("cluster"))
-    return docs, words, graph.contains_edges(docs, words), clusters
+    """Documents, keywords, contains edges, and clusters."""
+    at, words = _corpus(spark, d)
+    return tables.documents(spark, d), words, graph.contains_edges(at, words), _clusters(words)
 
 
 @_query
@@ -396,14 +432,14 @@ def cluster_documents(spark, d):
 
 @_query
 def document_clusters(spark, d):
-    _, words, contains, cl = _graph(spark, d)
-    return clusters.main_cluster(clusters.affinities(contains, words, cl))
+    at, words = _corpus(spark, d)
+    return clusters.main_cluster(graph.hits(at, words), at.documents, _clusters(words))
 
 
 @_query
 def cluster_links(spark, d):
-    docs, words, _, cl = _graph(spark, d)
-    return clusters.cluster_links(graph.cooccurrence(docs, words), cl)
+    at, words = _corpus(spark, d)
+    return clusters.cluster_links(graph.cooccurrence(at, words), _clusters(words))
 
 
 @_query
@@ -437,29 +473,159 @@ def error_classes(spark, d):
 
 @_query
 def refreshed_documents(spark, d):
-    """Results with their fresh document, else the one they had; documents without a result go."""
     rows = tables.results(spark, d).select("page_id", "norm_url")
-    fresh, old = rows.where("page_id % 3 = 0").select("norm_url", F.lit("fresh").alias("f")), rows.where("page_id % 2 = 0").select("norm_url", F.lit("old").alias("o"))
-    one = lambda x: x.dropDuplicates(["norm_url"])
-    return rows.join(one(fresh), "norm_url", "left").join(one(old), "norm_url", "left").select("page_id", F.coalesce("f", "o").alias("document"))
+    fresh, old = (rows.where(F.col("page_id") % k == 0).select("norm_url", F.lit(name).alias("document")) for k, name in ((3, "fresh"), (2, "old")))
+    return search.refreshed(rows, fresh, old).select("page_id", "document")
+
+
+def _copies(spark, d):
+    return simhash.first_copies(written(simhash.fingerprints(tables.documents(spark, d)), "hashes"))
+
+
+@_query
+def duplicate_groups(spark, d):
+    return simhash.groups(_copies(spark, d)).select("doc_id", F.array_join(F.transform("copies", lambda x: x.cast("string")), ",").alias("copies"), "n")
 
 
 @_query
 def source_list(spark, d):
-    """Documents with the title of the one they copy."""
-    docs = tables.documents(spark, d)
-    first = docs.groupBy(F.col("text").alias("same")).agg(F.min("doc_id").alias("first_id"))
-    rep = docs.select(F.col("doc_id").alias("first_id"), F.col("title").alias("first_title"))
-    rows = docs.join(first, F.col("text").eqNullSafe(F.col("same"))).join(rep, "first_id")
-    return rows.select("doc_id", F.when(F.col("first_id") < F.col("doc_id"), F.col("first_title")).alias("copy_of"))
+    """Every result with the document of its number, graded, and whose copy it is."""
+    rows = tables.results(spark, d).select(F.col("page_id").alias("doc_id"), "title", "rank")
+    return report.sources(rows, report.graded(tables.documents(spark, d)), _copies(spark, d))
 
 
 @_query
 def filled_years(spark, d):
     docs, words, contains, cl = _graph(spark, d)
-    some = contains.where(F.col("doc_id") % 3 == 0)
-    nodes = words.select("word").join(clusters.word_years(some.where(F.length("word") > 4), docs), "word", "left")
-    return graph.filled_years(nodes, cl, 2026)
+    return graph.filled_years(words.select("word").join(clusters.word_years(contains, docs), "word", "left"), cl, 2026)
+
+
+@_query
+def report_overview(spark, d):
+    docs = tables.documents(spark, d)
+    return report.overview(docs, _copies(spark, d), _corpus(spark, d)[1], docs.where("word_count >= 30"))
+
+
+@_query
+def unused_documents(spark, d):
+    docs = tables.documents(spark, d)
+    return report.unused(docs, docs.where("method <> 'raw' AND word_count >= 30")).select("doc_id", "reason")
+
+
+@_query
+def unused_methods(spark, d):
+    docs = tables.documents(spark, d)
+    return report.unused_methods(docs, docs.where("method <> 'raw' AND word_count >= 30"))
+
+
+@_query
+def data_as_of(spark, d):
+    return report.data_as_of(tables.table(spark, d, "events").select(F.col("ts").alias("fetched"))).select(F.unix_seconds(F.col("as_of").cast("timestamp")).alias("as_of"))
+
+
+@_query
+def published_span(spark, d):
+    return report.date_span(tables.documents(spark, d))
+
+
+@_query
+def shown_results(spark, d):
+    docs = tables.documents(spark, d)
+    industries = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"))).when(F.col("doc_id") % 3 == 1, F.array().cast("array<string>"))
+    return search.shown(docs.withColumn("industries", industries), True, True, True).select("doc_id")
+
+
+@_query
+def video_documents(spark, d):
+    return search.of_kind(_with_artefacts(spark, d), "video").select("doc_id")
+
+
+@_query
+def unmatched_industries(spark, d):
+    docs = tables.table(spark, d, "documents")
+    return search.unmatched(docs.select(text.matched_industries(F.col("text"), ["the", "eaux"]).alias("industries")))
+
+
+@_query
+def refining_documents(spark, d):
+    docs = tables.documents(spark, d).withColumn("relevance", F.when(F.col("verdict") == "likely", 0.9).when(F.col("verdict") == "unlikely", 0.05))
+    return search.most_relevant(docs, 20, "word_count").select("doc_id", "word_count")
+
+
+@_query
+def chain_steps(spark, d):
+    n = tables.results(spark, d).groupBy("provider").agg((F.count("*") % 9).alias("found"))
+    return search.enough(n, ["provider"], "found").select("provider", "before")
+
+
+@_query
+def selected_documents(spark, d):
+    keys = tables.table(spark, d, "labels").where("quality = 1").select("doc_id")
+    return search.selected(tables.table(spark, d, "documents"), keys, "doc_id").select("doc_id", "source")
+
+
+@_query
+def merged_terms(spark, d):
+    words = F.split(F.lower("text"), " ")
+    rows = tables.table(spark, d, "benchmark").select("item_id", F.slice(words, 1, 6).alias("a"), F.when(F.col("item_id") % 5 > 0, F.slice(F.reverse(words), 1, 4)).alias("b"))
+    return rows.select("item_id", F.array_join(search.merged_lists(F.col("a"), F.col("b")), "|").alias("terms"))
+
+
+@_query
+def year_chart(spark, d):
+    docs = tables.documents(spark, d)
+    return graph.chart(docs.where("published IS NOT NULL").select(F.year("published").alias("year"), F.col("method").alias("label")), ["readability", "raw"])
+
+
+@_query
+def healthy_checks(spark, d):
+    rows = tables.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("name"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") == 1).alias("required"))
+    return report.healthy(rows)
+
+
+def _answers(spark: SparkSession, d: str, items: str, **columns: str) -> DataFrame:
+    """Pages as answers of a provider: ten in each, in order, as a list called `items`."""
+    one = F.struct(F.col("page_id").alias("_k"), *[F.expr(e).alias(c) for c, e in columns.items()])
+    rows = tables.results(spark, d).withColumn("kept", F.when(F.col("page_id") % 7 > 0, F.col("url")))
+    listed = rows.groupBy(F.expr("page_id div 10").alias("query")).agg(F.array_sort(F.collect_list(one)).alias(items))
+    return listed.select("query", F.to_json(F.struct(items, F.lit(0).alias("code"), F.struct(F.col(items).alias("result")).alias("data"))).alias("json"))
+
+
+@_query
+def searx_results(spark, d):
+    rows = providers.searx(_answers(spark, d, "results", url="kept", title="if(page_id % 4 = 0, ' ', title)", content="left(snippet, 80)", publishedDate="string(published)"), "example.net", 3)
+    return rows.select("query", "rank", "result_id", "title", "url", "snippet", "domain", "site", "raw_date")
+
+
+@_query
+def serper_results(spark, d):
+    rows = providers.serper(_answers(spark, d, "organic", link="kept", title="title", position="if(page_id % 3 = 0, int(page_id + 100), null)"))
+    return rows.select("query", "rank", "url", "title", "provider")
+
+
+@_query
+def story_results(spark, d):
+    rows = providers.stories(_answers(spark, d, "hits", objectID="string(page_id)", title="if(page_id % 6 = 0, null, title)", url="kept", points="page_id * 2", num_comments="if(page_id % 2 = 0, page_id, null)"))
+    return rows.select("query", "rank", "url", text.signal_summary(F.col("signals")).alias("signals"))
+
+
+@_query
+def video_results(spark, d):
+    thumbnails = "if(page_id % 2 = 0, array(named_struct('url', 'a'), named_struct('url', 'b')), null)"
+    rows = providers.videos(_answers(spark, d, "entries", id="if(page_id % 5 = 0, '', string(page_id))", title="title", channel="if(page_id % 3 = 0, null, provider)", uploader="'u'", thumbnails=thumbnails, duration="page_id * 1.5"), 6)
+    return rows.select("query", "rank", "url", "author", "thumbnail", "duration")
+
+
+@_query
+def bilibili_results(spark, d):
+    rows = providers.bilibili(_answers(spark, d, "x", arcurl="replace(kept, 'https://', 'http://')", bvid="concat('BV', page_id)", title="concat('<em>', title, '</em> &amp; more')", duration="concat(page_id % 60, ':05')", pic="'//i.hdslb.com/x.jpg'", play="page_id"), 8)
+    return rows.select("query", "rank", "url", "title", "duration", "thumbnail")
+
+
+@_query
+def repository_results(spark, d):
+    rows = providers.repositories(_answers(spark, d, "items", html_url="kept", full_name="title", description="left(snippet, 20)", language="if(page_id % 2 = 0, 'C', null)", stargazers_count="page_id"))
+    return rows.select("query", "rank", "title", "snippet", "site")
 
 
 @_query
@@ -469,6 +635,5 @@ def page_markdown(spark, d):
 
 @_query
 def isolated_nodes(spark, d):
-    docs = tables.table(spark, d, "documents")
-    words = graph.keywords(docs)
-    return graph.isolation(graph.pruned(graph.cooccurrence(docs, words)), words)
+    at, words = _corpus(spark, d)
+    return graph.isolation(graph.pruned(graph.cooccurrence(at, words)), words)

@@ -140,7 +140,14 @@ def test_simhash_bands_meet_every_pair(spark):
     one_of_each_byte = 0x0101010101010101
     rows = spark.createDataFrame([(1, 0), (2, one_of_each_byte), (3, one_of_each_byte | 2)], "doc_id long, hash long")
     assert {tuple(r) for r in simhash.first_copies(rows).collect()} == {(2, 1), (3, 2)}
-    assert sorted(w for _, w in simhash.bands(8)) == [7] * 8 + [8] and simhash.bands(0) == [(0, 64)]
+    assert sorted(w for _, w in simhash.blocks(9)) == [7] * 8 + [8] and simhash.blocks(1) == [(0, 64)] and simhash.masks(0) == [(1 << 64) - 1]
+    r = random.Random(1)
+    for spare in (1, 2, 3):
+        found = simhash.masks(8, spare)
+        flips = [sum(1 << b for b in r.sample(range(64), 8)) for _ in range(200)]
+        assert all(any(not m & f for m in found) for f in flips)
+        assert {tuple(x) for x in simhash.first_copies(rows, spare=spare).collect()} == {(2, 1), (3, 2)}
+    assert [simhash.spare_blocks(n, 8) for n in (10**3, 10**9, 10**11)] == [1, 4, 4] and simhash.spare_blocks(2 * 10**4, 8) == 2
     assert simhash.first_copies(rows, 0).count() == 0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from corvane.oracles import ORACLES
+from corvane.plans import report
 from corvane.queries import QUERIES
 from tests.parity import FOLDER, compare
 
@@ -23,12 +24,11 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
-def test_source_list_keeps_null_texts(spark, tmp_path):
-    rows = [(1, "T\nx"), (2, None), (3, "T\nx"), (4, None), (5, "other")]
-    spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    compare(spark, QUERIES["source_list"], ORACLES["source_list"], str(tmp_path))
-    assert QUERIES["source_list"](spark, str(tmp_path)).count() == len(rows)
+def test_source_list_keeps_what_was_not_fetched(spark):
+    results = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "d")], "doc_id long, title string")
+    docs = spark.createDataFrame([(1, "A", "full", 90), (2, "B", "thin", 40), (3, None, "snippet", 0)], "doc_id long, title string, grade string, word_count long")
+    copies = spark.createDataFrame([(2, 1), (3, 77)], "doc_id long, duplicate_of long")
+    assert {r.doc_id: r.body for r in report.sources(results, docs, copies).collect()} == {1: "正文完整 90 字", 2: "正文很短 40 字 · 与《A》同源", 3: "仅摘要 0 字 · 与《…》同源", 9: "未抓取"}
 
 
 def test_entry(spark):

@@ -64,7 +64,9 @@ def test_clusters(spark):
     contains = spark.createDataFrame([(1, "a", 1.0), (1, "c", 3.0), (2, "c", 1.0)], "doc_id long, word string, weight double")
     shares = clusters.affinities(contains, words, cl)
     assert sorted((r.doc_id, r.cluster, r.share) for r in shares.collect()) == [(1, "c0", 0.5), (1, "c1", 0.5), (2, "c1", 1.0)]
-    assert sorted((r.doc_id, r.cluster) for r in clusters.main_cluster(shares).collect()) == [(1, "c0"), (2, "c1")]
+    hits = spark.createDataFrame([(1, "c", 0), (1, "a", 3), (1, "b", 5), (1, "c", 9), (2, "c", 1), (2, "a", 2), (2, "c", 3)], "doc_id long, word string, pos int")
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    assert sorted((r.doc_id, r.cluster) for r in clusters.main_cluster(hits, docs, cl).collect()) == [(1, "c0"), (2, "c1"), (3, "c0")]
 
 
 def test_page_facts(spark):
