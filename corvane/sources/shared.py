@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a table that is dealt anew: one file with one row group would be one task otherwise.
+LEAST_DEALT, MOST_DEALT = 4_000_000, 24_000_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt to all cores; larger tables have parts enough, and are never shuffled for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if LEAST_DEALT <= size <= MOST_DEALT else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as Parquet in the shared folder, read back: later steps read it instead of computing it again."""
     spark = df.sparkSession

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from corvane.functions.html import stripped
 from corvane.functions.text import count_words
 from corvane.functions.urls import normalize_url, result_id
+from corvane.sources.shared import dealt
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table below `folder`."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
