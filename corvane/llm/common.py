@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import dealt
 
 #: Rows sent to a Python worker at once. A batch of whole texts then takes a few
 #: megabytes, so workers stay small beside the executor's heap.
@@ -24,7 +25,7 @@ def _bounded_batches(spark: SparkSession) -> None:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`."""
     _bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
