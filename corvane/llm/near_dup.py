@@ -201,26 +201,27 @@ def _apart(enough: DataFrame, sets: DataFrame, settings: Settings, steps: Steps)
     own = nodes.join(if_small(reps), "component").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
     own = steps.written(_compared(own, sets).select(F.col("v").alias("node"), distance), "own")
     nodes = steps.written(nodes.join(if_small(own), "node", "left").fillna(0.0, ["d"]), "distances")
-    radius = nodes.groupBy("component").agg(F.max("d").alias("radius")).join(reps, "component")
-    held = steps.written(enough.groupBy("bucket", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(radius, "component"), "held")
-    a, b = (held.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "low", "high", "rep", "radius")]) for x in "ab")
+    whole = nodes.groupBy("component").agg(F.max("d").alias("radius"), F.count("*").alias("nodes")).join(reps, "component")
+    held = steps.written(enough.groupBy("bucket", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(whole, "component"), "held")
+    a, b = (held.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "nodes", "low", "high", "rep", "radius")]) for x in "ab")
     sizes = (F.col("high_a") * 100 >= F.col("low_b") * settings.percent) & (F.col("high_b") * 100 >= F.col("low_a") * settings.percent)
-    met = a.join(b, "bucket").where((F.col("component_a") < F.col("component_b")) & sizes)
-    met = steps.written(met.select("bucket", "component_a", "component_b", "rep_a", "rep_b", "radius_a", "radius_b"), "met")
+    larger = F.struct("nodes_a", "component_a") > F.struct("nodes_b", "component_b")  # so b is the smaller one
+    met = a.join(b, "bucket").where(larger & sizes).select("bucket", "component_a", "component_b", "rep_a", "rep_b", "radius_a", "radius_b")
+    met = steps.written(met, "met")
     between = _compared(met.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct(), sets)
     met = met.join(between.select(F.col("u").alias("rep_a"), F.col("v").alias("rep_b"), distance), ["rep_a", "rep_b"])
-    met = steps.written(met.where(F.col("radius_a") + F.col("radius_b") >= F.col("d") - far), "close").withColumnRenamed("d", "between")
-
-    member = enough.join(if_small(nodes.select("node", "d")), "node").select("bucket", "node", "n", "common", "component", "d")
-    sides = []
-    for x, y in ("ab", "ba"):
-        near = met.select(F.col("bucket").alias("at"), "component_a", "component_b", "between", f"radius_{y}")
-        side = member.join(if_small(near), (F.col("bucket") == F.col("at")) & (F.col("component") == F.col(f"component_{x}")))
-        side = side.where(F.col("d") + F.col(f"radius_{y}") >= F.col("between") - far)
-        sides.append(side.select("bucket", "component_a", "component_b", "between", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "common", "d")]))
-    pairs = sides[0].join(sides[1].drop("between"), ["bucket", "component_a", "component_b"])
-    pairs = pairs.where(_enough(settings, F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")))
-    pairs = pairs.where(F.col("d_a") + F.col("d_b") >= F.col("between") - far).where(_near_size(settings, F.col("n_a"), F.col("n_b")))
+    met = met.where(F.col("radius_a") + F.col("radius_b") >= F.col("d") - far)
+    met = steps.written(met.select("bucket", "component_a", "component_b", "radius_a", F.col("d").alias("between")), "close")
+
+    buckets = enough.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # one for each band at most
+    at = if_small(steps.written(nodes.select("node", "d").join(buckets, "node"), "buckets"))
+    member = enough.join(at, "node").select("bucket", "component", "node", "n", "common", "d", "buckets")
+    a, b = (member.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in member.columns[1:]]) for x in "ab")
+    smaller = b.join(if_small(met), ["bucket", "component_b"]).where(F.col("d_b") + F.col("radius_a") >= F.col("between") - far)
+    pairs = smaller.join(a, ["bucket", "component_a"]).where(F.col("d_a") + F.col("d_b") >= F.col("between") - far)
+    pairs = pairs.where(_near_size(settings, F.col("n_a"), F.col("n_b"))).where(_enough(settings, F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")))
+    # Each pair once, in the least of the buckets it shares.
+    pairs = pairs.where(F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket"))
     return pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
 
 
