@@ -66,3 +66,16 @@ WINDOW, MOST_EDGES, LEAST_WEIGHT, KEYWORDS = 15, 8, 0.6, 60
 SIMHASH_DISTANCE, SIMHASH_WORDS = 8, 80
 RANGES = {"day": 1, "week": 7, "month": 30, "year": 365}
 MIN_TARGETS = 8
+
+# Labels by table.
+LABELS = {
+    "provider": {"serper": "Serper", "searxng": "SearXNG", "ytdlp": "yt-dlp", "bilibili": "B 站接口", "hackernews": "Hacker News", "github": "GitHub API", "arxiv": "arXiv", "rss": "RSS 订阅"},
+    "span": {"day": "一天内", "week": "一周内", "month": "一月内", "year": "一年内"},
+    "sort": {"relevant": "印证优先", "recent": "最新优先", "mixed": "印证 + 时效", "quality": "声量优先"},
+    "kind_filter": {"all": "全部", "video": "仅视频", "article": "仅图文"},
+    "kind": {"article": "图文", "video": "视频", "social": "社交长文", "unknown": "未知"},
+    "grade": {"full": "正文完整", "thin": "正文很短", "snippet": "仅摘要"},
+    "value": {"high": "高价值", "medium": "中等", "low": "低价值"},
+}
+# Sites searched unless told otherwise.
+DEFAULT_SITES = ("zhihu", "csdn", "cnblogs", "segmentfault", "v2ex", "infoq", "juejin", "wechat", "bilibili", "youtube", "hackernews", "github", "arxiv", "rss", "web")

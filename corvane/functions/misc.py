@@ -60,6 +60,6 @@ def joined_subtitles(lines: Column) -> Column:
 
 
 def category(name: Column) -> Column:
-    """Verdict words and blanks are no category."""
+    """Words for a value and blanks are no category."""
     name = F.trim(F.coalesce(name, F.lit("")))
-    return F.when(name.isin("", "high", "medium", "low", "likely", "unlikely", "uncertain"), "未分类").otherwise(name)
+    return F.when(F.lower(name).isin("", "high", "medium", "low", "高", "中", "低"), "未分类").otherwise(name)

@@ -85,7 +85,37 @@ def file_stem(ident: Column, title: Column) -> Column:
 
 
 def table_cell(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
+    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
+
+
+def link_text(text: Column) -> Column:
+    """Text between the brackets of a link: backslashes and brackets are escaped."""
+    for mark in ("\\", "[", "]"):
+        text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+    return F.regexp_replace(text, r"\r?\n", " ")
+
+
+def quoted_line(text: Column, most: int = 300) -> Column:
+    """Text as one line of a block quote, cut after `most` characters with an ellipsis."""
+    line = F.regexp_replace(F.regexp_replace(text, r"\s*\r?\n\s*", " "), r"^\s+|\s+$", "")
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
+
+
+def diagram_text(text: Column) -> Column:
+    """Text of a diagram's node: no quotes or backticks, round brackets for square ones."""
+    return F.regexp_replace(F.translate(text, '[]"`', "()"), r"\r?\n", " ")
+
+
+def report_file(topic: Column, at: Column) -> Column:
+    """File name of a report: the topic without what names cannot hold, and the minute it was made."""
+    safe = F.regexp_replace(F.regexp_replace(topic, r'[\\/:*?"<>|\x00-\x1f]', ""), r"^\s+|\s+$", "")
+    return F.concat(F.coalesce(F.nullif(safe, F.lit("")), F.lit("report")), F.lit("-"), F.date_format(at, "yyyyMMdd-HHmm"), F.lit(".md"))
+
+
+def label(key: Column, table: str) -> Column:
+    """The label of a key in one of the tables of labels; the key itself where it has none."""
+    names = F.create_map(*[F.lit(x) for pair in C.LABELS[table].items() for x in pair])
+    return F.coalesce(F.try_element_at(names, key), key)
 
 
 def xml_escaped(text: Column) -> Column:

@@ -261,6 +261,24 @@ def document_nodes(documents: DataFrame, contains: DataFrame) -> DataFrame:
     return rows.select("doc_id", round3(F.round(F.log1p("word_count") + F.col("degree") / 4, 9)).alias("weight"), "degree")
 
 
+def assembled(words: DataFrame, papers: DataFrame, edges: DataFrame, contains: DataFrame, clusters: DataFrame, main: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a whole graph of keywords and documents.
+
+    words: of `keyword_nodes`; papers: of `document_nodes`; edges: pruned; contains:
+    of `contains_edges`; clusters: word, cluster; main: doc_id, cluster. What has no
+    cluster is in c0. Edges to documents name the document as their evidence. Without
+    keywords the graph is of documents only.
+    """
+    doc, none = F.concat(F.lit("d:"), F.col("doc_id").cast("string")), F.lit(None).cast("string")
+    first = F.coalesce("cluster", F.lit("c0")).alias("cluster")
+    k = words.join(clusters, "word", "left").select("id", F.lit("keyword").alias("kind"), "type", "weight", F.col("degree").cast("long").alias("degree"), F.col("n_docs").cast("long").alias("n_docs"), first)
+    d = papers.join(main, "doc_id", "left").select(doc.alias("id"), F.lit("document").alias("kind"), none.alias("type"), "weight", F.col("degree").cast("long").alias("degree"), F.lit(1).cast("long").alias("n_docs"), first)
+    key = lambda c: F.concat(F.lit("k:"), F.col(c))
+    co = edges.select(key("word_a").alias("src"), key("word_b").alias("dst"), F.lit("cooccur").alias("kind"), round3(F.col("weight")).alias("weight"), F.lit(None).cast("array<long>").alias("evidence"))
+    has = contains.select(doc.alias("src"), key("word").alias("dst"), F.lit("contains").alias("kind"), "weight", F.array("doc_id").alias("evidence"))
+    return k.unionByName(d), co.unionByName(has)
+
+
 def median(values: list[int]) -> int:
     """Middle value; of an even number, the mean of the two, halves up."""
     v, n = sorted(values), len(values)

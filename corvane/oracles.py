@@ -293,3 +293,88 @@ SELECT query, rank, url, '赞 ' || f[1] || CASE WHEN page_id % 2 = 0 THEN ' · 
     "bilibili_results": f"""WITH {_answers("SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank, CASE WHEN kept IS NULL THEN 'https://www.bilibili.com/video/BV' || page_id ELSE regexp_replace(replace(kept, 'https://', 'http://'), '^http://', 'https://') END AS url, trim(replace(regexp_replace(title, '\\s+', ' ', 'g'), '&amp;', '&')) || ' & more' AS title, ((page_id % 60) * 60 + 5)::INT AS duration, 'https://i.hdslb.com/x.jpg' AS thumbnail FROM a")} SELECT * FROM r WHERE rank <= 8""",
     "repository_results": f"""WITH {_answers("SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank, trim(title) AS title, trim(left(snippet, 20) || CASE WHEN page_id % 2 = 0 THEN ' · C' ELSE '' END) AS snippet, 'github' AS site FROM a WHERE kept IS NOT NULL")} SELECT * FROM r""",
 }
+
+_PLAIN_TEXT = f"plain AS (SELECT page_id, {_PLAIN} AS plain FROM pages)"
+_MODEL_GRAPH = f"""WITH {DOCS}, d AS (
+  SELECT doc_id, doc_id // 20 AS topic, doc_id % 20 AS k, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS i, word_count FROM docs
+), shown AS (SELECT topic, doc_id, k AS nth FROM d WHERE k < 15),
+ent AS (SELECT topic, 'e' || (doc_id % 7) AS name, arg_min('t' || (doc_id % 3), i) AS type, min(i) AS first, array_to_string(list_sort(list(DISTINCT 'a' || (doc_id % 5))), ',') AS aliases FROM d GROUP BY 1, 2),
+ment AS (
+  SELECT topic, name, s.doc_id, min(met) AS met FROM (
+    SELECT topic, 'e' || (doc_id % 7) AS name, 2 * i AS met, k AS nth FROM d UNION ALL SELECT topic, 'e' || (doc_id % 7), 2 * i + 1, k * 3 % 20 FROM d
+  ) JOIN shown s USING (topic, nth) GROUP BY ALL
+), mine AS (SELECT topic, 'e' || (doc_id % 5) AS name, min(i) AS c FROM d WHERE i < 12 GROUP BY ALL),
+dcl AS (SELECT topic, s.doc_id, min(i) AS c FROM (SELECT topic, i, k * 7 % 20 AS nth FROM d WHERE i < 12) JOIN shown s USING (topic, nth) GROUP BY ALL),
+vote AS (SELECT topic, name, arg_min(c, met - 1000 * n) AS v FROM (SELECT topic, name, c, count(*) AS n, min(met) AS met FROM ment JOIN dcl USING (topic, doc_id) GROUP BY ALL) GROUP BY ALL),
+ends AS (SELECT topic, least(12, count(*)) AS n FROM d GROUP BY topic),
+edges AS (
+  SELECT topic, 'k:e' || (doc_id % 7) AS src, 'k:e' || (doc_id * 3 % 8) AS dst, 'relation' AS kind, CASE WHEN k % 3 > 0 THEN 'is' END AS label, least(1, k / 10) AS weight, CASE WHEN k < 15 THEN doc_id::VARCHAR ELSE '' END AS evidence
+  FROM d WHERE doc_id % 7 <> doc_id * 3 % 8 AND (topic, 'e' || (doc_id * 3 % 8)) IN (SELECT (topic, name) FROM ent)
+  UNION ALL SELECT topic, 'd:' || doc_id, 'k:' || name, 'contains', NULL, 1.0, doc_id::VARCHAR FROM ment
+), deg AS (SELECT topic, id, count(*) AS degree FROM (SELECT topic, src AS id FROM edges UNION ALL SELECT topic, dst FROM edges) GROUP BY ALL),
+nodes AS (
+  SELECT topic, 'k:' || name AS id, 'entity' AS kind, type, aliases, greatest(1, (SELECT count(*) FROM ment m WHERE m.topic = ent.topic AND m.name = ent.name))::DOUBLE AS weight, coalesce(degree, 0) AS degree, coalesce(c, v, n) AS cl, first, name
+  FROM ent LEFT JOIN mine USING (topic, name) LEFT JOIN vote USING (topic, name) JOIN ends USING (topic) LEFT JOIN deg ON deg.topic = ent.topic AND deg.id = 'k:' || ent.name
+  UNION ALL SELECT topic, 'd:' || doc_id, 'document', NULL, '', floor(round(ln(1 + word_count), 9) * 1000 + 0.5) / 1000, 0, CASE WHEN k < 15 THEN coalesce(c, n) ELSE 0 END, NULL, NULL FROM d LEFT JOIN dcl USING (topic, doc_id) JOIN ends USING (topic)
+)"""
+_BATCHED = """WITH b AS (SELECT page_id, page_id // 50 AS query, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS i FROM pages),
+r AS (SELECT *, i // 20 AS batch, i % 20 AS nth FROM b WHERE i < 45),
+a AS (SELECT query, batch, nth * 3 % 25 AS nth, page_id AS said, nth AS n FROM r WHERE (query + batch) % 4 <> 3),
+v AS (SELECT r.page_id, r.query, r.batch, arg_max(said, said) AS said, arg_max(n, said) AS n FROM r JOIN a USING (query, batch, nth) GROUP BY ALL)"""
+_NOTICES = ("已跳过 %d 条疑似与主题不相关的结果（它们仍在列表里；想抓的话在结果里勾选这几条，再点一次抓取）", "已跳过 %d 条预判低价值的结果（仅凭标题与摘要；在结果里勾选可以单独补抓）", "本次会话已有 %d 篇靠无头浏览器渲染拿到正文", "质量过滤层已跳过 %d 条明显无用/低质候选（候选不足时会自动补回低质链接）")
+_NOTICE = ", ".join(f"CASE WHEN doc_id % {m} > 0 THEN replace('{t}', '%d', (doc_id % {m})::VARCHAR) END" for t, m in zip(_NOTICES, (2, 3, 7, 5), strict=True))
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _labelled(table: str, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LABELS[table].items()) + f" ELSE {key} END"
+
+
+ORACLES |= {
+    "topic_graph_nodes": f"""SELECT k.id, 'keyword' AS kind, type, weight, degree, n_docs::BIGINT AS n_docs, 'c' || (ascii(word) % 4) AS cluster FROM ({ORACLES['keyword_nodes']}) k
+UNION ALL SELECT 'd:' || doc_id, 'document', NULL, weight, degree, 1, cluster FROM ({ORACLES['document_nodes']}) JOIN ({ORACLES['document_clusters']}) USING (doc_id)""",
+    "topic_graph_edges": f"""SELECT 'k:' || word_a AS src, 'k:' || word_b AS dst, 'cooccur' AS kind, weight, NULL AS evidence FROM ({ORACLES['keyword_graph']})
+UNION ALL SELECT 'd:' || doc_id, 'k:' || word, 'contains', weight, doc_id::VARCHAR FROM ({ORACLES['contains_edges']})""",
+    "model_graph_nodes": f"{_MODEL_GRAPH} SELECT topic, id, kind, type, aliases, weight, degree, 'c' || cl AS cluster FROM nodes",
+    "model_graph_edges": f"{_MODEL_GRAPH} SELECT * FROM edges",
+    "model_graph_clusters": f"""{_MODEL_GRAPH}, t AS (SELECT topic, cl, count(*) AS size, coalesce(array_to_string((list(name ORDER BY weight DESC, first) FILTER (kind = 'entity'))[1:5], ','), '') AS top_terms FROM nodes GROUP BY ALL)
+SELECT topic, 'c' || cl AS cluster, CASE WHEN cl >= n THEN '其他' WHEN k % 4 = 0 THEN '主题 ' || (cl + 1) ELSE 'L' || k END AS label, size, top_terms FROM t JOIN ends USING (topic) LEFT JOIN (SELECT topic, i AS cl, k FROM d) USING (topic, cl)""",
+    "model_verdicts": f"{_BATCHED} SELECT page_id, CASE WHEN said % 2 = 0 THEN 'likely' ELSE 'unlikely' END AS verdict, least(1, n / 10) AS score, CASE WHEN said % 3 = 0 THEN '模型未给出依据' ELSE 'r' END AS reason FROM v",
+    "model_values": f"""{_BATCHED}, bad AS (SELECT query, min(batch) AS stop FROM r WHERE (query + batch) % 4 = 3 GROUP BY query)
+SELECT page_id, CASE WHEN said % 2 = 0 THEN 'high' ELSE 'low' END AS verdict, ['未分类', 'x', '未分类', 'y'][1 + said % 4] AS category, 'r' AS reason FROM v LEFT JOIN bad USING (query) WHERE stop IS NULL OR batch < stop""",
+    "model_failures": "SELECT doc_id, ['LLM 调用被取消', 'LLM 限流或过载，已降级：HTTP 429', 'LLM 限流或过载，已降级：Overloaded now', 'LLM_API_KEY 无效，已降级：invalid x api key', 'LLM 调用网络失败，已降级：ETIMEDOUT', 'LLM 构图失败，已降级：other 4290'][1 + doc_id % 6] AS reason FROM documents",
+    "documents_of_pages": f"""WITH {RESULTS}, {_PLAIN_TEXT}, f AS (
+  SELECT page_id, title AS own, CASE WHEN page_id % 2 = 0 THEN title ELSE 'found' END AS title, CASE WHEN page_id % 11 = 0 AND trim(title) <> '' THEN trim(title) WHEN page_id % 5 > 0 AND trim(plain) <> '' THEN trim(plain) ELSE trim(snippet) END AS body,
+         CASE WHEN page_id % 11 = 0 AND trim(title) <> '' THEN 'subtitle' WHEN page_id % 5 > 0 AND trim(plain) <> '' THEN 'readability' ELSE 'raw' END AS method
+  FROM results JOIN plain USING (page_id)
+), w AS (SELECT *, title || '。' || body AS text FROM f), c AS (SELECT *, {WORD_COUNT} AS word_count FROM w)
+SELECT page_id, title, kind, method, CASE WHEN method = 'raw' THEN 'HTTP 403' END AS error, md5(body) AS markdown_md5, left(body, 200) AS excerpt,
+       CASE WHEN trim(left(body, 1000)) = '' THEN 'unknown' WHEN len(regexp_extract_all(left(body, 1000), '[一-鿿]')) / length(left(body, 1000)) > 0.15 THEN 'zh' ELSE 'en' END AS lang, word_count
+FROM c JOIN ({ORACLES['url_facts']}) USING (page_id)""",
+    "browser_choices": f"SELECT page_id, coalesce(shell OR page_id % 6 = 0, false) AS wanted, page_id % 3 = 0 AS retried, false AS never FROM ({ORACLES['html_facts']})",
+    "site_logins": "SELECT source || '-' || (doc_id % 97) AS site, bool_or(doc_id % 40 = 0 OR coalesce(n_chars > 3000, true)) AS logged_in FROM documents GROUP BY 1",
+    "video_grades": f"""WITH {DOCS}, p AS (SELECT doc_id, array_to_string(list_filter([title, CASE WHEN doc_id % 4 = 0 THEN title || chr(10) || 'c' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END], lambda x: x <> ''), chr(10)) AS body FROM docs),
+n AS (SELECT doc_id, length({_TRIM.format('body')}) AS n FROM p)
+SELECT doc_id, n >= 30 AS substantive, CASE WHEN n < 30 THEN '该视频没有可用的字幕与简介，仅有标题与标签' WHEN n < 300 THEN '该视频没有可用字幕，正文仅有简介与标签（' || n || ' 字）' END AS error FROM n""",
+    "timely_results": """WITH a AS (SELECT event_id, user_id AS query, event_id % 5 = 0 AS own, event_id * 37 % 20000 AS ms FROM events),
+c AS (SELECT query, greatest(coalesce(max(ms) FILTER (own), 0), least(coalesce(max(ms) FILTER (NOT own), 0), 8000)) AS closed FROM a GROUP BY query)
+SELECT event_id, query FROM a JOIN c USING (query) WHERE ms <= closed""",
+    "source_targets": """WITH p AS (SELECT n_name AS provider, ['de', 'en', 'xx', NULL][1 + n_nationkey % 4] AS own, CASE WHEN n_nationkey % 3 = 0 THEN 'topic' ELSE 'site' END AS scope, n_nationkey::BIGINT AS place FROM nation WHERE n_nationkey % 5 > 0)
+SELECT lang AS site, provider, scope, CASE WHEN own IS NULL THEN 1 ELSE 0 END AS step, place FROM (VALUES ('de'), ('en'), ('fr')) s(lang) JOIN p ON own = lang OR (own IS NULL AND scope = 'site')""",
+    "fetch_notices": f"SELECT doc_id, nullif(concat_ws('；', {_NOTICE}), '') AS notice FROM documents",
+    "refined_intents": "SELECT item_id, array_to_string(list_filter([CASE WHEN item_id % 2 = 0 THEN 'goal' END] || string_split(text, ' ') || CASE WHEN item_id % 3 = 0 THEN ['q'] ELSE [] END, lambda x: x <> ''), '；') AS intent FROM benchmark",
+    "view_states": """SELECT doc_id, CASE WHEN doc_id % 10 < 9 THEN array_to_string(list_filter([CASE WHEN doc_id <= 1000000 THEN 'a' END, CASE WHEN doc_id * 9000 <= 1000000 THEN 'b' END], lambda x: x IS NOT NULL), ',') END AS placed,
+  CASE WHEN doc_id % 10 < 9 THEN 1 + (doc_id < 200)::BIGINT END AS n_pinned, CASE WHEN doc_id % 10 < 9 THEN doc_id % 2 = 0 END AS shown, CASE WHEN doc_id % 10 < 9 AND doc_id % 3 = 0 THEN 'free' END AS layout, CASE WHEN doc_id % 10 < 9 THEN 'cooccur' END AS hidden FROM documents""",
+    "type_buttons": """WITH t AS (SELECT ['概念', 'z', '组织', 'a', NULL, '产品'][1 + n_nationkey % 6] AS type, min(n_nationkey) AS first FROM nation GROUP BY 1)
+SELECT type, row_number() OVER (ORDER BY coalesce(list_position(['组织', '技术', '产品', '概念', '人物', '地点'], type), 7), first) AS place FROM t WHERE type IS NOT NULL""",
+    "node_emphasis": """WITH e AS (SELECT l_suppkey AS a, l_suppkey * l_linenumber % 7 AS b FROM lineitem), n AS (SELECT b AS id FROM e WHERE a = 3 UNION SELECT a FROM e WHERE b = 3 UNION SELECT 3)
+SELECT s_suppkey::BIGINT AS id, CASE WHEN (SELECT bool_or(s_suppkey = 3) FROM supplier) THEN s_suppkey IN (SELECT id FROM n) END AS near FROM supplier""",
+    "node_places": """WITH n AS (SELECT doc_id, doc_id % 5 AS c, CASE WHEN doc_id % 2 = 0 THEN 320 ELSE 200 END AS far FROM documents),
+a AS (SELECT *, CASE WHEN c < 4 THEN c / 4 * 2 * pi() ELSE (doc_id * 0.7::DOUBLE) % (2 * pi()) END AS t, CASE WHEN c < 4 THEN (c % 3 - 1) * 0.45 ELSE 0 END AS p FROM n)
+SELECT doc_id, round(cos(t) * cos(p) * far + sin(doc_id * 12.9898::DOUBLE) * 45, 6) AS x, round(sin(p) * far + cos(doc_id * 78.233::DOUBLE) * 45, 6) AS y, round(sin(t) * cos(p) * far + sin(doc_id * 43.123::DOUBLE) * 45, 6) AS z FROM a""",
+    "rewritten_queries": "SELECT doc_id AS site, CASE WHEN doc_id % 3 > 0 THEN lang END AS query FROM documents WHERE doc_id % 3 = 0 OR lang <> 'en'",
+    "escaped_titles": rf"""WITH l AS (SELECT doc_id, text, {_TRIM.format(r"regexp_replace(text, '\s*\r?\n\s*', ' ', 'g')")} AS line, {_TRIM.format("regexp_replace(split_part(text, chr(10), 1), '[\\\\/:*?\"<>|\x00-\x1f]', '', 'g')")} AS head FROM documents)
+SELECT doc_id, md5(regexp_replace(replace(text, '|', '\|'), '\r?\n', ' ', 'g')) AS cell, md5(regexp_replace(replace(replace(replace(text, '\', '\\'), '[', '\['), ']', '\]'), '\r?\n', ' ', 'g')) AS link,
+  md5(CASE WHEN length(line) > 300 THEN left(line, 300) || '…' ELSE line END) AS quote, md5(regexp_replace(replace(replace(replace(replace(text, '"', ''), '`', ''), '[', '('), ']', ')'), '\r?\n', ' ', 'g')) AS diagram, md5(coalesce(nullif(head, ''), 'report') || '-20260102-0304.md') AS file FROM l""",
+    "labelled_documents": f"SELECT doc_id, {_labelled('grade', 'grade')} AS grade_label, {_labelled('value', 'value')} AS value_label, {_labelled('provider', 'site')} AS site_label FROM (SELECT doc_id, grade FROM ({ORACLES['graded_documents']})) JOIN (WITH {DOCS} SELECT doc_id, value, site FROM docs) USING (doc_id)",
+}

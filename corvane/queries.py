@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import dates, html, misc, text, urls
-from corvane.operators import graph, jobs, search, simhash
-from corvane.plans import clusters, report
+from corvane.functions import dates, html, misc, model, text, urls
+from corvane.operators import graph, jobs, model_graph, search, simhash, staging
+from corvane.plans import clusters, report, views
 from corvane.sources import providers, tables
 from corvane.sources.shared import written
 from corvane.streaming import events as streams
@@ -637,3 +637,183 @@ def page_markdown(spark, d):
 def isolated_nodes(spark, d):
     at, words = _corpus(spark, d)
     return graph.isolation(graph.pruned(graph.cooccurrence(at, words)), words)
+
+
+def _topic_graph(spark, d):
+    at, words = _corpus(spark, d)
+    edges, contains, cl = graph.pruned(graph.cooccurrence(at, words)), graph.contains_edges(at, words), _clusters(words)
+    papers = graph.document_nodes(tables.documents(spark, d), contains)
+    return graph.assembled(graph.keyword_nodes(words, at, edges), papers, edges, contains, cl, clusters.main_cluster(graph.hits(at, words), at.documents, cl))
+
+
+@_query
+def topic_graph_nodes(spark, d):
+    return _topic_graph(spark, d)[0]
+
+
+@_query
+def topic_graph_edges(spark, d):
+    return _topic_graph(spark, d)[1].withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
+
+
+def _model_graph(spark, d):
+    """Topics of twenty documents, of which fifteen were shown, and answers that name entities by number."""
+    k, n = F.col("doc_id") % 20, F.col("doc_id")
+    rows = tables.documents(spark, d).select("doc_id", "title", "word_count", F.expr("doc_id div 20").alias("topic"), F.when(k < 15, k).cast("int").alias("nth"))
+    name = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    entity = F.struct(F.concat(F.lit(" "), name(n % 7)).alias("name"), F.concat(F.lit("t"), (n % 3).cast("string")).alias("type"), F.array(F.concat(F.lit("a"), (n % 5).cast("string")), F.lit("")).alias("aliases"), F.array(k, k * 3 % 20).alias("docIndices"))
+    relation = F.struct(name(n % 7).alias("source"), name(n * 3 % 8).alias("target"), F.when(k % 3 == 0, "").otherwise("is").alias("label"), (k / 10).alias("weight"), F.array(k, F.lit(99).cast("long")).alias("docIndices"))
+    cluster = F.struct(F.when(k % 4 == 0, " ").otherwise(F.concat(F.lit("L"), k.cast("string"))).alias("label"), F.lit("").alias("summary"), F.array(name(n % 5)).alias("entities"), F.array(k * 7 % 20).alias("docIndices"))
+    row = F.struct("doc_id", entity.alias("entity"), relation.alias("relation"), cluster.alias("cluster"))
+    listed = rows.groupBy("topic").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    answer = F.to_json(F.struct(F.col("all.entity").alias("entities"), F.col("all.relation").alias("relations"), F.col("all.cluster").alias("clusters")))
+    return model_graph.assembled(listed.select("topic", F.concat(F.lit("```json\n"), answer, F.lit("\n```")).alias("json")), rows)
+
+
+@_query
+def model_graph_nodes(spark, d):
+    return _model_graph(spark, d)[0].select("topic", "id", "kind", "type", F.array_join("aliases", ",").alias("aliases"), "weight", "degree", "cluster")
+
+
+@_query
+def model_graph_edges(spark, d):
+    return _model_graph(spark, d)[1].withColumn("evidence", F.array_join("evidence", ","))
+
+
+@_query
+def model_graph_clusters(spark, d):
+    return _model_graph(spark, d)[2]
+
+
+def _batches(spark, d):
+    return model.batched(tables.results(spark, d).select("page_id", F.expr("page_id div 50").alias("query")), "page_id", 20, 45)
+
+
+def _answers_on(rows: DataFrame, field: str, **columns: str) -> DataFrame:
+    """Answers on batches: an item for each row, some out of place; every fourth batch is no JSON."""
+    one = F.struct(F.expr("nth * 3 % 25").alias("index"), *[F.expr(e).alias(c) for c, e in columns.items()])
+    listed = rows.groupBy("query", "batch").agg(F.array_sort(F.collect_list(F.struct("page_id", one.alias("x")))).alias("all"))
+    text_of = F.to_json(F.struct(F.col("all.x").alias(field)))
+    return listed.select("query", "batch", F.when((F.col("query") + F.col("batch")) % 4 == 3, "{broken").otherwise(text_of).alias("json"))
+
+
+@_query
+def model_verdicts(spark, d):
+    rows = _batches(spark, d)
+    return model.judged(rows, _answers_on(rows, "verdicts", verdict="if(page_id % 2 = 0, 'likely', 'unlikely')", score="nth / 10D", reason="if(page_id % 3 = 0, ' ', 'r')")).select("page_id", "verdict", "score", "reason")
+
+
+@_query
+def model_values(spark, d):
+    rows = _batches(spark, d)
+    return model.valued(rows, _answers_on(rows, "items", verdict="if(page_id % 2 = 0, 'high', 'low')", category="case page_id % 4 when 0 then ' Low' when 1 then 'x ' when 2 then '' else 'y' end", reason="'r'")).select("page_id", "verdict", "category", "reason")
+
+
+@_query
+def model_failures(spark, d):
+    said = F.get(F.array(*[F.lit(m) for m in ("AbortError", "HTTP 429", "Overloaded now", "invalid x api key", "ETIMEDOUT", "other 4290")]), (F.col("doc_id") % 6).cast("int"))
+    return tables.table(spark, d, "documents").select("doc_id", model.failure_reason(said).alias("reason"))
+
+
+@_query
+def documents_of_pages(spark, d):
+    rows = tables.results(spark, d).select("page_id", "url", "title", "snippet").join(tables.table(spark, d, "pages").select("page_id", "html"), "page_id")
+    plain = F.when(F.col("page_id") % 5 > 0, html.stripped(F.col("html")))
+    found = staging.first_found([("subtitle", F.when(F.col("page_id") % 11 == 0, F.col("title"))), ("readability", plain)], F.col("snippet"), F.lit("HTTP 403"))
+    rows = rows.withColumn("found", found).select("page_id", "url", "title", F.when(F.col("page_id") % 2 == 0, "").otherwise("found").alias("found_title"), F.col("found.text").alias("text"), F.lit(" ").alias("markdown"), F.lit(None).cast("string").alias("lang"), F.col("found.method").alias("method"), F.col("found.error").alias("error"), urls.site_of(F.col("url")).alias("site"))
+    return staging.projected(rows).select("page_id", "title", "kind", "method", "error", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), "excerpt", "lang", "word_count")
+
+
+@_query
+def browser_choices(spark, d):
+    plain = F.length(html.stripped(F.col("html"))) < 200
+    site = F.when(F.col("page_id") % 3 == 0, "zhihu").otherwise("web")
+    shell = html.looks_like_shell(F.col("html"), plain)
+    return tables.table(spark, d, "pages").select("page_id", staging.wants_browser("on-demand", shell, site, F.col("page_id") % 2 == 0).alias("wanted"), staging.worth_retry("on-demand", site == "zhihu").alias("retried"), staging.wants_browser("off", shell, site, plain).alias("never"))
+
+
+@_query
+def site_logins(spark, d):
+    rows = tables.table(spark, d, "documents").select(F.concat_ws("-", "source", (F.col("doc_id") % 97).cast("string")).alias("site"), F.when(F.col("doc_id") % 40 > 0, F.col("n_chars")).alias("expires"))
+    return staging.logged_in(rows, rows, F.lit(3000))
+
+
+@_query
+def video_grades(spark, d):
+    k = F.col("doc_id")
+    own = staging.video_body(F.col("title"), F.when(k % 4 == 0, F.array("title", F.lit("c"))).otherwise(F.array().cast("array<string>")), F.when(k % 3 == 0, F.col("text")).otherwise(""))
+    return tables.documents(spark, d).select("doc_id", own.alias("own")).select("doc_id", "own.*")
+
+
+@_query
+def timely_results(spark, d):
+    k = F.col("event_id")
+    return staging.in_time(tables.table(spark, d, "events").select(k, F.col("user_id").alias("query"), F.when(k % 5 == 0, "site").otherwise("topic").alias("scope"), (k * 37 % 20000).alias("ms"))).select("event_id", "query")
+
+
+@_query
+def source_targets(spark, d):
+    k, langs = F.col("n_nationkey"), F.array(F.lit("de"), F.lit("en"), F.lit("xx"), F.lit(None))
+    providers = tables.table(spark, d, "nation").select(F.col("n_name").alias("provider"), F.get(langs, k % 4).alias("site"), F.when(k % 3 == 0, "topic").otherwise("site").alias("scope"), (k % 5 > 0).alias("available"), k.cast("long").alias("place"))
+    return staging.targets(("de", "en", "fr", "de"), providers)
+
+
+@_query
+def fetch_notices(spark, d):
+    k = F.col("doc_id")
+    return tables.table(spark, d, "documents").select("doc_id", staging.notice(*[k % m for m in (2, 3, 5, 7, 1)]).alias("notice"))
+
+
+@_query
+def refined_intents(spark, d):
+    words = F.split("text", " ")
+    intent = F.when(F.col("item_id") % 2 == 0, "goal")
+    return tables.table(spark, d, "benchmark").select("item_id", staging.refined_intent(intent, words, F.when(F.col("item_id") % 3 == 0, F.array(F.lit("q"), F.lit("")))).alias("intent"))
+
+
+@_query
+def view_states(spark, d):
+    k = F.col("doc_id")
+    place = F.create_map(F.lit("b"), F.struct((k * 9000).alias("x"), F.lit(1).alias("y")), F.lit("a"), F.struct(F.lit(-1).alias("x"), k.alias("y")))
+    raw = F.to_json(F.struct(place.alias("positions"), F.array(F.lit("n"), F.repeat(F.lit("x"), k.cast("int"))).alias("pinned"), (k % 2 == 0).alias("showDocuments"), F.when(k % 3 == 0, "free").otherwise("other").alias("layoutMode"), F.array(F.lit("cooccur"), F.lit("z")).alias("hiddenEdgeKinds"), F.lit(1).alias("unknown")))
+    s = views.view_state(F.when(k % 10 == 9, "no json").otherwise(raw))
+    return tables.table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.array_join(F.map_keys("s.positions"), ",").alias("placed"), F.size("s.pinned").cast("long").alias("n_pinned"), F.col("s.show_documents").alias("shown"), F.col("s.layout").alias("layout"), F.array_join("s.hidden_kinds", ",").alias("hidden"))
+
+
+@_query
+def type_buttons(spark, d):
+    k = F.col("n_nationkey")
+    kinds = F.array(F.lit("概念"), F.lit("z"), F.lit("组织"), F.lit("a"), F.lit(None), F.lit("产品"))
+    return views.type_order(tables.table(spark, d, "nation").select(k, F.get(kinds, k % 6).alias("type")), "n_nationkey").withColumn("place", F.col("place").cast("long"))
+
+
+@_query
+def node_emphasis(spark, d):
+    nodes = tables.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    edges = tables.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_suppkey") * F.col("l_linenumber") % 7).cast("long").alias("dst"))
+    return views.emphasised(nodes, edges, 3)
+
+
+@_query
+def node_places(spark, d):
+    k = F.col("doc_id")
+    nodes = tables.table(spark, d, "documents").select("doc_id", k.alias("nth"), F.when(k % 2 == 0, "document").otherwise("keyword").alias("kind"), F.concat(F.lit("c"), (k % 5).cast("string")).alias("cluster"))
+    return views.places_3d(nodes, ("c0", "c1", "c2", "c3")).select("doc_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
+
+
+@_query
+def rewritten_queries(spark, d):
+    return views.rewritten(tables.table(spark, d, "documents").select(F.col("doc_id").alias("site"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("query")), "en")
+
+
+@_query
+def escaped_titles(spark, d):
+    t = F.col("text")
+    forms = {"cell": text.table_cell(t), "link": text.link_text(t), "quote": text.quoted_line(t), "diagram": text.diagram_text(t), "file": text.report_file(F.substring_index(t, "\n", 1), F.lit("2026-01-02 03:04:00").cast("timestamp"))}
+    return tables.table(spark, d, "documents").select("doc_id", *[F.md5(c.cast("binary")).alias(n) for n, c in forms.items()])
+
+
+@_query
+def labelled_documents(spark, d):
+    rows = report.graded(tables.documents(spark, d))
+    return rows.select("doc_id", text.label(F.col("grade"), "grade").alias("grade_label"), text.label(F.col("value"), "value").alias("value_label"), text.label(F.col("site"), "provider").alias("site_label"))
