@@ -79,3 +79,21 @@ LABELS = {
 }
 # Sites searched unless told otherwise.
 DEFAULT_SITES = ("zhihu", "csdn", "cnblogs", "segmentfault", "v2ex", "infoq", "juejin", "wechat", "bilibili", "youtube", "hackernews", "github", "arxiv", "rss", "web")
+# Lines of a page that are nothing but a button.
+BUTTONS = ("分享", "收藏", "点赞", "评论", "关注", "举报", "展开", "收起", "阅读全文")
+# Feeds read where none are configured.
+FEEDS = (
+    ("少数派", "https://sspai.com/feed"), ("V2EX", "https://www.v2ex.com/index.xml"), ("InfoQ 中文", "https://www.infoq.cn/feed"), ("博客园", "https://feed.cnblogs.com/blog/sitehome/rss"),
+    ("开源中国", "https://www.oschina.net/news/rss"), ("阮一峰的网络日志", "https://www.ruanyifeng.com/blog/atom.xml"),
+)
+# The head of an error that is a site's rule, and the errors that are, by site.
+LIMITATION = "已知限制（不是故障）"
+LIMITED = {
+    "zhihu": r"HTTP 40[13]|风控|反爬", "xiaohongshu": r"HTTP 40[13]|HTTP 412|风控|300031|300012", "x": r"HTTP 40[13]|HTTP 412|风控", "bilibili": r"HTTP 412|风控",
+    "wechat": r"未能提取到正文|没抽到正文|无头浏览器渲染", "youtube": r"(?i)Sign in to confirm|not a bot|confirm you're not a bot",
+}
+# What is said of each of them: without a login, and with one where that matters.
+SITE_NOTES = {
+    "zhihu": ("未登录的访问一律 403，登录后才有正文", "登录态多半已过期，需要重新登录"), "xiaohongshu": ("未登录的访问会转到登录页", "登录态多半已过期，需要重新登录"), "x": ("未登录读不到正文",),
+    "bilibili": ("部分接口会返回 412，公开接口不受影响",), "wechat": ("文章页会要求验证，抓不到正文多半是平台拦截",), "youtube": ("出口地址被判为机器人",),
+}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.constants import BUTTONS
+
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -23,10 +25,10 @@ def stripped(html: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """Line ends unified, blanks made single, at most one empty line, lines trimmed."""
-    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t ]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, " ?\n ?", "\n"), "\n{3,}", "\n\n")
-    return F.trim(F.regexp_replace(text, r"^\n+|\n+$", ""))
+    """Line ends unified, blanks made single, at most one empty line, lines trimmed, lines of a page's buttons out."""
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "[ \t\u00a0]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"(?dm)^[^\S\n]+|[^\S\n]+$", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"(?dm)^(?:{'|'.join(BUTTONS)})$\n?", ""), r"^\s+|\s+$", "")
 
 
 def script_share(html: Column) -> Column:

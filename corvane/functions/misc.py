@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane import constants as C
+
 
 def format_bytes(n: Column) -> Column:
     """Bytes in the largest unit of 1,024 powers that leaves one or more, one decimal."""
@@ -26,10 +28,22 @@ def is_retryable(error: Column) -> Column:
     return F.coalesce(error.rlike(r"(?i)timeout|timed out|超时|ECONN|socket|network|fetch failed|\b429\b|\b5\d\d\b"), F.lit(False))
 
 
-def known_limitation(site: Column, error: Column, logged_in: bool = False) -> Column:
-    """Why a site refuses, where that is known; null else."""
-    wall = "needs an account that may read this" if logged_in else "refuses readers without an account"
-    return F.when((site == "zhihu") & error.rlike(r"HTTP 403"), F.concat(F.lit("[known limitation] zhihu "), F.lit(wall)))
+def site_note(site: Column, logged_in: Column | bool = False) -> Column:
+    """What is to be said of a site whatever happened; null for most sites."""
+    known = F.coalesce(logged_in if isinstance(logged_in, Column) else F.lit(logged_in), F.lit(False))
+    return F.coalesce(*[F.when(site == s, F.when(known, n[-1]).otherwise(n[0])) for s, n in C.SITE_NOTES.items()])
+
+
+def known_limitation(site: Column, error: Column, logged_in: Column | bool = False) -> Column:
+    """An error that is a site's rule and no fault, in words; null for any other error."""
+    hit = F.coalesce(*[F.when((site == s) & error.rlike(p), True) for s, p in C.LIMITED.items()])
+    code = F.when(site == "zhihu", "HTTP 403 —— ").when(site == "bilibili", "HTTP 412 —— ").otherwise("")
+    cause = F.when(site == "youtube", F.concat(F.lit("（"), F.substring(error, 1, 80), F.lit("）"))).otherwise("")
+    return F.when(hit, F.concat(F.lit(C.LIMITATION + "："), code, site_note(site, logged_in), cause))
+
+
+def is_known_limitation(error: Column) -> Column:
+    return F.coalesce(error.startswith(C.LIMITATION), F.lit(False))
 
 
 def provider_status(ok: Column, count: Column, error: Column) -> Column:

@@ -199,7 +199,10 @@ SELECT least(x.cluster, y.cluster) AS cluster_a, greatest(x.cluster, y.cluster)
     "formatted_sizes": """WITH n AS (SELECT doc_id, n_chars, n_chars * n_chars AS n FROM documents)
 SELECT doc_id, CASE WHEN n >= 1024 ** 3 THEN printf('%.1f GB', floor(n / 1024 ** 3 * 10 + 0.5) / 10) WHEN n >= 1024 ** 2 THEN printf('%.1f MB', floor(n / 1024 ** 2 * 10 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE n || ' B' END AS size,
   ((doc_id % 9 + 0.5) * 1048576)::BIGINT AS bytes, round(14 + 46 * sqrt(n_chars / 40000), 6) AS node FROM n""",
-    "error_classes": f"WITH {DOCS} SELECT doc_id, false AS retry, CASE WHEN contains(error, 'HTTP 403') THEN '[known limitation] zhihu refuses readers without an account' END AS limitation, '失败:' || error AS status FROM docs WHERE error IS NOT NULL",
+    "error_classes": f"""WITH {DOCS}, e AS (SELECT doc_id, doc_id % 7 AS s, doc_id % 3 = 0 AS k, coalesce(error, 'Sign in to confirm: 未能提取到正文') AS e FROM docs),
+n AS (SELECT *, CASE WHEN s = 0 AND regexp_matches(e, 'HTTP 40[13]') THEN 'HTTP 403 —— ' || CASE WHEN k THEN '登录态多半已过期，需要重新登录' ELSE '未登录的访问一律 403，登录后才有正文' END WHEN s = 1 AND regexp_matches(e, 'HTTP 40[13]') THEN CASE WHEN k THEN '登录态多半已过期，需要重新登录' ELSE '未登录的访问会转到登录页' END
+  WHEN s = 2 AND regexp_matches(e, 'HTTP 40[13]') THEN '未登录读不到正文' WHEN s = 4 AND contains(e, '未能提取到正文') THEN '文章页会要求验证，抓不到正文多半是平台拦截' WHEN s = 5 AND contains(e, 'Sign in') THEN '出口地址被判为机器人（' || e || '）' END AS note FROM e)
+SELECT doc_id, false AS retry, '已知限制（不是故障）：' || note AS limitation, note IS NOT NULL AS known, '失败:' || e AS status FROM n""",
     "refreshed_documents": f"WITH {RESULTS}, r AS (SELECT page_id, CASE WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 3 = 0) THEN 'fresh' WHEN norm_url IN (SELECT norm_url FROM results WHERE page_id % 2 = 0) THEN 'old' END AS document FROM results) SELECT * FROM r WHERE document IS NOT NULL",
 }
 
@@ -260,7 +263,9 @@ FROM results LEFT JOIN worth w ON w.doc_id = page_id LEFT JOIN copies c ON c.doc
   SELECT * FROM a WHERE value IS DISTINCT FROM 'low' OR nth <= 3 - (SELECT count(*) FROM r WHERE value IS DISTINCT FROM 'low')
 ), e AS (SELECT *, row_number() OVER (PARTITION BY tier = 'low' ORDER BY rank, norm_url) AS mth FROM b)
 SELECT page_id, tier, verdict, value FROM e WHERE tier IN ('high', 'usable') OR tier = 'low' AND mth <= 8 - (SELECT count(*) FROM b WHERE tier IN ('high', 'usable'))""",
-    "cleaned_text": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\xA0]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'), ' ')) AS clean_md5 FROM documents",
+    "cleaned_text": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t\x{00A0}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x NOT IN ('分享', '收藏', '点赞', '评论', '关注', '举报', '展开', '收起', '阅读全文')) AS l FROM a)
+SELECT doc_id, md5(regexp_replace(array_to_string(l, chr(10)), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM l""",
     "available_artefacts": "SELECT count(*) FILTER (doc_id % 10 <> 9 AND text <> '') AS article, count(*) FILTER (doc_id % 5 = 0 AND text <> '') AS transcript, count(*) FILTER (doc_id % 4 = 0) AS image, count(*) FILTER (doc_id % 5 = 0) AS media FROM documents",
     "job_kinds": """WITH k AS (SELECT doc_id, unnest([CASE WHEN doc_id % 10 <> 9 AND text <> '' THEN 'article' END, CASE WHEN doc_id % 5 = 0 AND text <> '' THEN 'transcript' END, CASE WHEN doc_id % 4 = 0 THEN 'image' END, CASE WHEN doc_id % 5 = 0 THEN 'media' END]) AS kind FROM documents)
 SELECT doc_id % 50 AS job_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k WHERE kind IS NOT NULL GROUP BY 1""",
@@ -378,3 +383,5 @@ SELECT doc_id, md5(regexp_replace(replace(text, '|', '\|'), '\r?\n', ' ', 'g'))
   md5(CASE WHEN length(line) > 300 THEN left(line, 300) || '…' ELSE line END) AS quote, md5(regexp_replace(replace(replace(replace(replace(text, '"', ''), '`', ''), '[', '('), ']', ')'), '\r?\n', ' ', 'g')) AS diagram, md5(coalesce(nullif(head, ''), 'report') || '-20260102-0304.md') AS file FROM l""",
     "labelled_documents": f"SELECT doc_id, {_labelled('grade', 'grade')} AS grade_label, {_labelled('value', 'value')} AS value_label, {_labelled('provider', 'site')} AS site_label FROM (SELECT doc_id, grade FROM ({ORACLES['graded_documents']})) JOIN (WITH {DOCS} SELECT doc_id, value, site FROM docs) USING (doc_id)",
 }
+ORACLES["refined_results"] = f"""WITH {RESULTS}, n AS (SELECT page_id, norm_url, lower(concat_ws(' ', title, snippet)) AS t, CASE WHEN page_id % 4 = 0 THEN 'high' END AS value FROM results WHERE norm_url NOT IN (SELECT norm_url FROM results WHERE page_id % 2 = 0)),
+a AS (SELECT page_id, value, CASE WHEN value IS NULL THEN CASE WHEN contains(t, 'the') THEN 'the' WHEN contains(t, 'eaux') THEN 'eaux' END END AS avoid FROM n) SELECT page_id, avoid, CASE WHEN avoid IS NULL THEN value ELSE 'low' END AS value FROM a"""

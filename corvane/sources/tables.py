@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.constants import FEEDS
 from corvane.functions.html import stripped
 from corvane.functions.text import count_words
 from corvane.functions.urls import normalize_url, result_id
 from corvane.sources.shared import dealt
 
+FEED = "title string, url string, enabled boolean"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table below `folder`."""
@@ -56,22 +59,39 @@ def sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_corrupt IS NULL").drop("_corrupt").orderBy(F.desc("updatedAt"))
 
 
-DEFAULT_FEEDS = (("Example feed", "https://example.com/feed.xml"), ("Example news", "https://example.org/rss"))
-
-
 def feeds(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Feed rows: only http(s) urls, title the url where missing, enabled unless told otherwise.
+    """Feed rows of a JSON file, a list or an object with `feeds`: only http(s) urls, title the url where missing, enabled unless told otherwise.
 
-    Without a path, or without a valid row, the defaults.
+    Without a path, or without a valid row, the default feeds.
     """
-    default = spark.createDataFrame([(t, u, True) for t, u in DEFAULT_FEEDS], "title string, url string, enabled boolean")
+    default = spark.createDataFrame([(t, u, True) for t, u in FEEDS], FEED)
     if not path:
         return default
-    rows = spark.read.schema("title string, url string, enabled boolean").option("multiLine", True).json(path)
-    rows = rows.where(F.col("url").rlike("^https?://")).select(F.coalesce(F.nullif(F.trim("title"), F.lit("")), "url").alias("title"), "url", F.coalesce("enabled", F.lit(True)).alias("enabled"))
+    rows = spark.read.schema(f"{FEED}, feeds array<struct<{FEED}>>").option("multiLine", True).json(path)
+    rows = rows.select(F.inline(F.coalesce("feeds", F.array(F.struct("title", "url", "enabled")))))
+    rows = _coerced(rows)
     return default if rows.isEmpty() else rows
 
 
+def _coerced(rows: DataFrame) -> DataFrame:
+    url = F.trim("url")
+    return rows.where(url.rlike("(?i)^https?://")).select(F.coalesce(F.nullif(F.trim("title"), F.lit("")), url).alias("title"), url.alias("url"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
+
+
+def save_feeds(rows: DataFrame, path: str) -> None:
+    """Overwrite a table of feeds; if one row is invalid, nothing is written."""
+    kept = _coerced(rows)
+    if kept.count() != rows.count():
+        raise ValueError("a feed without an http(s) url")
+    saved(kept, path, "json")
+
+
+def deleted(spark: SparkSession, path: str) -> bool:
+    """Delete a table of a session; False if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def xml_entries(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     """Entries of Atom or RSS files, with an explicit schema."""
     return spark.read.format("xml").schema(schema).option("rowTag", row_tag).load(path)

@@ -177,7 +177,7 @@ def test_sources(spark, tmp_path):
 
     (tmp_path / "f.json").write_text('[{"url": "https://a.com/f", "title": ""}, {"url": "ftp://x"}, {"url": "http://b", "enabled": false}]')
     assert sorted(tuple(r) for r in tables.feeds(spark, str(tmp_path / "f.json")).collect()) == [("http://b", "http://b", False), ("https://a.com/f", "https://a.com/f", True)]
-    assert tables.feeds(spark).count() == 2
+    assert tables.feeds(spark).count() == 6
     (tmp_path / "s").mkdir()
     (tmp_path / "s/a.json").write_text('{"id": "1", "updatedAt": "2026"}\n{broken\n{"id": "2", "updatedAt": "2027"}\n')
     assert [r.id for r in tables.sessions(spark, str(tmp_path / "s"), "id string, updatedAt string").collect()] == ["2", "1"]

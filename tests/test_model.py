@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import model, text
-from corvane.operators import model_graph, staging
+from corvane.functions import html, misc, model, text
+from corvane.operators import model_graph, refine, staging
 from corvane.plans import views
+from corvane.sources import tables
 
 
 def _value(spark, column):
@@ -106,3 +108,42 @@ def test_escapes(spark):
     assert _value(spark, text.quoted_line(F.lit(" x \n\n y" + "z" * 400))) == "x y" + "z" * 297 + "…"
     assert _value(spark, text.report_file(F.lit(' a/b:"c" '), F.lit("2026-03-04 05:06:00").cast("timestamp"))) == "abc-20260304-0506.md"
     assert _value(spark, text.label(F.lit("full"), "grade")) == "正文完整" and _value(spark, text.label(F.lit("other"), "grade")) == "other"
+
+
+def test_limitations_by_site(spark):
+    rows = spark.createDataFrame([("zhihu", "HTTP 401", False), ("zhihu", "HTTP 500", False), ("bilibili", "HTTP 412", None), ("youtube", "you are not a bot?", True), ("web", "HTTP 403", False), ("x", None, False)], "site string, error string, known boolean")
+    said = [r.v for r in rows.select(misc.known_limitation(F.col("site"), F.col("error"), F.col("known")).alias("v")).collect()]
+    assert [x is not None for x in said] == [True, False, True, True, False, False]
+    assert said[0].startswith("已知限制（不是故障）：HTTP 403 —— ") and said[3].endswith("（you are not a bot?）")
+
+
+def test_feeds_are_written_whole_or_not_at_all(spark, tmp_path):
+    at = str(tmp_path / "feeds")
+    tables.save_feeds(spark.createDataFrame([(" ", " HTTPS://a ", None)], tables.FEED), at)
+    assert [tuple(r) for r in tables.feeds(spark, at).collect()] == [("HTTPS://a", "HTTPS://a", True)]
+    with pytest.raises(ValueError):
+        tables.save_feeds(spark.createDataFrame([("t", "https://b", True), ("t", "file:///x", True)], tables.FEED), at)
+    assert tables.feeds(spark, at).count() == 1
+    (tmp_path / "f.json").write_text(json.dumps({"feeds": [{"url": "http://c", "enabled": False}, {"title": "no url"}]}))
+    assert [tuple(r) for r in tables.feeds(spark, str(tmp_path / "f.json")).collect()] == [("http://c", "http://c", False)]
+    assert tables.deleted(spark, at) and not tables.deleted(spark, at)
+
+
+def test_rounds_end_when_nothing_is_added(spark):
+    shape = "norm_url string, title string, snippet string, value string"
+    pages = {0: [("a", "t", "s", None), ("b", "bad one", "s", None), ("c", "bad two", "s", "high")], 1: [("b", "t", "s", None)]}
+    asked = []
+
+    def search(intent, state):
+        asked.append(intent)
+        return spark.createDataFrame(pages[state.rounds], shape), ["term"]
+
+    analyse = lambda results, state: refine.Analysis(missing=("m",), queries=tuple("q%d" % k for k in range(9)), patterns=(" bad ", "z"))
+    results, state = refine.refined(spark.createDataFrame([("a", "old", "s", None)], shape), refine.State("goal"), analyse, search, 5)
+    assert sorted((r.norm_url, r.title, r.value) for r in results.collect()) == [("a", "old", None), ("b", "bad one", "low"), ("c", "bad two", "high")]
+    assert len(asked) == state.rounds == 2 and asked[0].startswith("goal；m；q0；")
+    assert state.terms == ("term", "q0", "q1", "q2", "q3") and state.patterns == ("bad", "bad")
+
+
+def test_buttons_are_no_text(spark):
+    assert _value(spark, html.cleaned(F.lit(" a \t b \r\n\r\n 分享 \n\n\n\n c 分享\n 收起"))) == "a b\n\n\nc 分享"
