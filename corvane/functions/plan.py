@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from corvane.constants import INDUSTRIES
+from corvane.constants import DEFAULT_SITES, INDUSTRIES, SITES
 
 
 def build_query(topic: str, domain: str = "", keyword: str = "") -> str:
@@ -49,3 +49,12 @@ def lexical_plan(raw: str, intent: str = "", industries: Sequence[str] = ()) ->
     """A plan without a model: the words as they are, and their forms."""
     forms = query_variants([raw, *punctuation_forms(raw), variant(raw, intent, (), industries)])
     return {"raw": raw, "entity": raw.strip(), "variants": forms, "industries": [t for t in dict.fromkeys(x.strip() for x in industries) if t], "source": "lexical"}
+
+
+def sites_of(selected: Sequence[str] = (), direct: bool | None = None) -> list[str]:
+    """Known sites among the selected ones, the default ones if none are, in registry order.
+
+    direct: only those reached by a source of their own, or only those found by search engines.
+    """
+    wanted = set(selected) or set(DEFAULT_SITES)
+    return [key for key, _, own in SITES if key in wanted and direct in (None, own)]

@@ -6,11 +6,13 @@ checked against that list. Nothing it makes up gets into the graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.model import unfenced
+from corvane.functions.model import failure_reason, unfenced
 from corvane.functions.text import round3
 
 ANSWER = (
@@ -22,6 +24,7 @@ ANSWER = (
 MOST_CLUSTERS, OTHERS = 12, "其他"
 
 _ID = "topic", "doc_id"
+Graph = tuple[DataFrame, ...]
 
 
 def _list(answers: DataFrame, field: str) -> DataFrame:
@@ -98,6 +101,23 @@ def assembled(answers: DataFrame, documents: DataFrame) -> tuple[DataFrame, Data
     return nodes.withColumn("cluster", F.concat(F.lit("c"), F.col("cluster").cast("string"))).drop("first"), edges, clusters
 
 
+def built(model: Callable[[], Graph] | None, plain: Callable[[], Graph], force: str | None = None) -> tuple[Graph, str, str | None]:
+    """The graph of a model if there is one and it answers, else the plain one: graph, who made it, and why not the model.
+
+    force: `llm` or `heuristic`. A failure is told apart by `failure_reason`, so the
+    graph comes with its cause instead of an error.
+    """
+    if force == "heuristic" or (model is None and force != "llm"):
+        return plain(), "heuristic", None
+    if model is None:
+        return plain(), "heuristic", "未配置 LLM_API_KEY"
+    try:
+        return model(), "llm", None
+    except Exception as error:  # whatever a client raises is a reason, none is fatal here
+        row = SparkSession.active().range(1).select(failure_reason(F.lit(str(error))).alias("why")).first()
+        return plain(), "heuristic", row.why
+
+
 def _clusters(nodes: DataFrame, listed: DataFrame) -> DataFrame:
     """topic, cluster, label, size and the five heaviest entities of each cluster with nodes.
 

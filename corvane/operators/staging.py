@@ -119,3 +119,21 @@ def refined_intent(intent: Column, missing: Column, queries: Column) -> Column:
     none = F.array().cast("array<string>")
     parts = F.concat(F.array(intent), F.coalesce(missing, none), F.coalesce(queries, none))
     return F.array_join(F.filter(parts, lambda p: p != ""), "；")
+
+
+def video_text(author: Column, tags: Column, description: Column, chapters: Column, transcript: Column) -> Column:
+    """A video's text for the corpus, without names of fields: they would become keywords of every video."""
+    parts = F.array(F.trim(author), F.array_join(tags, "、"), description, F.array_join(chapters, "\n"), transcript)
+    return F.trim(F.array_join(F.filter(parts, lambda p: p != ""), "\n"))
+
+
+def video_markdown(fields: Sequence[tuple[str, Column]], chapters: Column, transcript: Column) -> Column:
+    """A video's text for readers: a line for each named field that has a value, then chapters and transcript."""
+    lines = [F.when(F.trim(v) != "", F.concat(F.lit(f"{k}："), F.trim(v))) for k, v in fields]
+    block = lambda name, body: F.when(body != "", F.concat(F.lit(f"\n{name}：\n"), body))
+    return F.trim(F.array_join(F.array_compact(F.array(*lines, block("章节", F.array_join(chapters, "\n")), block("字幕", transcript))), "\n"))
+
+
+def statistics(counts: Sequence[tuple[str, Column]]) -> Column:
+    """Counts above 0 with their names and short numbers; empty if there are none."""
+    return F.array_join(F.array_compact(F.array(*[F.when(n > 0, F.concat(F.lit(f"{k} "), text.compact_count(n))) for k, n in counts])), " · ")

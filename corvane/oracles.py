@@ -385,3 +385,13 @@ SELECT doc_id, md5(regexp_replace(replace(text, '|', '\|'), '\r?\n', ' ', 'g'))
 }
 ORACLES["refined_results"] = f"""WITH {RESULTS}, n AS (SELECT page_id, norm_url, lower(concat_ws(' ', title, snippet)) AS t, CASE WHEN page_id % 4 = 0 THEN 'high' END AS value FROM results WHERE norm_url NOT IN (SELECT norm_url FROM results WHERE page_id % 2 = 0)),
 a AS (SELECT page_id, value, CASE WHEN value IS NULL THEN CASE WHEN contains(t, 'the') THEN 'the' WHEN contains(t, 'eaux') THEN 'eaux' END END AS avoid FROM n) SELECT page_id, avoid, CASE WHEN avoid IS NULL THEN value ELSE 'low' END AS value FROM a"""
+_SHORT = "CASE WHEN w < 1000 THEN w::VARCHAR WHEN w < 10000 THEN regexp_replace(printf('%.1f', floor(w / 1000 * 10 + 0.5) / 10), '\\.0$', '') || 'k' WHEN w < 100000000 THEN regexp_replace(printf('%.1f', floor(w / 10000 * 10 + 0.5) / 10), '\\.0$', '') || '万' ELSE regexp_replace(printf('%.1f', floor(w / 100000000 * 10 + 0.5) / 10), '\\.0$', '') || '亿' END"
+ORACLES |= {
+    "video_texts": f"""WITH {DOCS}, n AS (SELECT *, word_count * 100 AS w, CASE WHEN doc_id % 2 = 0 THEN site || '、' || method ELSE '' END AS tags, replace(title, ' ', chr(10)) AS chapters FROM docs),
+s AS (SELECT *, concat_ws(' · ', CASE WHEN w > 0 THEN '播放 ' || {_SHORT.replace(chr(92) * 2, chr(92))} END, CASE WHEN doc_id % 2 > 0 THEN '点赞 1' END) AS numbers FROM n)
+SELECT doc_id, md5(trim(array_to_string(list_filter([CASE WHEN doc_id % 3 > 0 THEN trim(site) END, tags, CASE WHEN doc_id % 5 > 0 THEN title END, chapters, text], lambda p: p <> ''), chr(10)))) AS text_md5,
+  md5(trim(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN '标题：' || trim(title) END, CASE WHEN doc_id % 3 > 0 THEN 'UP主：' || trim(site) END, CASE WHEN numbers <> '' THEN '数据：' || numbers END, CASE WHEN tags <> '' THEN '标签：' || tags END,
+    CASE WHEN chapters <> '' THEN chr(10) || '章节：' || chr(10) || chapters END, CASE WHEN doc_id % 4 > 0 AND text <> '' THEN chr(10) || '字幕：' || chr(10) || text END], lambda p: p IS NOT NULL), chr(10)))) AS markdown_md5, numbers FROM s""",
+    "feed_probes": f"WITH {DOCS} SELECT site AS feed, count(*) AS n, (list(published ORDER BY doc_id))[1] AS latest, array_to_string(list(title ORDER BY doc_id)[1:3], '|') AS sample FROM docs GROUP BY site",
+    "fetch_tally": f"WITH {DOCS} SELECT method, count(*) AS n, count(error) AS failed, sum(word_count)::BIGINT AS words FROM docs GROUP BY method",
+}

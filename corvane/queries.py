@@ -828,3 +828,24 @@ def refined_results(spark, d):
     rows = tables.results(spark, d).withColumn("value", F.when(F.col("page_id") % 4 == 0, "high"))
     there = rows.select(F.when(F.col("page_id") % 2 == 0, F.col("norm_url")).alias("norm_url"))
     return refine.added(rows, there, ["x", " the ", "eaux"]).select("page_id", "avoid", "value")
+
+
+@_query
+def video_texts(spark, d):
+    k, t = F.col("doc_id"), F.col("text")
+    tags, chapters = F.when(k % 2 == 0, F.array("site", "method")).otherwise(F.array().cast("array<string>")), F.split("title", " ")
+    line = staging.statistics([("播放", F.col("word_count") * 100), ("点赞", k % 2)])
+    body = staging.video_text(F.when(k % 3 > 0, F.col("site")), tags, F.when(k % 5 > 0, F.col("title")), chapters, t)
+    shown = staging.video_markdown([("标题", F.col("title")), ("UP主", F.when(k % 3 > 0, F.col("site"))), ("数据", line), ("标签", F.array_join(tags, "、"))], chapters, F.when(k % 4 > 0, t))
+    return tables.documents(spark, d).select("doc_id", F.md5(body.cast("binary")).alias("text_md5"), F.md5(shown.cast("binary")).alias("markdown_md5"), line.alias("numbers"))
+
+
+@_query
+def feed_probes(spark, d):
+    rows = tables.documents(spark, d).select(F.col("site").alias("feed"), F.col("doc_id").alias("nth"), "title", "published")
+    return providers.probed(rows).withColumn("sample", F.array_join("sample", "|"))
+
+
+@_query
+def fetch_tally(spark, d):
+    return streams.tally(tables.documents(spark, d))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import html, text, urls
@@ -109,3 +110,11 @@ def feed_results(entries: DataFrame, terms: Column, limit: int, each: int = 20)
     body = F.lower(F.concat_ws(" ", "title", "summary"))
     near = entries.where(F.col("nth") <= each).where(F.exists(terms, lambda t: F.contains(body, t)))
     return near.orderBy(F.desc_nulls_last("published"), "url").limit(limit)
+
+
+def probed(entries: DataFrame, sample: int = 3) -> DataFrame:
+    """feed, number of entries, date of the first and the titles of the first three; entries: feed, nth, title, published."""
+    at = F.row_number().over(W.partitionBy("feed").orderBy("nth"))
+    few = entries.withColumn("_at", at).where(F.col("_at") <= sample)  # the limit goes before the shuffle
+    first = few.groupBy("feed").agg(F.min_by("published", "_at").alias("latest"), F.sort_array(F.collect_list(F.struct("_at", "title")))["title"].alias("sample"))
+    return entries.groupBy("feed").agg(F.count("*").alias("n")).join(first, "feed")

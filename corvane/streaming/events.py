@@ -34,15 +34,14 @@ def upserting(target: str, key: str, seq: str) -> Callable[[DataFrame, int], Non
     """A foreachBatch function that keeps the latest row of each key in the table at `target`.
 
     Each batch writes a new version beside the old one and then names it in a
-    one-row pointer table, so a batch that is tried again after a failure replaces
-    its own version and nothing is applied twice.
+    one-row pointer table. It starts from the version of the batch before it,
+    whatever the pointer says, so a batch that is tried again, even after it was
+    named, replaces its own version and nothing is applied twice.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0 and (old := current(spark, target)) is not None:
-            rows = old.unionByName(batch)
+        rows = spark.read.schema(batch.schema).parquet(f"{target}/v{(number - 1) % 2}").unionByName(batch) if number else batch
         last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("row")).select("row.*")
         last.write.mode("overwrite").parquet(f"{target}/v{number % 2}")
         spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").json(f"{target}/pointer")
@@ -50,6 +49,11 @@ def upserting(target: str, key: str, seq: str) -> Callable[[DataFrame, int], Non
     return run
 
 
+def tally(documents: DataFrame) -> DataFrame:
+    """Documents, those with an error and words by method, for the complete or update mode."""
+    return documents.groupBy("method").agg(F.count("*").alias("n"), F.count("error").alias("failed"), F.sum("word_count").alias("words"))
+
+
 def current(spark: SparkSession, target: str) -> DataFrame | None:
     """The latest version written by `upserting`."""
     found = spark.read.schema("version long").json(f"{target}/pointer").first()

@@ -7,10 +7,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import html, misc, model, text
+from corvane.functions import html, misc, model, plan, text
 from corvane.operators import model_graph, refine, staging
 from corvane.plans import views
 from corvane.sources import tables
+from corvane.streaming import events
 
 
 def _value(spark, column):
@@ -147,3 +148,28 @@ def test_rounds_end_when_nothing_is_added(spark):
 
 def test_buttons_are_no_text(spark):
     assert _value(spark, html.cleaned(F.lit(" a \t b \r\n\r\n 分享 \n\n\n\n c 分享\n 收起"))) == "a b\n\n\nc 分享"
+
+
+def test_builders_fall_back_with_a_reason(spark):
+    def broken():
+        raise RuntimeError("HTTP 429 slow down")
+
+    assert model_graph.built(None, lambda: ("plain",)) == (("plain",), "heuristic", None)
+    assert model_graph.built(None, lambda: ("plain",), "llm") == (("plain",), "heuristic", "未配置 LLM_API_KEY")
+    assert model_graph.built(lambda: ("model",), lambda: ("plain",)) == (("model",), "llm", None)
+    assert model_graph.built(lambda: ("model",), lambda: ("plain",), "heuristic")[1] == "heuristic"
+    assert model_graph.built(broken, lambda: ("plain",)) == (("plain",), "heuristic", model.LIMITED + "HTTP 429 slow down")
+
+
+def test_sites_of(spark):
+    assert plan.sites_of(("web", "arxiv", "nowhere")) == ["arxiv", "web"]
+    assert plan.sites_of(direct=True) == ["hackernews", "github", "arxiv", "rss"] and "x" not in plan.sites_of()
+
+
+def test_a_batch_tried_again_changes_nothing(spark, tmp_path):
+    run = events.upserting(str(tmp_path), "k", "seq")
+    one, two = (spark.createDataFrame(rows, "k int, seq int, v string") for rows in ([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (2, 0, "old")]))
+    run(one, 0)
+    run(two, 1)
+    run(two, 1)  # after its version was named already
+    assert sorted(tuple(r) for r in events.current(spark, str(tmp_path)).collect()) == [(1, 2, "c"), (2, 1, "b")]
