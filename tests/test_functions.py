@@ -151,6 +151,27 @@ def test_simhash_bands_meet_every_pair(spark):
     assert simhash.first_copies(rows, 0).count() == 0
 
 
+def test_simhash_large_buckets_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_SLICE", 16)
+    monkeypatch.setattr(simhash, "SLICE_ROOT", 0)
+    monkeypatch.setattr(simhash, "STEP", 5)
+    r = random.Random(5)
+    family = [sum(1 << b for b in r.sample(range(64), r.randint(0, 7))) for _ in range(150)]
+    hashes = list(enumerate(family + [r.getrandbits(64) for _ in range(50)] + family[:20]))
+    r.shuffle(hashes)
+    signed = [(k, h - (1 << 64) if h >> 63 else h) for k, h in hashes]
+    got = {x.doc_id: x.duplicate_of for x in simhash.first_copies(spark.createDataFrame([*signed, (None, 1)], "doc_id long, hash long")).collect()}
+    near = {j: [i for i, g in hashes if i < j and (g ^ h).bit_count() <= 8] for j, h in hashes}
+    assert got == {j: min(i) for j, i in near.items() if i}
+
+
+def test_simhash_moves_no_texts(spark):
+    from corvane.queries import QUERIES
+
+    plan = QUERIES["simhash_fingerprints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "The GPT模型 alpha 123 alpha中"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.word, r.tag) for r in graph.tokens(df).orderBy("doc_id", "pos").collect()]
