@@ -172,6 +172,17 @@ def test_simhash_moves_no_texts(spark):
     assert "MapInArrow" in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["duplicate_groups"])
+def test_simhash_few_keys_however_many_hashes(spark, monkeypatch, name):
+    from corvane.queries import QUERIES
+
+    made, masks = [], simhash.masks
+    monkeypatch.setattr(simhash, "spare_blocks", lambda n, distance: 4)  # as if there were many hashes
+    monkeypatch.setattr(simhash, "masks", lambda *a: made.append(masks(*a)) or made[-1])
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert [len(m) for m in made] == [9]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "The GPT模型 alpha 123 alpha中"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.word, r.tag) for r in graph.tokens(df).orderBy("doc_id", "pos").collect()]
