@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.sources.shared import dealt
+from corvane.sources.shared import dealt, if_small  # noqa: F401
 
 #: Rows sent to a Python worker at once. A batch of whole texts then takes a few
 #: megabytes, so workers stay small beside the executor's heap.
@@ -104,14 +104,6 @@ def no_text(column) -> F.Column:
     return F.coalesce(column, F.lit(""))
 
 
-def if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A written frame of narrow rows, marked for broadcast if it has `most` rows or fewer.
-
-    Its rows are counted first; a larger one is joined by a shuffle.
-    """
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a file of the installed public tokenizers is."""
     import public_tokenizers

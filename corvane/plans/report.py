@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane import constants as C
+from corvane.sources.shared import if_small, written
 
 
 def grade(text: Column, error: Column, method: Column) -> Column:
@@ -117,10 +118,14 @@ def sources(results: DataFrame, documents: DataFrame, copies: DataFrame) -> Data
     """Every result with what was fetched for it: body (grade and words, and whose copy it is) or that nothing was.
 
     documents: doc_id, title, grade, word_count; copies: doc_id, duplicate_of;
-    results: doc_id of the document to look for. All are equi-joins on ids.
+    results: doc_id of the document to look for. All are equi-joins on ids. Titles
+    are found for the copies among the results only: a title can be a whole text,
+    and documents that are no copy would meet under one null.
     """
-    titles = documents.select(F.col("doc_id").alias("duplicate_of"), F.col("title").alias("first_title"))
-    docs = documents.select("doc_id", "grade", "word_count").join(copies, "doc_id", "left").join(titles, "duplicate_of", "left")
+    copies = written(copies.join(results.select("doc_id").distinct(), "doc_id", "left_semi"), "copies")
+    firsts = if_small(written(copies.select("duplicate_of").distinct(), "firsts"))
+    titles = documents.select(F.col("doc_id").alias("duplicate_of"), F.col("title").alias("first_title")).join(firsts, "duplicate_of", "left_semi")
+    docs = documents.select("doc_id", "grade", "word_count").join(copies.join(titles, "duplicate_of", "left"), "doc_id", "left")
     note = F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit(" · 与《"), F.coalesce("first_title", F.lit("…")), F.lit("》同源"))).otherwise("")
     label = F.when(F.col("grade") == "full", "正文完整").when(F.col("grade") == "thin", "正文很短").otherwise("仅摘要")
     body = F.when(F.col("grade").isNull(), "未抓取").otherwise(F.concat(label, F.lit(" "), F.col("word_count").cast("string"), F.lit(" 字"), note))

@@ -172,7 +172,7 @@ def test_simhash_moves_no_texts(spark):
     assert "MapInArrow" in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["duplicate_groups", "independent_sources"])
+@pytest.mark.parametrize("name", ["duplicate_groups", "independent_sources", "source_list"])
 def test_simhash_few_keys_however_many_hashes(spark, monkeypatch, name):
     from corvane.queries import QUERIES
 

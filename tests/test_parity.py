@@ -31,6 +31,11 @@ def test_source_list_keeps_what_was_not_fetched(spark):
     assert {r.doc_id: r.body for r in report.sources(results, docs, copies).collect()} == {1: "正文完整 90 字", 2: "正文很短 40 字 · 与《A》同源", 3: "仅摘要 0 字 · 与《…》同源", 9: "未抓取"}
 
 
+def test_source_list_moves_no_texts(spark):
+    plan = QUERIES["source_list"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "quality" not in plan and "LeftSemi" in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 
