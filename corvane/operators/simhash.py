@@ -134,8 +134,8 @@ def _compared(table: pa.Table, distance: int) -> pa.Table:
     return pa.table({"hash": h[best < first].view(np.int64), "first2": best[best < first]})
 
 
-def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: int = 1) -> DataFrame:
-    """doc_id and duplicate_of: the earliest earlier document within the distance.
+def earliest(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: int = 1) -> DataFrame:
+    """doc_id and duplicate_of of every document: the earliest one within the distance, often itself.
 
     Hashes that agree in the bits of a choice of blocks are a bucket, and every
     pair within the distance shares one, see `masks`. Bits of real texts are not
@@ -144,6 +144,8 @@ def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: i
     are compared in workers, which return one row a hash, not one a pair; a large
     one is cut into slices and each pair of slices is a cell of its own, so no
     task has a whole bucket. Equal hashes are one row in it, with their smallest id.
+    Sides with a row for each hash are merged: their files are small for their rows,
+    and Spark would collect them on the driver for a broadcast.
     """
     classes = written(hashes.groupBy("hash").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "hashes")
     most = max(LEAST_SLICE, SLICE_ROOT * isqrt(classes.count()))
@@ -157,8 +159,13 @@ def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: i
     cells = dealt.select("choice", "bits", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "hash", "first", "slice")
     near = cells.groupBy("choice", "bits", "low", "high").applyInArrow(lambda t: _compared(t, distance), "hash long, first2 long")
     near = near.groupBy("hash").agg(F.min("first2").alias("first2"))
-    best = written(classes.join(near, "hash", "left").select("hash", F.least("first", "first2").alias("duplicate_of")), "copies")
-    return hashes.join(best, "hash").where("duplicate_of < doc_id").select("doc_id", "duplicate_of")
+    best = written(classes.join(near.hint("merge"), "hash", "left").select("hash", F.least("first", "first2").alias("duplicate_of")), "copies")
+    return hashes.join(best.hint("merge"), "hash").select("doc_id", "duplicate_of")
+
+
+def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: int = 1) -> DataFrame:
+    """doc_id and duplicate_of: the earliest earlier document within the distance, see `earliest`."""
+    return earliest(hashes, distance, spare).where("duplicate_of < doc_id")
 
 
 def groups(copies: DataFrame) -> DataFrame:

@@ -183,6 +183,17 @@ def test_simhash_few_keys_however_many_hashes(spark, monkeypatch, name):
     assert [len(m) for m in made] == [9]
 
 
+@pytest.mark.parametrize("name", ["duplicate_groups"])
+def test_simhash_gathers_no_hashes_on_the_driver(spark, name):
+    from corvane.queries import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "The GPT模型 alpha 123 alpha中"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.word, r.tag) for r in graph.tokens(df).orderBy("doc_id", "pos").collect()]
