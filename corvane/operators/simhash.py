@@ -168,6 +168,12 @@ def first_copies(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE, spare: i
     return earliest(hashes, distance, spare).where("duplicate_of < doc_id")
 
 
+def independent(hashes: DataFrame, distance: int = C.SIMHASH_DISTANCE) -> DataFrame:
+    """How many documents are left if each copy counts as its first document, and how many copies there are."""
+    first = F.when(F.col("duplicate_of") < F.col("doc_id"), F.col("duplicate_of"))
+    return earliest(hashes, distance).agg(F.countDistinct(F.coalesce(first, "doc_id")).alias("independent"), F.count(first).alias("copies"))
+
+
 def groups(copies: DataFrame) -> DataFrame:
     """Each first document with the ids of its copies, in order (of a bounded set of documents), and their number."""
     return copies.groupBy(F.col("duplicate_of").alias("doc_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("copies"), F.count("*").alias("n"))

@@ -183,7 +183,7 @@ def test_simhash_few_keys_however_many_hashes(spark, monkeypatch, name):
     assert [len(m) for m in made] == [9]
 
 
-@pytest.mark.parametrize("name", ["duplicate_groups"])
+@pytest.mark.parametrize("name", ["duplicate_groups", "independent_sources"])
 def test_simhash_gathers_no_hashes_on_the_driver(spark, name):
     from corvane.queries import QUERIES
 
@@ -194,6 +194,12 @@ def test_simhash_gathers_no_hashes_on_the_driver(spark, name):
     assert "BroadcastExchange" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1
 
 
+def test_simhash_independent(spark):
+    rows = [(1, 0), (2, 0), (3, 255), (4, (1 << 12) - 1), (5, -1), (None, 0), (None, 1 << 40)]  # 3 is near 1, 4 near 3 but not near 1
+    got = simhash.independent(spark.createDataFrame(rows, "doc_id long, hash long")).first()
+    assert (got["independent"], got["copies"]) == (3, 3)
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "The GPT模型 alpha 123 alpha中"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.word, r.tag) for r in graph.tokens(df).orderBy("doc_id", "pos").collect()]
